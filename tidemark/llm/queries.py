@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, url_filter
+from tidemark.llm import chat, mixing, pii, simhash, url_filter
 from tidemark.llm.common import table
 
 #: Rules of op5: host, path, action.
@@ -20,6 +20,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules)
@@ -46,10 +50,28 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def pii_digest(found: DataFrame) -> DataFrame:
+    """What op7 reports of the spans: counts and digest of the base kinds, all spans as text."""
+    base = [k.name for k in pii.KINDS if k.base]
+    spans = {k.name: F.col(f"{k.name}_spans") for k in pii.KINDS}
+    return found.select(
+        "doc_id",
+        *(F.size(spans[k]).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(pii.joined_spans([spans[k] for k in base]), 256).alias("base_sha256"),
+        pii.joined_spans(list(spans.values())).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
+    "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_chat_format": op6_chat_format,
+    "op7_pii": op7_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
