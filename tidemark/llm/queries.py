@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, pii, simhash, url_filter
-from tidemark.llm.common import table
+from tidemark.llm import chat, mixing, pii, quality, simhash, token_rollup, url_filter
+from tidemark.llm.common import shared_dir, stored, table
 
 #: Rules of op5: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+#: A rank file of a public tokenizer; executors open it.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(documents, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -66,12 +78,33 @@ def pii_digest(found: DataFrame) -> DataFrame:
     )
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents with a quarter of their length as estimate, the same under a version that
+    counts words, the estimates revised to counted tokens, and the deletion of documents without any; the revision is sent twice.
+    """
+    documents = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    counted = token_rollup.count_tokens(documents, TOKENIZER)
+    text = F.coalesce("text", F.lit(""))
+    counts = counted.select("source", "lang", "tokens", F.floor(F.length(text) / 4).alias("estimate"), mixing.words_in(text).alias("words"))
+    counts = stored(counts, "counts")
+    change = lambda op, version, tokens, old=None: counts.select("source", "lang", F.lit(version).alias("version"), F.lit(op).alias("op"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(0)).alias("old"))
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", change("insert", "byte_bpe_50k", "estimate"))
+    rollup.commit("words", change("insert", "words", "words"))
+    for _ in range(2):
+        rollup.commit("count", change("revise", "byte_bpe_50k", "tokens", "estimate"))
+    rollup.commit("empty", change("delete", "byte_bpe_50k", "tokens").where("tokens = 0"))
+    return rollup.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_mix": op3_mix,
     "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_chat_format": op6_chat_format,
     "op7_pii": op7_pii,
+    "op9_token_rollup": op9_token_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {
