@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, pii, quality, simhash, token_rollup, url_filter
+from tidemark.llm import chat, jaccard_join, mixing, pii, quality, simhash, token_rollup, url_filter
 from tidemark.llm.common import shared_dir, stored, table
 
 #: Rules of op5: host, path, action.
@@ -78,6 +78,10 @@ def pii_digest(found: DataFrame) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, tenths=9)
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents with a quarter of their length as estimate, the same under a version that
     counts words, the estimates revised to counted tokens, and the deletion of documents without any; the revision is sent twice.
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_chat_format": op6_chat_format,
     "op7_pii": op7_pii,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_rollup": op9_token_rollup,
 }
 
