@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard_join, mixing, pii, quality, simhash, token_rollup, url_filter
+from tidemark.llm import chat, decontaminate, jaccard_join, mixing, pii, quality, simhash, token_rollup, url_filter
 from tidemark.llm.common import shared_dir, stored, table
 
 #: Rules of op5: host, path, action.
@@ -27,6 +27,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -103,6 +107,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_decontaminate": op2_decontaminate,
     "op3_mix": op3_mix,
     "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,

@@ -11,6 +11,9 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Separators of plain words: everything in ASCII but letters and digits.
+PLAIN = np.ones(256, dtype=bool)
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = PLAIN[128:] = False
 #: Bytes hashed at once; a slice ends between two words.
 SLICE = 1 << 21
 _POWERS = np.ones(1, dtype=np.uint64)
@@ -34,9 +37,9 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of a slice of lower-cased bytes."""
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
@@ -48,17 +51,17 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts (byte offsets) and hashes of all words of `data`; A-Z and a-z are the same."""
     flat = np.frombuffer(data, dtype=np.uint8)
     starts, hashes, at = [], [], 0
     while at < len(flat):
         end = at + SLICE
         if end < len(flat):  # on to the next space
-            while end < len(flat) and not (gap := np.flatnonzero(_SPACE[flat[end : end + 65536]])).size:
+            while end < len(flat) and not (gap := np.flatnonzero(gaps[flat[end : end + 65536]])).size:
                 end += 65536
             end = min(len(flat), end + int(gap[0])) if end < len(flat) else len(flat)
-        s, h = _words(_LOWER[flat[at:end]])
+        s, h = _words(_LOWER[flat[at:end]], gaps)
         starts.append(s + at)
         hashes.append(h)
         at = end
