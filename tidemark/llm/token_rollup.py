@@ -77,7 +77,7 @@ class TokenRollup:
 
     def _publish(self, delta: DataFrame, batch: str) -> bool:
         staged, done = f"{self.path}/_staged-{batch}", self._path(f"{self.path}/batch-{batch}")
-        delta.coalesce(1).write.mode("overwrite").parquet(staged)
+        delta.write.mode("overwrite").parquet(staged)
         if self._fs.rename(self._path(staged), done):
             return True
         self._fs.delete(self._path(staged), True)
