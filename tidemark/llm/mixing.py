@@ -104,7 +104,21 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", cap: float = 3.0) -> Data
     s = shifts.alias("s")
     extra = (F.col("rate") > F.floor("rate")) & (F.col("switch") < F.coalesce(F.col("s.shift"), F.lit(0.0)))
     out = rated.join(s, rated.source.eqNullSafe(F.col("s.source")), "left").withColumn("copies", (F.col("base") + F.when(extra, 1).otherwise(0)).cast("long"))
-    return out.select(rated[id_col], rated.source, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = stored(out.select(rated[id_col].alias("id"), rated.source, "size", "source_size", "target", "rate", "copies"), "copies")
+    same = F.col("o.source").eqNullSafe(F.col("f.source")) & F.col("o.id").eqNullSafe(F.col("f.id"))
+    copies = F.col("copies") + F.coalesce("change", F.lit(0))
+    joined = out.alias("o").join(_last_copies(out, cap).alias("f"), same, "left")
+    return joined.select(F.col("o.id").alias(id_col), "o.source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _last_copies(out: DataFrame, cap: float) -> DataFrame:
+    """source, id, change: per source the one copy to add (1) or leave out (-1) that brings it nearest its target, if any does."""
+    missing = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
+    rows = out.alias("o").join(missing.alias("m"), F.col("o.source").eqNullSafe(F.col("m.source")))
+    able = F.when(F.col("missing") > 0, F.col("copies") + 1 <= cap).otherwise(F.col("copies") >= 1) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missing"))
+    left = F.abs(F.abs(F.col("missing")) - F.col("size"))
+    best = rows.where(able).groupBy("o.source").agg(F.min_by(F.struct("o.id", F.signum("missing").cast("long").alias("change")), F.struct(left, "o.id")).alias("best"))
+    return best.select("source", "best.id", "best.change")
 
 
 def _shifts(rated: DataFrame) -> DataFrame:
