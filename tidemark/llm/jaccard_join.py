@@ -30,7 +30,7 @@ from tidemark.llm.shingles import mixed, shingle_sets
 
 #: Counters of the frequency sketch (a power of two), and the parts it is sent in.
 COUNTERS, PARTS = 1 << 21, 64
-#: Bits of the parity bitmap; the largest l.
+#: Least bits of the parity bitmap, which has a bit for each shingle, rounded up to a power of two; the largest l.
 BITMAP, MOST = 512, 8
 NODE = "node binary"
 
@@ -42,7 +42,8 @@ def _key(found: np.ndarray) -> bytes:
 
 
 def _parity(found: np.ndarray) -> list[int]:
-    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1
+    width = max(BITMAP, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -161,11 +162,12 @@ def _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts) -> pa.Reco
     )
 
 
-def _may_link(n: Column, m: Column, x: Column, y: Column, tenths: int) -> Column:
-    """Sizes and bitmaps allow the link: |x ^ y| <= (n + m)(1 - t) / (1 + t)."""
-    sizes = (F.lit(10) * F.least(n, m) >= tenths * F.greatest(n, m))
-    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return F.when(sizes, (10 + tenths) * apart <= (10 - tenths) * (n + m)).otherwise(False)
+def _apart(x: Column, y: Column) -> Column:
+    """Hamming distance of two bitmaps. The wider of two is folded once: sizes that may link need no more."""
+    half = lambda v: F.floor(F.size(v) / 2).cast("int")
+    both = lambda p, q: F.zip_with(p, q, lambda a, b: a.bitwiseXOR(b))
+    folded = lambda v, other: F.when(F.size(v) > F.size(other), both(F.slice(v, F.lit(1), half(v)), F.slice(v, half(v) + 1, half(v)))).otherwise(v)
+    return F.aggregate(both(folded(x, y), folded(y, x)), F.lit(0), lambda total, v: total + F.bit_count(v))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, tenths: int, id_col: str, text_col: str) -> DataFrame:
@@ -249,8 +251,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, tenths: int = 8, id_col
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
-    """pairs (a, b) that sizes and bitmaps allow, with `apart`, the bitmaps' distance."""
+    """pairs (a, b) that sizes and bitmaps allow, with `apart`, the bitmaps' distance: |x ^ y| <= (n + m)(1 - t) / (1 + t)."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b"))
-    joined = pairs.join(left, "a").join(right, "b").where(_may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), tenths))
-    return joined.select("a", "b", F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v).alias("apart"))
+    sizes = F.lit(10) * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b")
+    joined = pairs.join(left, "a").join(right, "b").where(sizes).withColumn("apart", _apart(F.col("bits_a"), F.col("bits_b")))
+    return joined.where((10 + tenths) * F.col("apart") <= (10 - tenths) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "apart")
