@@ -29,9 +29,11 @@ from tidemark.llm.components import connected
 from tidemark.llm.shingles import mixed, shingle_sets
 
 #: Counters of the frequency sketch (a power of two), and the parts it is sent in.
-COUNTERS, PARTS = 1 << 21, 64
+COUNTERS, PARTS = 1 << 23, 64
 #: Least bits of the parity bitmap, which has a bit for each shingle, rounded up to a power of two; the largest l.
 BITMAP, MOST = 512, 8
+#: Longs of the folded bitmap that prefix rows carry.
+FOLD = 4
 NODE = "node binary"
 
 
@@ -47,33 +49,39 @@ def _parity(found: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _folded(bitmap: list[int]) -> list[int]:
+    """The bitmap folded to FOLD longs; its distances are at most those of the bitmap."""
+    return np.bitwise_xor.reduce(np.array(bitmap, dtype=np.int64).reshape(-1, FOLD), axis=0).tolist()
+
+
 def profiles(documents: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of documents (id, n, node, bitmap) and of sketches (part, counts), told apart by `part`; the key of an empty set is null."""
     id_type = documents.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, n long, node binary, bitmap array<long>, part int, counts binary"
+    schema = f"id {id_type}, n long, node binary, bitmap array<long>, folded array<long>, part int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
         target = None
         for batch in batches:
             ids = batch.column(0)
-            n, nodes, bitmaps, all_found = [], [], [], []
+            n, nodes, bitmaps, all_found, held = [], [], [], [], 0
             for found in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(found))
                 nodes.append(_key(found) if len(found) else None)
                 bitmaps.append(_parity(found) if len(found) else None)
                 all_found.append(found)
-                if sum(map(len, all_found[-1:])) and len(all_found) >= 512:
+                held += len(found)
+                if held > COUNTERS // 4:
                     counts += _counted(all_found)
-                    all_found = []
+                    all_found, held = [], 0
             counts += _counted(all_found)
-            target = pa.schema([("id", ids.type), ("n", pa.int64()), ("node", pa.binary()), ("bitmap", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
+            target = pa.schema([("id", ids.type), ("n", pa.int64()), ("node", pa.binary()), ("bitmap", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
             rows = len(ids)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=target)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), pa.array([b and _folded(b) for b in bitmaps], pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=target)
         if target is not None:
             pack = zstandard.ZstdCompressor(level=1).compress
             blobs = [pack(part.tobytes()) for part in np.split(counts, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, target.field(0).type), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], schema=target)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, target.field(0).type), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], schema=target)
 
     return documents.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -85,7 +93,7 @@ def _counted(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch_classes(profile: DataFrame) -> bytes:
-    """The frequency class of each counter, one byte each: 0 for rare shingles, one more for each doubling.
+    """The frequency class of each counter, one byte each: 0 for what chance puts into a counter, then one more for each doubling.
 
     Always COUNTERS bytes, whatever the input's size. A counter holds the sum of its shingles' frequencies, so no shingle is
     thought rarer than it is beyond the mean count of a counter.
@@ -107,12 +115,13 @@ def sketch_classes(profile: DataFrame) -> bytes:
     for row in summed.collect():
         counts[row.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), dtype=np.uint64)
     flat = counts.reshape(-1).astype(float)
-    return np.clip(np.floor(np.log2(np.maximum(flat / (2 * flat.mean() + 8), 1))), 0, 60).astype(np.uint8).tobytes()
+    usual = flat.mean() + 3 * np.sqrt(flat.mean()) + 4
+    return np.where(flat < usual, 0, np.clip(1 + np.floor(np.log2(np.maximum(flat / usual, 1))), 1, 60)).astype(np.uint8).tobytes()
 
 
 def prefix_rows(documents: DataFrame, k: int, tenths: int, classes: bytes, text_col: str = "text") -> DataFrame:
-    """token, salt, frequent, node, n, l: the prefix shingles of every set, once for each set and task."""
-    schema = "token long, salt int, frequent int, node binary, n int, l int"
+    """token, salt, frequent, node, n, l, at: the prefix shingles of every set and their places, once for each set and task."""
+    schema = "token long, salt int, frequent int, node binary, n int, l int, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes, dtype=np.uint8)
@@ -157,8 +166,9 @@ def _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts) -> pa.Reco
             pa.array(nodes, pa.binary()).take(pa.array(times)),
             pa.array(np.array(sizes, dtype=np.int32)[times]),
             pa.array(np.array(ls, dtype=np.int32)[times]),
+            pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts])),
         ],
-        names=["token", "salt", "frequent", "node", "n", "l"],
+        names=["token", "salt", "frequent", "node", "n", "l", "at"],
     )
 
 
@@ -212,15 +222,15 @@ def jaccard_components(documents: DataFrame, k: int = 5, tenths: int = 8, id_col
     no rows; other columns are not read.
     """
     profile = stored(profiles(documents, k, id_col, text_col), "profiles")
-    rows = profile.where("part IS NULL").select("id", "n", "node", "bitmap")
-    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+    rows = profile.where("part IS NULL").select("id", "n", "node", "bitmap", "folded")
+    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("folded").alias("folded")), "nodes")
     classes = sketch_classes(profile)
     own = Window.partitionBy("token", "salt").orderBy("node")
     prefix = prefix_rows(documents, k, tenths, classes, text_col)
     prefix = prefix.select("*", F.first("node").over(own).alias("hub"), F.lead("node").over(own).alias("next"), F.lag("node").over(own).alias("before"))
     # one row a node and shingle; shingles of one node only are done
     prefix = prefix.where((F.col("before").isNull() | (F.col("before") != F.col("node"))) & ((F.col("hub") != F.col("node")) | (F.col("next") != F.col("node")) | (F.col("frequent") > 0)))
-    shared = stored(prefix.select("token", "frequent", "node", "n", "l", "hub"), "shared")
+    shared = stored(prefix.select("token", "frequent", "node", "n", "l", "at", "hub"), "shared")
 
     hubs = shared.where("frequent > 0").select("token", "hub").distinct()
     top = hubs.groupBy("token").agg(F.min("hub").alias("top"))
@@ -232,16 +242,31 @@ def jaccard_components(documents: DataFrame, k: int = 5, tenths: int = 8, id_col
     edges = _verified(best, nodes, documents, k, tenths, id_col, text_col)
     labels = connected(edges)
 
-    placed = shared.join(labels, "node", "left").select("token", "node", "n", "l", F.coalesce("label", "node").alias("part"))
+    folds = [f"f{i}" for i in range(FOLD)]
+    marks = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("part"), *(F.col("folded")[i].alias(f) for i, f in enumerate(folds)))
+    placed = shared.join(marks, "node").select("token", "node", "n", "l", "at", "part", *folds)
     apart = placed.groupBy("token").agg(F.min("part").alias("main"), F.max("part").alias("other")).where("main <> other").select("token", "main")
     placed = stored(placed.join(apart, "token"), "placed")
     x, y = placed.where("part <> main").alias("x"), placed.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part"))
     once = (F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     sizes = F.lit(10) * F.least("x.n", "y.n") >= tenths * F.greatest("x.n", "y.n")
-    counted = x.join(y, same & once & sizes).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.l", "y.l").alias("least")).agg(F.count("*").alias("matches"))
-    rest = _near(counted.where("matches >= least").select("a", "b"), nodes, tenths).select("a", "b")
-    more = _verified(rest, nodes, documents, k, tenths, id_col, text_col)
+    # a pair's own prefixes: n - o + l shingles with o = ceil(t (n + m) / (1 + t)), shorter than any partner needs
+    both = F.col("x.n") + F.col("y.n")
+    overlap = F.floor((both * tenths + (9 + tenths)) / (10 + tenths))
+    early = (F.col("x.at") < F.col("x.n") - overlap + F.least("x.l", "y.l")) & (F.col("y.at") < F.col("y.n") - overlap + F.least("x.l", "y.l"))
+    differ = sum((F.bit_count(F.col(f"x.{f}").bitwiseXOR(F.col(f"y.{f}"))) for f in folds), F.lit(0))
+    alike = (10 + tenths) * differ <= (10 - tenths) * both
+    pairs = x.join(y, same & once & sizes & early & alike).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.l", "y.l").alias("least"))
+    counted = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("matches")).where("matches >= least")
+    rest = stored(_near(counted.select("a", "b"), nodes, tenths), "rest")
+    # the likeliest partners of each node first; most of the others are of one component then
+    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("apart", "a", "b"))
+    edges = edges.unionByName(_verified(rest.withColumns({"i": rank("a"), "j": rank("b")}).where("i <= 2 OR j <= 2").select("a", "b"), nodes, documents, k, tenths, id_col, text_col))
+    labels = connected(edges)
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab"]
+    left = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where("NOT of_a <=> of_b OR of_a IS NULL").select("a", "b")
+    more = _verified(left, nodes, documents, k, tenths, id_col, text_col)
     labels = connected(edges.unionByName(more))
 
     smallest = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
