@@ -426,9 +426,10 @@ _CURVE = f"""{DAYS}, k AS (SELECT symbol, ts, close AS equity, max(close) OVER {
 
 
 @query(f"""WITH {_CURVE}, i AS (SELECT *, sum(CAST(dd >= 0 AS BIGINT)) OVER {W} ROWS UNBOUNDED PRECEDING) AS island FROM x),
-    u AS (SELECT *, sum(CAST(dd < 0 AS BIGINT)) OVER (PARTITION BY symbol, island) AS under FROM i)
+    v AS (SELECT *, sum(CAST(dd < 0 AS BIGINT)) OVER (PARTITION BY symbol, island) AS under, (epoch(ts) - epoch(lag(ts) OVER {W}))) / 3600 AS h FROM i),
+    f AS (SELECT symbol, median(h) AS m, CASE WHEN m < 8 THEN 409.5 WHEN m < 48 THEN 252 WHEN m < 240 THEN 52 ELSE 12 END AS a FROM v GROUP BY symbol), u AS (SELECT v.*, a FROM v JOIN f USING (symbol))
     SELECT symbol, round(arg_max(equity, ts), 6) AS final_equity, round(max(-dd), 6) AS max_drawdown, CAST(max(under) AS BIGINT) AS longest_drawdown,
-        round(coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252), 0), 6) AS sharpe, round(coalesce(avg(ret) / nullif(coalesce(stddev_pop(ret) FILTER (ret < 0), 1), 0) * sqrt(252), 0), 6) AS sortino
+        round(coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(any_value(a)), 0), 6) AS sharpe, round(coalesce(avg(ret) / nullif(coalesce(stddev_pop(ret) FILTER (ret < 0), 1), 0) * sqrt(any_value(a)), 0), 6) AS sortino
     FROM u GROUP BY symbol""")
 def metrics_curve(spark, d):
     curve = B.daily_order_bars(spark, d).select("symbol", "ts", F.col("close").alias("equity"))
