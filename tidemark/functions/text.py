@@ -174,3 +174,38 @@ def reply_sentiment(reply: Column) -> Column:
     """`sentiment` of the first flat JSON object after `</think>`, kept within [-1, 1]; null if there is none."""
     found = F.regexp_extract(F.substring_index(reply, "</think>", -1), r"\{[^}]+\}", 0)
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.get_json_object(found, "$.sentiment").try_cast("double")))
+
+
+# Prefixes of image names that say which kind of book they come from.
+FORMATS = ["PDF_", "EPUB_", "DJVU_", "DOCX_", "MOBI_", "IMG_"]
+
+
+def normalize_book_title(title: Column) -> Column:
+    """A title without a leading number and site marks at its end, hyphens and underscores as spaces, lower case."""
+    for pattern in (r"^\d{5,}-", r"(?i)-PDFDrive$", r"(?i)-PDFConverted-\d+$", r"(?i)\s*\(Z-Library\)$", r"(?i)\s*\(\s*PDFDrive\s*\)$"):
+        title = F.regexp_replace(title, pattern, "")
+    return F.lower(F.trim(F.regexp_replace(F.translate(title, "-_", "  "), r"\s+", " ")))
+
+
+def title_of_image(name: Column) -> Column:
+    """The book's title in an image's name <format>_<title>_p<page>_i<number>.<ext>; null without a known format."""
+    rest = name
+    for pattern in (r"^(?:" + "|".join(FORMATS) + ")", r"_p\d+_i(?:mg)?\d+\.\w+$", r"_i\d+\.\w+$", r"\.\w+$"):
+        rest = F.regexp_replace(rest, pattern, "")
+    return F.when(name.rlike(r"^(?:" + "|".join(FORMATS) + ")") & (rest != ""), rest)
+
+
+def model_kind(ext: Column, head: Column) -> Column:
+    """The library of a model file by its extension, or by names in the first bytes (as text) of a pickle."""
+    low = F.lower(head)
+    inside = F.coalesce(*(F.when(F.contains(low, F.lit(w)), f"{name} (pickle)") for w, name in (("catboost", "CatBoost"), ("xgb", "XGBoost"), ("lightgbm", "LightGBM"), ("sklearn", "sklearn"), ("scaler", "Scaler"))), F.lit("pickle (unknown)"))
+    known = {"cbm": "CatBoost", "onnx": "ONNX", "safetensors": "SafeTensors", "pt": "PyTorch", "pth": "PyTorch", "h5": "HDF5/Keras"}
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), ext), F.when(ext.isin("pkl", "joblib"), inside))
+
+
+def compact_citation(source: Column, text: Column) -> Column:
+    return F.concat(F.lit("["), source, F.lit("] "), F.substring(text, 1, 150))
+
+
+def alert_text(rule: Column, level: Column, symbol: Column, signal: Column, score: Column) -> Column:
+    return F.format_string("[%s] %s: %s %s (score %+.2f)", level, rule, signal, symbol, score)

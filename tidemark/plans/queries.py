@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.windows import ema
-from tidemark.operators import alerts, anomaly, backtest, cleaning, consensus, features, joins, learn, manifest, retrieval, signals, splits
+from tidemark.operators import alerts, anomaly, backtest, cleaning, consensus, features, joins, learn, manifest, portfolio, retrieval, signals, splits
 from tidemark.operators import text as docs
 from tidemark.sources import bars as B
 from tidemark.sources import files as files_
+from tidemark.sources import reports
 from tidemark.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -764,3 +765,72 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return signals_ma_cross(spark, d)
 
 
+
+
+# accounts
+
+
+@query("""SELECT l_returnflag AS account, count(*) AS n, round(sum(l_discount - l_tax), 4) AS realized, round(avg(CAST(l_discount - l_tax > 0 AS DOUBLE)), 6) AS win_rate,
+    round(avg(l_discount) / stddev_pop(l_discount) * sqrt(252), 6) AS sharpe FROM lineitem GROUP BY l_returnflag""")
+def account_stats(spark, d):
+    trades = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("account"), (F.col("l_discount") - F.col("l_tax")).alias("pnl"), F.col("l_discount").alias("pnl_pct"))
+    return r6(portfolio.closed_stats(trades).withColumn("realized", F.round("realized", 4)))
+
+
+_POSITIONS = """p AS (SELECT l_returnflag AS account, CASE WHEN l_linenumber % 2 = 1 THEN 'LONG' ELSE 'SHORT' END AS side, l_extendedprice / l_quantity AS entry, l_quantity AS q, l_extendedprice / l_quantity * (1 + l_discount - l_tax) AS now, l_orderkey, l_linenumber FROM lineitem)"""
+
+
+def positions_of(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as open positions: odd lines are long, the price moves by discount less tax."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("account"), F.when(F.col("l_linenumber") % 2 == 1, "LONG").otherwise("SHORT").alias("side"), price.alias("entry_price"), F.col("l_quantity").alias("quantity"), (price * (1 + F.col("l_discount") - F.col("l_tax"))).alias("current_price"), F.lit(0.02).alias("stop_loss"), F.lit(0.04).alias("take_profit"))
+
+
+@query(f"""WITH {_POSITIONS} SELECT account, round(100000 + sum(CASE WHEN side = 'LONG' THEN now * q ELSE -(now - entry) * q END), 2) AS equity FROM p GROUP BY account""")
+def account_equity(spark, d):
+    positions = portfolio.valid_positions(positions_of(spark, d))
+    cash = positions.select("account").distinct().withColumn("cash", F.lit(100_000.0))
+    return portfolio.equity(cash, positions).select("account", F.round("equity", 2).alias("equity"))
+
+
+@query(f"""WITH {_POSITIONS} SELECT l_orderkey, l_linenumber, round(CASE side WHEN 'LONG' THEN 1 ELSE -1 END * (now - entry) * q, 4) AS unrealized FROM p""")
+def account_positions(spark, d):
+    return portfolio.position_values(positions_of(spark, d)).select("l_orderkey", "l_linenumber", F.round("unrealized", 4).alias("unrealized"))
+
+
+@query("""SELECT o_orderkey, round(2000 / o_totalprice, 6) AS quantity, round(o_totalprice * (1 - s * 0.02), 6) AS stop_price, round(o_totalprice * (1 + s * 0.04), 6) AS take_price, CAST(40 AS DOUBLE) AS risk, CAST(80 AS DOUBLE) AS reward, CAST(2 AS DOUBLE) AS ratio
+    FROM (SELECT *, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE -1 END AS s FROM orders)""")
+def account_quick_trades(spark, d):
+    order = portfolio.quick_trade(F.col("o_totalprice"), F.lit(2000.0), F.col("o_orderstatus") == "O", F.lit(2.0), F.lit(4.0))
+    return r6(table(spark, d, "orders").select("o_orderkey", order.alias("t")).select("o_orderkey", "t.*"))
+
+
+@query("""SELECT event_id, coalesce(sum(CAST(value <= 50 AS INTEGER)) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) >= 5 AS locked FROM events""")
+def account_lockouts(spark, d):
+    attempts = events_of(spark, d).select("event_id", F.col("event_type").alias("user"), "ts", (F.col("value") > 50).alias("ok"))
+    return portfolio.lockouts(attempts, "user", minutes=360).select("event_id", "locked")
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'O' THEN 'ACCEPTED' ELSE 'PENDING' END AS state, 90 - date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS days_left FROM orders""")
+def account_order_states(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "Filled").when(F.col("o_orderstatus") == "O", "accepted").otherwise("?")
+    expiry = portfolio.key_expiry(F.col("o_orderdate").cast("date"), F.lit("1998-08-02").cast("date"))
+    return table(spark, d, "orders").select("o_orderkey", portfolio.order_state(status).alias("state"), expiry["days_left"].cast("long").alias("days_left"))
+
+
+@query("""SELECT c_custkey FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'TRADER' WHEN 2 THEN 'VIEWER' END AS role FROM customer) WHERE role IN ('ADMIN', 'TRADER')""")
+def account_permissions(spark, d):
+    k = F.col("c_custkey") % 4
+    users = table(spark, d, "customer").select("c_custkey", F.when(k == 0, "ADMIN").when(k == 1, "TRADER").when(k == 2, "VIEWER").alias("role"))
+    return portfolio.allowed(users, "TRADE").select("c_custkey")
+
+
+@query("""SELECT page_id, lower(trim(regexp_replace(translate(regexp_replace(split_part(url, '/', -1), '^\\d{5,}-', ''), '-_', '  '), '\\s+', ' ', 'g'))) AS title, '[' || split_part(url, '/', 3) || '] ' || substr(html, 1, 150) AS citation FROM pages""")
+def text_citations(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", T.normalize_book_title(F.substring_index(url, "/", -1)).alias("title"), T.compact_citation(F.get(F.split(url, "/"), 2), F.col("html")).alias("citation"))
+
+
+@query()
+def backtest_best(spark, d):
+    return r6(reports.best_run(backtest.report(run_signals(spark, d))))
