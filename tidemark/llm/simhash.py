@@ -106,8 +106,8 @@ def with_next_text(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     heads = ranked.where("row = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
     buckets = rows.select(F.col("bucket").alias("k")).distinct()
     order_of = following(buckets, last + 1)
-    first = buckets.agg(F.min("k").alias("first"))
-    order_of = order_of.crossJoin(first).select(F.col("k").alias("bucket"), F.coalesce("next", "first").alias("next_bucket"))  # `first` is one row
+    first = F.lit(0 if span.low is not None else last).cast("long")  # the smallest id's bucket, or that of null ids alone
+    order_of = order_of.select(F.col("k").alias("bucket"), F.coalesce(F.col("next"), first).alias("next_bucket"))
     ends = order_of.join(heads, "next_bucket").select("bucket", "next_bucket", "head")
     joined = ranked.join(ends, "bucket")
     inner = F.col("has_next").isNotNull()
