@@ -247,3 +247,12 @@ def test_anomalies(bars):
 def test_ema_starts_at_the_first_value(bars):
     first = ema(bars, {"e": ("close", 10)}).where(F.col("ts") == F.lit(START).cast("timestamp_ntz")).collect()
     assert all(r.e == r.close for r in first)
+
+
+def test_long_ema_is_the_same(bars):
+    from tidemark.functions.windows import ema_long
+
+    want = ema(bars, {"e": ("close", 20)}).select("symbol", "ts", "e")
+    got = ema_long(bars, "close", 20, "long", chunk=37).select("symbol", "ts", "long")
+    joined = want.join(got, ["symbol", "ts"])
+    assert joined.count() == 520 and joined.where("abs(e - long) > 1e-9").count() == 0

@@ -57,3 +57,32 @@ def ema(bars: DataFrame, spans: Mapping[str, tuple[str, int]]) -> DataFrame:
         return frame
 
     return bars.groupBy("symbol").applyInPandas(fold, schema)
+
+
+def ema_long(bars: DataFrame, column: str, span: int, name: str, chunk: int = 100_000) -> DataFrame:
+    """`ema` of one column for series too long for one task: the recursion is linear, so it is a scan over chunks.
+
+    Each chunk of `chunk` rows is folded as if nothing came before it; what the chunks before it leave (one number each)
+    is folded over chunks and added with its decay. The result differs from `ema` by rounding only.
+    """
+    keep = 1 - 2 / (span + 1)
+    numbered = bars.withColumn("_n", F.row_number().over(by_symbol()) - 1).withColumn("_chunk", F.floor(F.col("_n") / chunk))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields] + ["`_own` double", "`_decay` double"])
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_n")
+        x = frame[column].astype(float).copy()
+        if frame["_n"].iloc[0] > 0:  # nothing before it: the first value weighs 1 - keep
+            start = pd.concat([pd.Series([0.0]), x])
+            own = start.ewm(alpha=1 - keep, adjust=False).mean().iloc[1:].to_numpy()
+        else:
+            own = x.ewm(alpha=1 - keep, adjust=False).mean().to_numpy()
+        return frame.assign(_own=own, _decay=keep ** (frame["_n"] - frame["_n"].iloc[0] + 1))
+
+    folded = numbered.groupBy("symbol", "_chunk").applyInPandas(fold, schema)
+    ends = folded.groupBy("symbol", "_chunk").agg(F.max_by(F.struct("_own", "_decay"), "_n").alias("e"))
+    listed = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_chunk", "e"))).alias("l"))
+    # carry into chunk i: the fold of the ends of chunks 0 to i - 1
+    carry = F.transform(F.col("l"), lambda c, i: F.struct(c["_chunk"].alias("_chunk"), F.aggregate(F.slice(F.col("l"), F.lit(1), i), F.lit(0.0), lambda y, d: d["e"]["_own"] + d["e"]["_decay"] * y).alias("_carry")))
+    carries = listed.select("symbol", F.inline(carry))
+    return folded.join(carries, ["symbol", "_chunk"]).withColumn(name, F.col("_own") + F.col("_decay") * F.col("_carry")).drop("_n", "_chunk", "_own", "_decay", "_carry")
