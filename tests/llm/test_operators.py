@@ -82,6 +82,13 @@ def test_jaccard_hot_tokens_and_repeated_ids(spark):
     assert {r.component_id for r in got.collect()} == {rows[l][0] for _, l in expected}
 
 
+def test_jaccard_without_ids(spark):
+    text = prose(90)
+    rows = [(None, text), (None, text), (4, None), (None, ""), (5, prose(50)), (None, edited(text, 1))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(None, None), (4, 4), (5, 5)}
+
+
 def test_shingles_equal_only_for_equal_words():
     sets = list(shingle_sets(["a b c d", "A B C D", "b a c d", "ab c d", "a", "", None], 2))
     assert (sets[0] == sets[1]).all() and not np.isin(sets[2][:1], sets[0]).all()
@@ -336,7 +343,7 @@ def test_queries_agree_with_their_sql_at_the_smallest_size(spark):
     import duckdb
 
     connection = duckdb.connect()
-    for name in ("pages", "conversations"):
+    for name in ("pages", "conversations", "documents"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), connection.execute(sql).df()

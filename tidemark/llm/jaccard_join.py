@@ -104,7 +104,8 @@ def sketch_classes(profile: DataFrame) -> bytes:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(unpack(blob), dtype=np.uint32 if len(unpack(blob)) == 4 * COUNTERS // PARTS else np.uint64).astype(np.uint64)
+                raw = unpack(blob)
+                counts = np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * COUNTERS // PARTS else np.uint64).astype(np.uint64)
                 sums[part] = sums[part] + counts if part in sums else counts
         pack = zstandard.ZstdCompressor(level=1).compress
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(v.tobytes()) for v in sums.values()], pa.binary())], names=["part", "counts"])
@@ -218,8 +219,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, tenths: int = 8, id_col
 
     Shingles are k words, lower-cased in A-Z; a text of fewer words is one shingle. Texts without words and null
     texts have no shingles and link with nothing; each is its own component. Equal texts are linked. Repeated ids stay
-    rows of their own; a row with a null id has the smallest other id of its component, or null. An empty table gives
-    no rows; other columns are not read.
+    rows of their own. A row with a null id has the smallest id of its component; texts of which no row has an id are
+    linked with equal texts only, and their component is null. An empty table gives no rows; other columns are not read.
     """
     profile = stored(profiles(documents, k, id_col, text_col), "profiles")
     rows = profile.where("part IS NULL").select("id", "n", "node", "bitmap", "folded")

@@ -153,4 +153,17 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w),
+        e AS (SELECT doc_id, unnest(g) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 90 * (len(a.g) + len(b.g) - c)),
+        u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, u.y FROM r JOIN u ON u.x = r.m)
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.m) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.g)""",
 }
