@@ -8,12 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import trailing
-
 RUN = ["symbol", "strategy"]
 #: Bars a year by timeframe, and the hours below which a median spacing counts as it (fixed values).
 BARS_A_YEAR = {"1m": 98280.0, "5m": 19656.0, "15m": 6552.0, "1h": 1638.0, "4h": 409.5, "1d": 252.0, "1wk": 52.0, "1mo": 12.0}
-SPACINGS = {"1m": 0.1 / 2, "5m": 0.1, "15m": 0.5, "1h": 2.0, "4h": 8.0, "1d": 48.0, "1wk": 240.0}
+SPACINGS = {"1m": 0.1, "5m": 0.2, "15m": 0.5, "1h": 2.0, "4h": 8.0, "1d": 48.0, "1wk": 240.0}
 STEPS = "symbol string, strategy string, ts timestamp_ntz, equity double, trades array<struct<side:string,entry_ts:timestamp_ntz,entry_price:double,exit_price:double,quantity:double,pnl:double,commission:double,pnl_pct:double,reason:string,hold_bars:bigint>>"
 
 
@@ -157,15 +155,15 @@ def trade_stats(trades: DataFrame, by: list[str] = RUN) -> DataFrame:
     )
 
 
-def detect_timeframe(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, timeframe: class of the median spacing of rows in time."""
+def detect_timeframe(rows: DataFrame, by: list[str], default: str = "1d") -> DataFrame:
+    """by, timeframe: class of the median spacing of rows in time; `default` for ten rows or fewer."""
     w = Window.partitionBy(*by).orderBy("ts")
     hours = F.col("ts").cast("timestamp").cast("double") / 3600
-    spaced = rows.withColumn("_h", hours - F.lag(hours).over(w)).groupBy(*by).agg(F.median("_h").alias("median_hours"))
+    spaced = rows.withColumn("_h", hours - F.lag(hours).over(w)).groupBy(*by).agg(F.median("_h").alias("median_hours"), F.count("*").alias("_rows"))
     ladder = F.lit("1mo")
     for name, below in sorted(SPACINGS.items(), key=lambda x: -x[1]):
         ladder = F.when(F.col("median_hours") < below, name).otherwise(ladder)
-    return spaced.select(*by, "median_hours", F.when(F.col("median_hours").isNull(), "1d").otherwise(ladder).alias("timeframe"))
+    return spaced.select(*by, "median_hours", F.when(F.col("median_hours").isNull() | (F.col("_rows") <= 10), default).otherwise(ladder).alias("timeframe"))
 
 
 def curve_metrics(curve: DataFrame, by: list[str] = RUN, capital: float = 100_000.0) -> DataFrame:

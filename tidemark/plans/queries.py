@@ -446,8 +446,8 @@ def metrics_monthly(spark, d):
     return backtest.monthly_returns(curve, ["symbol"])
 
 
-@query(f"""WITH {BARS}, g AS (SELECT symbol, (epoch(ts) - epoch(lag(ts) OVER {W}))) / 3600 AS h FROM bars), m AS (SELECT symbol, median(h) AS h FROM g GROUP BY symbol)
-    SELECT symbol, round(h, 6) AS median_hours, CASE WHEN h < 0.05 THEN '1m' WHEN h < 0.1 THEN '5m' WHEN h < 0.5 THEN '15m' WHEN h < 2 THEN '1h' WHEN h < 8 THEN '4h' WHEN h < 48 THEN '1d' WHEN h < 240 THEN '1wk' ELSE '1mo' END AS timeframe FROM m""")
+@query(f"""WITH {BARS}, g AS (SELECT symbol, (epoch(ts) - epoch(lag(ts) OVER {W}))) / 3600 AS h FROM bars), m AS (SELECT symbol, median(h) AS h, count(*) AS n FROM g GROUP BY symbol)
+    SELECT symbol, round(h, 6) AS median_hours, CASE WHEN n <= 10 THEN '1d' WHEN h < 0.1 THEN '1m' WHEN h < 0.2 THEN '5m' WHEN h < 0.5 THEN '15m' WHEN h < 2 THEN '1h' WHEN h < 8 THEN '4h' WHEN h < 48 THEN '1d' WHEN h < 240 THEN '1wk' ELSE '1mo' END AS timeframe FROM m""")
 def metrics_timeframe(spark, d):
     return r6(backtest.detect_timeframe(B.hourly_bars(spark, d), ["symbol"]))
 
