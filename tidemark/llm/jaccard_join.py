@@ -95,8 +95,8 @@ def _counted(sets: list[np.ndarray]) -> np.ndarray:
 def sketch_classes(profile: DataFrame) -> bytes:
     """The frequency class of each counter, one byte each: 0 for what chance puts into a counter, then one more for each doubling.
 
-    Always COUNTERS bytes, whatever the input's size. A counter holds the sum of its shingles' frequencies, so no shingle is
-    thought rarer than it is beyond the mean count of a counter.
+    Always COUNTERS bytes, whatever the input's size, and all that the driver sees of the sketch. A counter holds the sum of its
+    shingles' frequencies, so no shingle is thought rarer than it is beyond the mean count of a counter.
     """
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +108,30 @@ def sketch_classes(profile: DataFrame) -> bytes:
                 counts = np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * COUNTERS // PARTS else np.uint64).astype(np.uint64)
                 sums[part] = sums[part] + counts if part in sums else counts
         pack = zstandard.ZstdCompressor(level=1).compress
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(v.tobytes()) for v in sums.values()], pa.binary())], names=["part", "counts"])
+        columns = [pa.array(list(sums), pa.int32()), pa.array([pack(v.tobytes()) for v in sums.values()], pa.binary()), pa.array([int(v.sum()) for v in sums.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "counts", "total"])
 
+    kinds = "part int, counts binary, total long"
     blobs = profile.where("part IS NOT NULL").select("part", "counts")
-    summed = blobs.mapInArrow(added, "part int, counts binary").repartition(PARTS, "part").mapInArrow(added, "part int, counts binary")
-    counts = np.zeros((PARTS, COUNTERS // PARTS), dtype=np.uint64)
-    for row in summed.collect():
-        counts[row.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.counts)), dtype=np.uint64)
-    flat = counts.reshape(-1).astype(float)
-    usual = flat.mean() + 3 * np.sqrt(flat.mean()) + 4
-    return np.where(flat < usual, 0, np.clip(1 + np.floor(np.log2(np.maximum(flat / usual, 1))), 1, 60)).astype(np.uint8).tobytes()
+    summed = stored(blobs.mapInArrow(added, kinds).select("part", "counts").repartition(PARTS, "part").mapInArrow(added, kinds), "sketch")
+    mean = (summed.agg(F.sum("total").alias("total")).head().total or 0) / COUNTERS
+    usual = mean + 3 * mean**0.5 + 4
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            found = []
+            for blob in batch.column(1).to_pylist():
+                counts = np.frombuffer(unpack(blob), dtype=np.uint64).astype(float)
+                found.append(np.where(counts < usual, 0, np.clip(1 + np.floor(np.log2(np.maximum(counts / usual, 1))), 1, 60)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["part", "classes"])
+
+    classes = bytearray(COUNTERS)
+    for row in summed.select("part", "counts").mapInArrow(classed, "part int, classes binary").collect():
+        low = row.part * (COUNTERS // PARTS)
+        classes[low : low + COUNTERS // PARTS] = row.classes
+    release(summed)
+    return bytes(classes)
 
 
 def prefix_rows(documents: DataFrame, k: int, tenths: int, classes: bytes, text_col: str = "text") -> DataFrame:
