@@ -5,10 +5,11 @@
 2. Shingles are ordered by frequency class (rare first, by the sketch), then hash. With overlap o = ceil(t n), a set's prefix
    has n - o + l shingles, and two sets that link share min(l, l') of them. A set takes a larger l where its prefix holds
    frequent shingles, which would cost many candidates.
-3. Within each prefix shingle every node is first compared with a hub, the smallest node (large groups are cut into salted
-   groups with hubs of their own, and the hubs are compared with one). That is linear in a group's size and joins
-   most copies to components. Then pairs of different components in a group, and only those, are counted, and those that
-   share enough prefix shingles are verified. Links within a component change nothing, so none is needed.
+3. Within each prefix shingle every node is first compared with two hubs: that of the group and, as large groups are cut
+   into salted groups, that of its salted group. A hub is the node whose shingles are the most frequent, in a group of near copies the
+   text that the others were made from. That is linear in a group's size and joins most copies to components. Then pairs of different
+   components in a group, and only those, are counted, and those that share enough prefix shingles are verified. Links
+   within a component change nothing, so none is needed.
 4. Candidates are cut by size and by the bitmaps (their Hamming distance is at most the symmetric difference: no link is
    lost) and then verified on the full sets.
 """
@@ -135,14 +136,17 @@ def sketch_classes(profile: DataFrame) -> bytes:
 
 
 def prefix_rows(documents: DataFrame, k: int, tenths: int, classes: bytes, text_col: str = "text") -> DataFrame:
-    """token, salt, frequent, node, n, l, at: the prefix shingles of every set and their places, once for each set and task."""
-    schema = "token long, salt int, frequent int, node binary, n int, l int, at int"
+    """token, salt, frequent, node, n, l, at, far: the prefix shingles of every set and their places, once for each set and task.
+
+    `far` is least for sets whose shingles are frequent throughout: in a group of near copies, the one the others were made from.
+    """
+    schema = "token long, salt int, frequent int, node binary, n int, l int, at int, far int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes, dtype=np.uint8)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, salts, frequents, nodes, sizes, ls, counts = [], [], [], [], [], [], []
+            tokens, salts, frequents, nodes, sizes, ls, counts, fars = [], [], [], [], [], [], [], []
             held = 0
             for found in shingle_sets(batch.column(0).to_pylist(), k):
                 n = len(found)
@@ -161,17 +165,18 @@ def prefix_rows(documents: DataFrame, k: int, tenths: int, classes: bytes, text_
                 sizes.append(n)
                 ls.append(l)
                 counts.append(len(chosen))
+                fars.append(60_000 - int(1000 * of.mean()))
                 held += len(chosen)
                 if held > 200_000:
-                    yield _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts)
-                    tokens, salts, frequents, nodes, sizes, ls, counts, held = [], [], [], [], [], [], [], 0
+                    yield _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts, fars)
+                    tokens, salts, frequents, nodes, sizes, ls, counts, fars, held = [], [], [], [], [], [], [], [], 0
             if held:
-                yield _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts)
+                yield _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts, fars)
 
     return documents.select(F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts) -> pa.RecordBatch:
+def _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts, fars) -> pa.RecordBatch:
     times = np.repeat(np.arange(len(nodes)), counts)
     return pa.RecordBatch.from_arrays(
         [
@@ -182,8 +187,9 @@ def _prefix_batch(tokens, salts, frequents, nodes, sizes, ls, counts) -> pa.Reco
             pa.array(np.array(sizes, dtype=np.int32)[times]),
             pa.array(np.array(ls, dtype=np.int32)[times]),
             pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts])),
+            pa.array(np.array(fars, dtype=np.int32)[times]),
         ],
-        names=["token", "salt", "frequent", "node", "n", "l", "at"],
+        names=["token", "salt", "frequent", "node", "n", "l", "at", "far"],
     )
 
 
@@ -240,16 +246,15 @@ def jaccard_components(documents: DataFrame, k: int = 5, tenths: int = 8, id_col
     rows = profile.where("part IS NULL").select("id", "n", "node", "bitmap", "folded")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("folded").alias("folded")), "nodes")
     classes = sketch_classes(profile)
-    own = Window.partitionBy("token", "salt").orderBy("node")
+    own = Window.partitionBy("token", "salt").orderBy("far", "node")
     prefix = prefix_rows(documents, k, tenths, classes, text_col)
-    prefix = prefix.select("*", F.first("node").over(own).alias("hub"), F.lead("node").over(own).alias("next"), F.lag("node").over(own).alias("before"))
+    prefix = prefix.select("*", F.first("node").over(own).alias("hub"), F.first("far").over(own).alias("hub_far"), F.lead("node").over(own).alias("next"), F.lag("node").over(own).alias("before"))
     # one row a node and shingle; shingles of one node only are done
     prefix = prefix.where((F.col("before").isNull() | (F.col("before") != F.col("node"))) & ((F.col("hub") != F.col("node")) | (F.col("next") != F.col("node")) | (F.col("frequent") > 0)))
-    shared = stored(prefix.select("token", "frequent", "node", "n", "l", "at", "hub"), "shared")
+    shared = stored(prefix.select("token", "frequent", "node", "n", "l", "at", "hub", "hub_far"), "shared")
 
-    hubs = shared.where("frequent > 0").select("token", "hub").distinct()
-    top = hubs.groupBy("token").agg(F.min("hub").alias("top"))
-    stars = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(hubs.join(top, "token").select(F.col("top").alias("a"), F.col("hub").alias("b")))
+    top = shared.where("frequent > 0").groupBy("token").agg(F.min_by("hub", F.struct("hub_far", "hub")).alias("top"))
+    stars = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(shared.where("frequent > 0").join(top, "token").select(F.col("top").alias("a"), F.col("node").alias("b")))
     stars = stars.where("a <> b").distinct()
     near = _near(stars, nodes, tenths)
     # the two likeliest hubs of each node; what they leave apart is compared below
