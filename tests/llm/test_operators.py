@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import chat, decontaminate, jaccard_join, mixing, pii, quality, queries, repeats, simhash, token_rollup, url_filter
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import shingle_sets
@@ -82,6 +83,27 @@ def test_jaccard_hot_tokens_and_repeated_ids(spark):
     assert {r.component_id for r in got.collect()} == {rows[l][0] for _, l in expected}
 
 
+def test_jaccard_group_of_edited_copies(spark):
+    """Copies with one to four edits of one text: some are linked through the text only, some through each other, some not."""
+    base = prose(80)
+    texts = [edited(base, i % 4 + 1) for i in range(150)] + [base] + [edited(base, 6) for _ in range(20)] + [base]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8).collect()}
+    assert got == dict(enumerate(brute_components(texts, 5, 8)))
+
+
+def test_pipeline_stages(spark, docs, texts):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in enumerate(brute_components(texts, 5, 8)) if c == i}
+    clean = corpus_pipeline.pii_stage(spark, docs.select(columns), SF)
+    assert clean.columns == columns and clean.count() == len(texts)
+    assert {r.doc_id: r.n_chars for r in clean.collect()} == {r.doc_id: None if r.text is None else len(r.text) for r in clean.collect()}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "mixing"]
+
+
 def test_jaccard_without_ids(spark):
     text = prose(90)
     rows = [(None, text), (None, text), (4, None), (None, ""), (5, prose(50)), (None, edited(text, 1))]
