@@ -93,6 +93,17 @@ def test_jaccard_group_of_edited_copies(spark):
     assert got == dict(enumerate(brute_components(texts, 5, 8)))
 
 
+def test_jaccard_hubs_with_copies_in_several_tasks(spark):
+    """A whole text, parts of it, each linked with the whole only, and copies of the least part in other partitions."""
+    wholes = [[f"t{i}w{j}" for j in range(100)] for i in range(24)]
+    cuts = lambda a, b: [" ".join(w[a:b]) for w in wholes]
+    texts = cuts(0, 31) + cuts(0, 100) + cuts(31, 65) + cuts(65, 100) + cuts(0, 31)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert frame.rdd.getNumPartitions() >= 4
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame, 1, 3).collect()}
+    assert got == dict(enumerate(brute_components(texts, 1, 3)))
+
+
 def test_pipeline_stages(spark, docs, texts):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)

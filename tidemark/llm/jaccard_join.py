@@ -247,10 +247,11 @@ def jaccard_components(documents: DataFrame, k: int = 5, tenths: int = 8, id_col
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("folded").alias("folded")), "nodes")
     classes = sketch_classes(profile)
     own = Window.partitionBy("token", "salt").orderBy("far", "node")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     prefix = prefix_rows(documents, k, tenths, classes, text_col)
-    prefix = prefix.select("*", F.first("node").over(own).alias("hub"), F.first("far").over(own).alias("hub_far"), F.lead("node").over(own).alias("next"), F.lag("node").over(own).alias("before"))
-    # one row a node and shingle; shingles of one node only are done
-    prefix = prefix.where((F.col("before").isNull() | (F.col("before") != F.col("node"))) & ((F.col("hub") != F.col("node")) | (F.col("next") != F.col("node")) | (F.col("frequent") > 0)))
+    prefix = prefix.select("*", F.first("node").over(own).alias("hub"), F.first("far").over(own).alias("hub_far"), F.last("node").over(whole).alias("last"), F.lag("node").over(own).alias("before"))
+    # one row a node and shingle (texts of several tasks have several); shingles of one node only are done
+    prefix = prefix.where((F.col("before").isNull() | (F.col("before") != F.col("node"))) & ((F.col("hub") != F.col("last")) | (F.col("frequent") > 0)))
     shared = stored(prefix.select("token", "frequent", "node", "n", "l", "at", "hub", "hub_far"), "shared")
 
     top = shared.where("frequent > 0").groupBy("token").agg(F.min_by("hub", F.struct("hub_far", "hub")).alias("top"))
