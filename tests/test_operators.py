@@ -158,6 +158,20 @@ def test_file_lookup(spark):
     assert files.resolve(index, "btc", "1h").head().path == "p2" and files.resolve(index, "btc", "4h").head().path == "p3" and files.resolve(index, "eth", "1h").count() == 0
 
 
+def test_hashes_are_of_whole_files(spark, tmp_path):
+    import hashlib
+
+    first = b"x" * (1 << 20)
+    contents = {"a.bin": first + b"1", "b.bin": first + b"2", "c d%20.bin": first + b"2"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+    for found in (files.scan(spark, str(tmp_path), contents=True), files.scan(spark, str(tmp_path), contents=True, large=1000)):
+        assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in found.collect()} == want
+        assert [(r.sha256, r.copies, r.wasted) for r in files.duplicates(found).collect()] == [(want["b.bin"], 2, len(first) + 1)]
+        assert files.first_of_each(found).count() == 2
+
+
 def test_chunks(spark):
     text = "Chapter 1\n" + "A sentence here. " * 300 + "\n\nChapter 2\n" + "Another one there. " * 200
     got = docs.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "short")], "doc_id long, text string"), 128, 16).orderBy("chunk_idx").collect()

@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Files above so many bytes are hashed from their paths, in blocks of so many.
+LARGE, BLOCK = 64 << 20, 1 << 20
 #: extension -> category (fixed values).
 CATEGORIES = {"csv": "data", "parquet": "data", "json": "data", "jsonl": "data", "pdf": "book", "epub": "book", "djvu": "book", "docx": "book", "png": "image", "jpg": "image", "jpeg": "image", "html": "page", "mp4": "video", "srt": "subtitle", "vtt": "subtitle", "cbm": "model", "pkl": "model", "pt": "model", "onnx": "model", "py": "code"}
 
 
-def scan(spark: SparkSession, path: str, contents: bool = False) -> DataFrame:
-    """path, ext, category, size_bytes, modified (and sha256 of the first MB if `contents`) of all files below a path."""
+def scan(spark: SparkSession, path: str, contents: bool = False, large: int = LARGE) -> DataFrame:
+    """path, ext, category, size_bytes, modified (and sha256 of the whole file if `contents`) of all files below a path.
+
+    Files of more than `large` bytes are not loaded: tasks read them from their paths in blocks.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    out = files.select("path", extension(F.col("path")).alias("ext"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), *([F.sha2(F.substring("content", 1, 1 << 20), 256).alias("sha256")] if contents else []))
-    return out.withColumn("category", category(F.col("ext")))
+    named = ["path", extension(F.col("path")).alias("ext"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
+    if not contents:
+        return files.select(*named).withColumn("category", category(F.col("ext")))
+    small = files.where(F.col("length") <= large).select(*named, F.sha2("content", 256).alias("sha256"))
+    rest = files.where(F.col("length") > large).select(*named)
+    streamed = rest.mapInArrow(_hashed, "path string, ext string, size_bytes long, modified timestamp, sha256 string")
+    return small.unionByName(streamed).withColumn("category", category(F.col("ext")))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with sha256 of the files at `path`, read in blocks."""
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as file:
+                while block := file.read(BLOCK):
+                    digest.update(block)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "sha256"])
+
+
+def _opened(path: str):
+    if path.startswith("file:") or path.startswith("/"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(unquote(name))
 
 
 def extension(path: Column) -> Column:
