@@ -253,6 +253,19 @@ def test_folds():
         splits.plan_folds(10, folds=3, test=8, least=5)
 
 
+def test_folds_of_each_length(spark):
+    lengths = {"a": 720, "b": 170, "c": 23, "d": 3}
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i) for s, n in lengths.items() for i in range(n)]
+    out = splits.assign_own_folds(spark.createDataFrame(rows, "symbol string, ts timestamp, i int"), folds=4, gap=5)
+    got = {(r.symbol, r.fold, r.part): (r.low, r.high + 1, r.n) for r in out.groupBy("symbol", "fold", "part").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.count("*").alias("n")).collect()}
+    want = {}
+    for s in "abc":
+        for f in splits.plan_folds(lengths[s], folds=4, gap=5):
+            want |= {(s, f.fold, "train"): (0, f.train_end, f.train_end), (s, f.fold, "test"): (f.test_start, f.test_end, f.test_end - f.test_start)}
+    assert got == want
+    assert max(high for (s, _, _), (_, high, _) in got.items() if s == "a") >= 718
+
+
 def test_anomalies(bars):
     got = anomaly.anomalies(bars)
     assert got.count() == 520 and got.where("confidence NOT IN (0.0, 0.3, 0.9)").count() == 0

@@ -45,6 +45,19 @@ def assign_folds(spark: SparkSession, df: DataFrame, folds: list[Fold], by: str
     return numbered.join(F.broadcast(table), (F.col("_row") >= F.col("_low")) & (F.col("_row") < F.col("_high"))).drop("_row", "_low", "_high")
 
 
+def assign_own_folds(df: DataFrame, folds: int = 5, gap: int = 0, by: str = "symbol") -> DataFrame:
+    """As `assign_folds`, each series of `by` with the plan of its own length: `plan_folds(n, folds, gap=gap)`; series too short for it have no folds."""
+    w = Window.partitionBy(by)
+    numbered = df.withColumns({"_row": F.row_number().over(w.orderBy("ts")) - 1, "_n": F.count("*").over(w)})
+    size = F.floor(F.col("_n") / (folds + 1))
+    step = F.greatest(F.lit(1), F.floor((F.col("_n") - 2 * size - gap) / (folds - 1)))
+    ends = [(k, size + k * step) for k in range(folds)]
+    parts = F.array(*(F.struct(F.lit(k).alias("fold"), F.lit(p).alias("part"), low.alias("low"), high.alias("high"), (end + gap + size).alias("last")) for k, end in ends for p, low, high in (("train", F.lit(0).cast("long"), end), ("test", end + gap, end + gap + size))))
+    held = F.filter(parts, lambda f: (F.col("_row") >= f["low"]) & (F.col("_row") < f["high"]) & (f["last"] <= F.col("_n")))
+    placed = numbered.where(size >= 1).withColumn("_fold", F.explode(held))
+    return placed.select(*df.columns, "_fold.fold", "_fold.part")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, shares: tuple[float, float] = (0.7, 0.15), seed: int = 42) -> DataFrame:
     """df with `part` (train, val, test): within each label by rank of a hash; labels with fewer than 3 rows go."""
     w = Window.partitionBy(label)

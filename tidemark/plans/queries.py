@@ -493,6 +493,14 @@ def split_folds(spark, d):
     return r6(splits.assign_folds(spark, B.hourly_bars(spark, d), folds).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("close").alias("mean_close")))
 
 
+@query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER {W}) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars), p AS (SELECT *, n // 5 AS size, greatest(1, (n - 2 * (n // 5) - 5) // 3) AS step FROM n WHERE n >= 5),
+    f AS (SELECT p.*, fold, size + fold * step AS e FROM p, (VALUES (0), (1), (2), (3)) v(fold)), a AS (SELECT *, CASE WHEN k < e THEN 'train' WHEN k >= e + 5 AND k < e + 5 + size THEN 'test' END AS part FROM f WHERE e + 5 + size <= n)
+    SELECT symbol, fold, part, count(*) AS n, round(avg(close), 6) AS mean_close FROM a WHERE part IS NOT NULL GROUP BY symbol, fold, part""")
+def split_folds_by_length(spark, d):
+    """Folds over the whole of each symbol's series, whatever its length."""
+    return r6(splits.assign_own_folds(B.hourly_bars(spark, d), folds=4, gap=5).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("close").alias("mean_close")))
+
+
 @query()
 def split_stratified(spark, d):
     return splits.stratified_split(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id").groupBy("label", "part").agg(F.count("*").alias("n"))
