@@ -149,10 +149,38 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,seed,large", [(400, 128, 100_000), (60, 20, 100_000), (60, 20, 2)])
-def test_repeats(docs, texts, length, seed, large):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs, length=length, seed=seed, large=large).drop("kept").collect()}
-    assert got == dict(enumerate(brute_repeats(texts, length)))
+def brute_passages(texts, n):
+    """Per text: words that runs of n words cover which another text has, and their maximal runs."""
+    low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for t in texts]
+    holders = {}
+    for number, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            holders.setdefault(tuple(w[i : i + n]), set()).add(number)
+    out = []
+    for w in words:
+        mask = np.zeros(len(w) + 2, dtype=np.int8)
+        for i in range(len(w) - n + 1):
+            if len(holders[tuple(w[i : i + n])]) > 1:
+                mask[i + 1 : i + n + 1] = 1
+        out.append((int(mask.sum()), int((np.diff(mask) == 1).sum())))
+    return out
+
+
+@pytest.mark.parametrize("length,seed,large,passage", [(400, 128, 100_000, 51), (60, 20, 100_000, 12), (60, 20, 2, 12)])
+def test_repeats(docs, texts, length, seed, large, passage):
+    own = "own words twice " * 30  # repeats inside one document are no passages
+    extra = [own + prose(9), edited(texts[0], 0).upper().replace(" ", "\n"), prose(20) + "  " + " ".join(texts[1].split()[:51])]
+    frame = docs.select("doc_id", "text", "copies").unionByName(docs.sparkSession.createDataFrame([(1000 + i, t, 1) for i, t in enumerate(extra)], "doc_id long, text string, copies int").withColumn("copies", F.col("copies").cast("long")))
+    got = {r.doc_id: r for r in repeats.remove_repeats(frame, length=length, seed=seed, large=large, passage=passage).collect()}
+    names = [*range(len(texts)), *(1000 + i for i in range(len(extra)))]
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == dict(zip(names, brute_repeats(texts + extra, length)))
+    assert {i: (r.n_shared_words, r.n_passages) for i, r in got.items()} == dict(zip(names, brute_passages(texts + extra, passage)))
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got.values())
+
+
+def test_repeats_of_nothing(nothing):
+    assert repeats.remove_repeats(nothing).count() == 0
 
 
 def test_repeats_kernel_on_periodic_texts():

@@ -1,12 +1,16 @@
 """Suffix-array dedup: bytes covered by a string of LENGTH bytes that occurs elsewhere, by external induced sorting.
 
+The same sort also finds passages, runs of PASSAGE words or more that another document has too: a text's words become a string
+of four bytes a word (a hash), which goes through the same steps beside the text's own bytes, as a unit of its own.
+
 Suffixes are sorted only where they can matter, in the manner of induced sorting: a sample of suffixes first, the others from it.
 
 1. Sample. Of the SEED-byte strings in each LENGTH-byte window the one with the least hash is the window's anchor, so equal
    windows have their anchors at equal places, and about one position in 140 is an anchor. An anchor's windows
    are consecutive: those that begin `first` to `last` bytes into the text.
 2. Name. Anchors are named by their seed; a seed that occurs once ends there. If all that an anchor's windows cover occurs
-   again around another anchor of the name, all these windows repeat, and nothing needs to be sorted.
+   again around another anchor of the name, all these windows repeat, and nothing needs to be sorted. Equal surroundings
+   are counted before anything is joined, so copies are one row however many there are.
 3. Sort. The other anchors (one for each different surrounding) bring the bytes around them. Spark's external sort deals them out
    by name, SHARD at a time: the suffixes that begin at anchors are sorted, with the lengths of common prefixes of neighbours.
 4. Induce. The suffixes one byte further left are ordered by that byte and, where it is equal, by the order just found; a
@@ -25,19 +29,25 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, stored, text_of
-from tidemark.llm.shingles import mixed
+from tidemark.llm.shingles import mixed, words_of
 
 LENGTH, SEED = 400, 128
+#: Words of the shortest passage, and bytes that stand for a word.
+PASSAGE, WORD_BYTES = 51, 4
 #: Windows hashed at once; suffixes sorted at once; surroundings of one name above which windows are counted.
 SLICE, SHARD, LARGE = 1 << 21, 20_000, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _PLACE = np.uint64((1 << 24) - 1)
-ANCHORS = "digest binary, at int, first int, last int, seed long, around long"
+#: `unit` 0: bytes of the text, 1: of its words; d1, d2: digest of the text; `row` names a row of the input.
+ANCHORS = "unit int, row long, d1 long, d2 long, at int, first int, last int, seed long, around long"
+AROUND = "unit int, d1 long, d2 long, at int, first int, last int, seed long, lo long, hi long, bytes binary"
+SPANS = "d1 long, d2 long, unit int, low int, high int"
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
@@ -110,11 +120,17 @@ def _anchors(group: list[tuple[int, int, bytes]], length: int, seed: int) -> np.
     return rows
 
 
-def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def word_bytes(text: bytes) -> bytes:
+    """The words of a text, A-Z lower-cased, as hashes of WORD_BYTES bytes each."""
+    return words_of(text)[1].astype("<u4").tobytes()
+
+
+def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np.ndarray, length: int = LENGTH, owners: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Induced sorting of one shard: rows (number, near, far), all runs of windows, near to far bytes left of an anchor, that repeat.
 
     `around`: the bytes that an anchor's windows cover; the anchor is `left` bytes in, its windows begin `right` to
-    `left` bytes left of it. Only anchors of equal seeds are compared.
+    `left` bytes left of it. Only anchors of equal seeds are compared. `owners`: least and largest row that has each
+    surrounding; if given, a window repeats only if two rows have it.
     """
     n = len(around)
     order = np.array(sorted(range(n), key=lambda i: (seeds[i], around[i][left[i] :])), dtype=np.int64)
@@ -129,6 +145,7 @@ def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np
         behind[row, : left[i]] = b[: left[i]][::-1]
     # from here rows are numbered in the order of the suffixes that begin at anchors
     far, near = left[order], right[order]
+    lo, hi = (o[order] for o in owners) if owners else (None, None)
     differ = ahead[1:] != ahead[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     common = np.minimum(common, np.minimum(have[1:], have[:-1]))
@@ -140,6 +157,10 @@ def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np
         # suffixes d bytes left of anchors, in order; lcp: bytes that one shares with the suffix before, -1 where another class begins
         enough = lcp >= length
         hit = enough | np.concatenate((enough[1:], [False]))
+        if owners:  # classes of equal windows, each from one row that shares no more with the row before
+            heads = np.flatnonzero(~enough)
+            several = np.minimum.reduceat(lo[rows], heads) < np.maximum.reduceat(hi[rows], heads)
+            hit &= several[np.cumsum(~enough) - 1]
         marks[rows[hit], d] = True
         keep = far[rows] > d
         key = group * 256 + behind[rows, d]
@@ -180,50 +201,68 @@ def _packed(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, f"{kept}, packed binary")
 
 
-def _digest(text: Column) -> Column:
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+def _digest(text: Column) -> tuple[Column, Column]:
+    hexed = F.sha2(text, 256)
+    return tuple(F.conv(F.substring(hexed, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "d1"), (17, "d2")))
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, large: int = LARGE) -> DataFrame:
-    """(digest, low, high): byte ranges of texts that strings of `length` bytes cover which occur elsewhere; they may overlap.
+def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, large: int = LARGE, passage: int = PASSAGE) -> DataFrame:
+    """(d1, d2, unit, low, high): ranges of texts; they may overlap.
 
-    `texts`: digest, text, a row for each document: a text that two rows have occurs twice.
+    Unit 0: bytes that strings of `length` bytes cover which occur elsewhere. Unit 1: bytes of the words' string that runs of
+    `passage` words cover which another row has. `texts`: d1, d2, text, a row for each document: a text that two
+    rows have occurs twice.
     """
+    lengths, seeds = (length, passage * WORD_BYTES), (seed, max(passage * WORD_BYTES // 3, 1))
+    shortest = min(length, 2 * passage - 1)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            rows = anchors([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], length, seed)
-            ints = [pa.array(rows[c].astype(np.int32)) for c in ("at", "first", "last")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows["text"])), *ints, pa.array(rows["seed"].view(np.int64)), pa.array(rows["around"].view(np.int64))], names=["digest", "at", "first", "last", "seed", "around"])
-
-    found = stored(texts.where(F.length(F.encode("text", "utf-8")) >= length).select("digest", "text").mapInArrow(sample, ANCHORS), "anchors")
-    names = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most")).where("n > 1")
-    shared = stored(found.join(names.select("seed", (F.col("least") != F.col("most")).alias("mixed")), "seed"), "shared")
-    counted = shared.groupBy("seed", "around").agg(F.count("*").alias("copies"))
-    again = shared.join(counted.where("copies > 1"), ["seed", "around"], "left_semi").select("digest", F.col("first").alias("low"), (F.col("last") + length).alias("high"))
-
-    # one anchor for each surrounding; those that occur once ask whether parts of them occur in others
-    single = shared.where("mixed").dropDuplicates(["seed", "around"])
-    asked = single.groupBy("digest").agg(F.collect_list(F.struct("seed", "at", "first", "last")).alias("anchors"))
-    packed = _packed(texts.select("digest", "text")).dropDuplicates(["digest"])
-    kinds = "digest binary, at int, first int, last int, seed long, bytes binary"
+            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            for unit in (0, 1):
+                rows = anchors([word_bytes(t) for t in data] if unit else data, lengths[unit], seeds[unit])
+                own = pa.array(rows["text"])
+                ints = [pa.array(rows[c].astype(np.int32)) for c in ("at", "first", "last")]
+                hashes = [pa.array(rows[c].view(np.int64)) for c in ("seed", "around")]
+                columns = [pa.array(np.full(len(rows), unit, dtype=np.int32)), pa.array(rows["text"] + number), *(batch.column(c).take(own) for c in (0, 1)), *ints, *hashes]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "row", "d1", "d2", "at", "first", "last", "seed", "around"])
+            number += batch.num_rows
+
+    known = texts.where(F.length(F.encode("text", "utf-8")) >= shortest).select("d1", "d2", "text")
+    found = stored(known.mapInArrow(sample, ANCHORS), "anchors")
+    # one row for each surrounding; `first` takes all columns from the same anchor
+    one = [F.first(c).alias(c) for c in ("d1", "d2", "at", "first", "last")]
+    sets = stored(found.groupBy("unit", "seed", "around").agg(F.count("*").alias("copies"), *one, F.min("row").alias("lo"), F.max("row").alias("hi")), "sets")
+    # tables of keys are written before they are joined: Spark can then split hot keys of the other side
+    twice = stored(sets.where("copies > 1 AND (unit = 0 OR lo < hi)").select("unit", "seed", "around"), "twice")
+    again = found.join(twice, ["unit", "seed", "around"], "left_semi").select("d1", "d2", "unit", F.col("first").alias("low"), (F.col("last") + F.when(F.col("unit") == 0, lengths[0]).otherwise(lengths[1])).alias("high"))
+    names = stored(sets.groupBy("unit", "seed").agg(F.count("*").alias("n")).where("n > 1"), "names")
+
+    # one anchor for each surrounding asks whether parts of it occur in others of its name
+    single = sets.join(names, ["unit", "seed"], "left_semi")
+    asked = stored(single.groupBy("d1", "d2").agg(F.collect_list(F.struct("unit", "at", "first", "last", "seed", "lo", "hi")).alias("anchors")), "asked")
+    packed = _packed(known).dropDuplicates(["d1", "d2"])
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for digest, packed, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = unpack(packed)
+            for i in range(batch.num_rows):
+                d1, d2, packed, rows = (batch.column(c)[i].as_py() for c in range(4))
+                texts: dict[int, bytes] = {0: unpack(packed)}
                 for low in range(0, len(rows), 4096):
                     some = rows[low : low + 4096]
-                    ints = [pa.array([r[c] for r in some], pa.int32()) for c in ("at", "first", "last")]
-                    around = [text[r["first"] : r["last"] + length] for r in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(some), pa.binary()), *ints, pa.array([r["seed"] for r in some], pa.int64()), pa.array(around, pa.binary())], names=["digest", "at", "first", "last", "seed", "bytes"])
-
-    around = stored(packed.join(asked, "digest").select("digest", "packed", "anchors").mapInArrow(surroundings, kinds), "around")
-    sizes = around.groupBy("seed").agg(F.count("*").alias("n"))
-    too_large = stored(sizes.where(F.col("n") > large).select("seed"), "large")
+                    if 1 not in texts and any(r["unit"] for r in some):
+                        texts[1] = word_bytes(texts[0])
+                    values = {c: pa.array([r[c] for r in some], pa.int32()) for c in ("unit", "at", "first", "last")} | {c: pa.array([r[c] for r in some], pa.int64()) for c in ("seed", "lo", "hi")}
+                    values |= {"d1": pa.array([d1] * len(some), pa.int64()), "d2": pa.array([d2] * len(some), pa.int64())}
+                    values["bytes"] = pa.array([texts[r["unit"]][r["first"] : r["last"] + lengths[r["unit"]]] for r in some], pa.binary())
+                    yield pa.RecordBatch.from_pydict({c: values[c] for c in ("unit", "d1", "d2", "at", "first", "last", "seed", "lo", "hi", "bytes")})
+
+    around = stored(packed.join(asked, ["d1", "d2"]).select("d1", "d2", "packed", "anchors").mapInArrow(surroundings, AROUND), "around")
+    too_large = stored(names.where(F.col("n") > large).select("unit", "seed"), "large")
     some_large = too_large.limit(1).count() > 0
-    fitting = around.join(too_large, "seed", "left_anti") if some_large else around
+    fitting = around.join(too_large, ["unit", "seed"], "left_anti") if some_large else around
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -233,75 +272,91 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, lar
             rows += batch.num_rows
             if rows >= SHARD:
                 whole = pa.Table.from_batches(held)
-                seeds = whole.column("seed").to_numpy()
-                ends = np.flatnonzero(seeds != seeds[-1])  # the last name may go on in the next batch
+                names = whole.column("seed").to_numpy()
+                ends = np.flatnonzero(names != names[-1])  # the last name may go on in the next batch
                 if len(ends):
-                    yield from _induced(whole.slice(0, ends[-1] + 1), length)
+                    yield from _induced(whole.slice(0, ends[-1] + 1), lengths)
                     rest = whole.slice(ends[-1] + 1)
                     held, rows = rest.combine_chunks().to_batches(), rest.num_rows
         if rows:
-            yield from _induced(pa.Table.from_batches(held), length)
+            yield from _induced(pa.Table.from_batches(held), lengths)
 
-    spans = "digest binary, low int, high int"
-    parts = [again, fitting.repartition("seed").sortWithinPartitions("seed").mapInArrow(induce, spans)]
+    parts = [again, fitting.repartition("seed").sortWithinPartitions("unit", "seed").mapInArrow(induce, SPANS)]
     if some_large:
-        parts.append(_counted_windows(around.join(too_large, "seed", "left_semi"), length))
+        parts.append(_counted_windows(around.join(too_large, ["unit", "seed"], "left_semi"), lengths))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     out = stored(out.distinct(), "spans")
-    for t in (found, shared, around):
+    for t in (found, sets, twice, names, asked, around):
         release(t)
     return out
 
 
-def _induced(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Shards of whole names; a name with more than SHARD surroundings is a shard of its own."""
-    seeds = table.column("seed").to_numpy()
-    cuts = np.concatenate(([0], np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, [len(seeds)]))
+def _induced(table: pa.Table, lengths: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Shards of whole names of one unit; a name with more than SHARD surroundings is a shard of its own."""
+    seeds, units = table.column("seed").to_numpy(), table.column("unit").to_numpy()
+    cuts = np.concatenate((np.flatnonzero((seeds[1:] != seeds[:-1]) | (units[1:] != units[:-1])) + 1, [len(seeds)]))
     low = 0
-    for begin, end in zip(cuts, cuts[1:]):
-        if end - low >= SHARD or end == len(seeds):
-            part = table.slice(low, end - low)
+    for end in cuts:
+        if end - low >= SHARD or end == len(seeds) or units[end] != units[end - 1]:
+            part, unit = table.slice(low, end - low), int(units[low])
             at, first, last = (part.column(c).to_numpy().astype(np.int64) for c in ("at", "first", "last"))
-            runs = repeated(seeds[low:end], part.column("bytes").to_pylist(), at - first, at - last, length)
-            own = pa.array(runs[:, 0])
-            low_byte, high_byte = at[runs[:, 0]] - runs[:, 2], at[runs[:, 0]] - runs[:, 1] + length
-            digests = part.column("digest").combine_chunks().take(own)
-            digests = digests if isinstance(digests, pa.Array) else pa.concat_arrays(digests.chunks)
-            yield pa.RecordBatch.from_arrays([digests, pa.array(low_byte.astype(np.int32)), pa.array(high_byte.astype(np.int32))], names=["digest", "low", "high"])
+            owners = (part.column("lo").to_numpy(), part.column("hi").to_numpy()) if unit else None
+            runs = repeated(seeds[low:end], part.column("bytes").to_pylist(), at - first, at - last, lengths[unit], owners)
+            own = runs[:, 0]
+            low_byte, high_byte = at[own] - runs[:, 2], at[own] - runs[:, 1] + lengths[unit]
+            d1, d2 = (pa.array(part.column(c).to_numpy()[own]) for c in ("d1", "d2"))
+            yield pa.RecordBatch.from_arrays([d1, d2, pa.array(np.full(len(own), unit, dtype=np.int32)), pa.array(low_byte.astype(np.int32)), pa.array(high_byte.astype(np.int32))], names=["d1", "d2", "unit", "low", "high"])
             low = end
 
 
-def _counted_windows(around: DataFrame, length: int) -> DataFrame:
+def _counted_windows(around: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     """The same for names with too many surroundings: every window is a row, and equal ones are counted."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                digest, at, first, last, seed, data = (batch.column(c)[i].as_py() for c in ("digest", "at", "first", "last", "seed", "bytes"))
+                unit, d1, d2, first, last, lo, hi, data = (batch.column(c)[i].as_py() for c in ("unit", "d1", "d2", "first", "last", "lo", "hi", "bytes"))
                 n = last - first + 1
-                hashes = [xxhash.xxh3_128_digest(data[j : j + length]) for j in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array(range(first, first + n), pa.int32()), pa.array([seed] * n, pa.int64()), pa.array(hashes, pa.binary())], names=["digest", "low", "seed", "window"])
+                halves = [np.frombuffer(xxhash.xxh3_128_digest(data[j : j + lengths[unit]]), dtype=np.int64) for j in range(n)]
+                values = {"unit": pa.array([unit] * n, pa.int32())} | {k: pa.array([v] * n, pa.int64()) for k, v in (("d1", d1), ("d2", d2), ("lo", lo), ("hi", hi))}
+                values |= {"low": pa.array(range(first, first + n), pa.int32()), "w1": pa.array([h[0] for h in halves], pa.int64()), "w2": pa.array([h[1] for h in halves], pa.int64())}
+                yield pa.RecordBatch.from_pydict(values)
+
+    rows = stored(around.mapInArrow(windows, "unit int, d1 long, d2 long, lo long, hi long, low int, w1 long, w2 long"), "windows")
+    counted = rows.groupBy("unit", "w1", "w2").agg(F.count("*").alias("n"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+    twice = stored(counted.where("n > 1 AND (unit = 0 OR least < most)").select("unit", "w1", "w2"), "equal")
+    high = F.col("low") + F.when(F.col("unit") == 0, lengths[0]).otherwise(lengths[1])
+    return rows.join(twice, ["unit", "w1", "w2"], "left_semi").select("d1", "d2", "unit", "low", high.cast("int").alias("high"))
+
 
-    rows = stored(around.mapInArrow(windows, "digest binary, low int, seed long, window binary"), "windows")
-    twice = rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(twice, "window", "left_semi").select("digest", "low", (F.col("low") + length).cast("int").alias("high"))
+def _runs(ranges: list[dict]) -> list[tuple[int, int]]:
+    """Maximal runs of ranges; ranges that touch are one run."""
+    runs: list[tuple[int, int]] = []
+    for low, high in sorted((r["low"], r["high"]) for r in ranges):
+        if runs and low <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], high))
+        else:
+            runs.append((low, high))
+    return runs
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, large: int = LARGE) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) for every row; `kept`: the bytes that remain.
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, large: int = LARGE, passage: int = PASSAGE) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256, n_shared_words, n_passages) for every row; `kept`: the bytes that remain.
 
     Every byte covered by a string of `length` bytes that starts anywhere else too, in the same text or another, is removed, all
-    judged on the input. Texts are UTF-8 bytes; null is empty; texts shorter than `length` stay whole; repeated rows
-    are occurrences of their own (and so are removed if long enough); ids may be null or repeated; an empty table gives
-    no rows; other columns are not read.
+    judged on the input. `n_shared_words`: words covered by runs of `passage` words that another row has too, A-Z and a-z
+    alike, whatever stands between words; `n_passages`: their maximal runs; nothing is removed for them. Texts are
+    UTF-8 bytes; null is empty; texts shorter than `length` stay whole; repeated rows are occurrences of their own
+    (and so are removed if long enough); ids may be null or repeated; an empty table gives no rows; other columns are
+    not read. A text may be as long as a row can be: it is cut into slices for hashing, and only it is in memory.
     """
     text = text_of(text_col)
-    rows = documents.select(F.col(id_col).alias("id"), text.alias("text")).select("id", _digest(F.col("text")).alias("digest"), "text")
-    spans = repeated_spans(rows.select("digest", "text"), length, seed, large)
+    rows = documents.select(F.col(id_col).alias("id"), text.alias("text")).select("id", *_digest(F.col("text")), "text")
+    spans = repeated_spans(rows.select("d1", "d2", "text"), length, seed, large, passage)
     # `spans` holds each range once, and a text has few: its list is bounded by the text's length
-    listed = spans.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    listed = stored(spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("unit", "low", "high")).alias("spans")), "listed")
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,22 +364,12 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             out: list[tuple] = []
             for packed, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = unpack(packed)
-                kept, at, removed, runs = [], 0, 0, 0
-                reach = -1
-                for r in sorted(ranges or [], key=lambda r: (r["low"], r["high"])):
-                    if r["low"] > reach:  # ranges that touch are one run
-                        runs += 1
-                        kept.append(data[max(at, 0) : r["low"]])
-                        removed += r["high"] - r["low"]
-                        reach = at = r["high"]
-                    elif r["high"] > reach:
-                        removed += r["high"] - reach
-                        reach = at = r["high"]
-                kept.append(data[at:])
-                out.append((len(data), removed, runs, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3)), pa.array([o[3] for o in out], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = _packed(rows).join(listed, "digest", "left").select("id", "packed", "spans")
-    done = joined.mapInArrow(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", F.sha2("kept", 256).alias("kept_sha256"))
+                data, (gone, shared) = unpack(packed), (_runs([r for r in ranges or [] if r["unit"] == unit]) for unit in (0, 1))
+                edges = [0, *(edge for run in gone for edge in run), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                out.append((len(data), len(data) - len(kept), len(gone), sum(b - a for a, b in shared) // WORD_BYTES, len(shared), kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(5)), pa.array([o[5] for o in out], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "n_shared_words", "n_passages", "kept"])
+
+    joined = _packed(rows).join(listed, ["d1", "d2"], "left").select("id", "packed", "spans")
+    done = joined.mapInArrow(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, n_shared_words long, n_passages long, kept binary")
+    return done.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_words", "n_passages")
