@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a string of LENGTH bytes that occurs elsewhere, by external induced sorting.
 
 The same sort also finds passages, runs of PASSAGE words or more that another document has too: a text's words become a string
-of four bytes a word (a hash), which goes through the same steps beside the text's own bytes, as a unit of its own.
+of numbers, one a word (a hash), which goes through the same steps beside the text's own bytes, as a unit of its own.
 
 Suffixes are sorted only where they can matter, in the manner of induced sorting: a sample of suffixes first, the others from it.
 
@@ -37,14 +37,18 @@ from tidemark.llm.common import release, stored, text_of
 from tidemark.llm.shingles import mixed, words_of
 
 LENGTH, SEED = 400, 128
-#: Words of the shortest passage, and bytes that stand for a word.
-PASSAGE, WORD_BYTES = 51, 4
+#: Words of the shortest passage, and of its seeds.
+PASSAGE, PASSAGE_SEED = 51, 8
 #: Windows hashed at once; suffixes sorted at once; surroundings of one name above which windows are counted.
 SLICE, SHARD, LARGE = 1 << 21, 20_000, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _PLACE = np.uint64((1 << 24) - 1)
-#: `unit` 0: bytes of the text, 1: of its words; d1, d2: digest of the text; `row` names a row of the input.
+#: Keeps names of words apart from names of bytes.
+_MARK = np.uint64(1 << 40)
+#: What a text is a string of, by unit: bytes, hashes of words.
+LETTERS = (np.dtype(np.uint8), np.dtype("<u4"))
+#: `unit` 0: the text's bytes, 1: its words; places are counted in these. d1, d2: digest of the text; `row` names a row of the input.
 ANCHORS = "unit int, row long, d1 long, d2 long, at int, first int, last int, seed long, around long"
 AROUND = "unit int, d1 long, d2 long, at int, first int, last int, seed long, lo long, hi long, bytes binary"
 SPANS = "d1 long, d2 long, unit int, low int, high int"
@@ -75,13 +79,17 @@ def _least(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> np.ndarray:
-    """Rows (text, at, first, last, seed hash, surroundings hash) of the anchors of all texts, as a structured array."""
+def anchors(texts: list[bytes] | list[np.ndarray], length: int = LENGTH, seed: int = SEED) -> np.ndarray:
+    """Rows (text, at, first, last, seed hash, surroundings hash) of the anchors of all texts, as a structured array.
+
+    A text: bytes, or an array of hashes of words.
+    """
     out, group, size = [], [], 0
     for number, text in enumerate(texts):
-        # a long text is cut into pieces that share length - 1 bytes: every window is in one piece
-        for low in range(0, max(len(text) - length + 1, 0), SLICE):
-            piece = text[low : low + SLICE + length - 1]
+        letters = np.frombuffer(text, dtype=LETTERS[0]) if isinstance(text, bytes) else text
+        # a long text is cut into pieces that share length - 1 letters: every window is in one piece
+        for low in range(0, max(len(letters) - length + 1, 0), SLICE):
+            piece = letters[low : low + SLICE + length - 1]
             group.append((number, low, piece))
             size += len(piece)
             if size >= SLICE:
@@ -95,12 +103,13 @@ def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> np.nd
 _ROW = np.dtype([("text", np.int64), ("at", np.int64), ("first", np.int64), ("last", np.int64), ("seed", np.uint64), ("around", np.uint64)])
 
 
-def _anchors(group: list[tuple[int, int, bytes]], length: int, seed: int) -> np.ndarray:
-    data = np.frombuffer(b"".join(g[2] for g in group), dtype=np.uint8)
+def _anchors(group: list[tuple[int, int, np.ndarray]], length: int, seed: int) -> np.ndarray:
+    data = np.concatenate([g[2] for g in group])
+    values = _TABLE[data] if data.dtype == LETTERS[0] else mixed(data.astype(np.uint64) + _MARK)
     n, w = len(data), length - seed + 1
     powers, inverses = _tables(max(n, 2 * SLICE) + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[data] * powers[:n], out=sums[1:])
+    np.cumsum(values * powers[:n], out=sums[1:])
     seeds = mixed((sums[seed:] - sums[:-seed]) * inverses[: n - seed + 1])
     keys = (seeds & ~_PLACE) | np.arange(n - seed + 1, dtype=np.uint64)
     where = (_least(keys, w) & _PLACE).astype(np.int64)
@@ -120,26 +129,30 @@ def _anchors(group: list[tuple[int, int, bytes]], length: int, seed: int) -> np.
     return rows
 
 
-def word_bytes(text: bytes) -> bytes:
-    """The words of a text, A-Z lower-cased, as hashes of WORD_BYTES bytes each."""
-    return words_of(text)[1].astype("<u4").tobytes()
+def words_in(texts: list[bytes]) -> list[np.ndarray]:
+    """The words of each text, A-Z lower-cased, as 32-bit hashes."""
+    starts, hashes = words_of(b"\n".join(texts))
+    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+    letters = hashes.astype(LETTERS[1])
+    return [letters[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np.ndarray, length: int = LENGTH, owners: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Induced sorting of one shard: rows (number, near, far), all runs of windows, near to far bytes left of an anchor, that repeat.
+def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np.ndarray, length: int = LENGTH, letter: np.dtype = LETTERS[0], owners: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Induced sorting of one shard: rows (number, near, far), all runs of windows, near to far letters left of an anchor, that repeat.
 
-    `around`: the bytes that an anchor's windows cover; the anchor is `left` bytes in, its windows begin `right` to
-    `left` bytes left of it. Only anchors of equal seeds are compared. `owners`: least and largest row that has each
+    `around`: the letters that an anchor's windows cover; the anchor is `left` letters in, its windows begin `right` to
+    `left` letters left of it. Only anchors of equal seeds are compared. `owners`: least and largest row that has each
     surrounding; if given, a window repeats only if two rows have it.
     """
     n = len(around)
-    order = np.array(sorted(range(n), key=lambda i: (seeds[i], around[i][left[i] :])), dtype=np.int64)
-    width = max(len(around[i]) - int(left[i]) for i in range(n))
-    ahead = np.zeros((n, width), dtype=np.uint8)
-    behind = np.zeros((n, int(left.max()) + 1), dtype=np.uint8)
+    size = letter.itemsize
+    order = np.array(sorted(range(n), key=lambda i: (seeds[i], around[i][left[i] * size :])), dtype=np.int64)
+    width = max(len(around[i]) // size - int(left[i]) for i in range(n))
+    ahead = np.zeros((n, width), dtype=letter)
+    behind = np.zeros((n, int(left.max()) + 1), dtype=letter)
     have = np.zeros(n, dtype=np.int64)
     for row, i in enumerate(order):
-        b = np.frombuffer(around[i], dtype=np.uint8)
+        b = np.frombuffer(around[i], dtype=letter)
         have[row] = len(b) - left[i]
         ahead[row, : have[row]] = b[left[i] :]
         behind[row, : left[i]] = b[: left[i]][::-1]
@@ -163,7 +176,7 @@ def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np
             hit &= several[np.cumsum(~enough) - 1]
         marks[rows[hit], d] = True
         keep = far[rows] > d
-        key = group * 256 + behind[rows, d]
+        key = (group << 8 * size) + behind[rows, d]
         new = np.argsort(key, kind="stable")
         new = new[keep[new]]
         if not len(new):
@@ -206,22 +219,28 @@ def _digest(text: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(hexed, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "d1"), (17, "d2")))
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Bounds of the lists of structs of numbers in a column, and all their fields end to end; null is an empty list."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    return np.concatenate(([0], ends)).astype(np.int64), {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, large: int = LARGE, passage: int = PASSAGE) -> DataFrame:
     """(d1, d2, unit, low, high): ranges of texts; they may overlap.
 
-    Unit 0: bytes that strings of `length` bytes cover which occur elsewhere. Unit 1: bytes of the words' string that runs of
-    `passage` words cover which another row has. `texts`: d1, d2, text, a row for each document: a text that two
-    rows have occurs twice.
+    Unit 0: bytes that strings of `length` bytes cover which occur elsewhere. Unit 1: words that runs of `passage` words
+    cover which another row has. `texts`: d1, d2, text, a row for each document: a text that two rows have occurs twice.
     """
-    lengths, seeds = (length, passage * WORD_BYTES), (seed, max(passage * WORD_BYTES // 3, 1))
+    lengths, seeds = (length, passage), (seed, min(PASSAGE_SEED, passage))
     shortest = min(length, 2 * passage - 1)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for unit in (0, 1):
-                rows = anchors([word_bytes(t) for t in data] if unit else data, lengths[unit], seeds[unit])
+                rows = anchors(words_in(data) if unit else data, lengths[unit], seeds[unit])
                 own = pa.array(rows["text"])
                 ints = [pa.array(rows[c].astype(np.int32)) for c in ("at", "first", "last")]
                 hashes = [pa.array(rows[c].view(np.int64)) for c in ("seed", "around")]
@@ -231,38 +250,42 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, lar
 
     known = texts.where(F.length(F.encode("text", "utf-8")) >= shortest).select("d1", "d2", "text")
     found = stored(known.mapInArrow(sample, ANCHORS), "anchors")
-    # one row for each surrounding; `first` takes all columns from the same anchor
-    one = [F.first(c).alias(c) for c in ("d1", "d2", "at", "first", "last")]
-    sets = stored(found.groupBy("unit", "seed", "around").agg(F.count("*").alias("copies"), *one, F.min("row").alias("lo"), F.max("row").alias("hi")), "sets")
     # tables of keys are written before they are joined: Spark can then split hot keys of the other side
-    twice = stored(sets.where("copies > 1 AND (unit = 0 OR lo < hi)").select("unit", "seed", "around"), "twice")
-    again = found.join(twice, ["unit", "seed", "around"], "left_semi").select("d1", "d2", "unit", F.col("first").alias("low"), (F.col("last") + F.when(F.col("unit") == 0, lengths[0]).otherwise(lengths[1])).alias("high"))
-    names = stored(sets.groupBy("unit", "seed").agg(F.count("*").alias("n")).where("n > 1"), "names")
-
+    names = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "names")
+    shared = stored(found.join(names, "seed", "left_semi"), "shared")
+    # one row for each surrounding; `first` takes all columns from the same anchor
+    one = [F.first(c).alias(c) for c in ("unit", "d1", "d2", "at", "first", "last")]
+    sets = stored(shared.groupBy("seed", "around").agg(F.count("*").alias("copies"), *one, F.min("row").alias("lo"), F.max("row").alias("hi")), "sets")
+    twice = stored(sets.where("copies > 1 AND (unit = 0 OR lo < hi)").select("seed", "around"), "twice")
+    wide = F.when(F.col("unit") == 0, lengths[0]).otherwise(lengths[1])
+    again = shared.join(twice, ["seed", "around"], "left_semi").select("d1", "d2", "unit", F.col("first").alias("low"), (F.col("last") + wide).alias("high"))
     # one anchor for each surrounding asks whether parts of it occur in others of its name
-    single = sets.join(names, ["unit", "seed"], "left_semi")
+    several = stored(sets.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    single = sets.join(several, "seed", "left_semi")
     asked = stored(single.groupBy("d1", "d2").agg(F.collect_list(F.struct("unit", "at", "first", "last", "seed", "lo", "hi")).alias("anchors")), "asked")
     packed = _packed(known).dropDuplicates(["d1", "d2"])
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i in range(batch.num_rows):
-                d1, d2, packed, rows = (batch.column(c)[i].as_py() for c in range(4))
-                texts: dict[int, bytes] = {0: unpack(packed)}
-                for low in range(0, len(rows), 4096):
-                    some = rows[low : low + 4096]
-                    if 1 not in texts and any(r["unit"] for r in some):
-                        texts[1] = word_bytes(texts[0])
-                    values = {c: pa.array([r[c] for r in some], pa.int32()) for c in ("unit", "at", "first", "last")} | {c: pa.array([r[c] for r in some], pa.int64()) for c in ("seed", "lo", "hi")}
-                    values |= {"d1": pa.array([d1] * len(some), pa.int64()), "d2": pa.array([d2] * len(some), pa.int64())}
-                    values["bytes"] = pa.array([texts[r["unit"]][r["first"] : r["last"] + lengths[r["unit"]]] for r in some], pa.binary())
-                    yield pa.RecordBatch.from_pydict({c: values[c] for c in ("unit", "d1", "d2", "at", "first", "last", "seed", "lo", "hi", "bytes")})
+            bounds, fields = _lists(batch.column(3))
+            for i, packed in enumerate(batch.column(2).to_pylist()):
+                text, words = unpack(packed), None
+                for low in range(bounds[i], bounds[i + 1], 4096):
+                    some = {c: v[low : min(low + 4096, bounds[i + 1])] for c, v in fields.items()}
+                    around = []
+                    for unit, first, last in zip(some["unit"].tolist(), some["first"].tolist(), some["last"].tolist()):
+                        if unit and words is None:
+                            words = words_in([text])[0].tobytes()
+                        size = LETTERS[unit].itemsize
+                        around.append((words if unit else text)[first * size : (last + lengths[unit]) * size])
+                    digest = [pa.repeat(batch.column(c)[i], len(around)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some["unit"]), *digest, *(pa.array(some[c]) for c in ("at", "first", "last", "seed", "lo", "hi")), pa.array(around, pa.binary())], names=["unit", "d1", "d2", "at", "first", "last", "seed", "lo", "hi", "bytes"])
 
     around = stored(packed.join(asked, ["d1", "d2"]).select("d1", "d2", "packed", "anchors").mapInArrow(surroundings, AROUND), "around")
-    too_large = stored(names.where(F.col("n") > large).select("unit", "seed"), "large")
+    too_large = stored(several.where(F.col("n") > large).select("seed"), "large")
     some_large = too_large.limit(1).count() > 0
-    fitting = around.join(too_large, ["unit", "seed"], "left_anti") if some_large else around
+    fitting = around.join(too_large, "seed", "left_anti") if some_large else around
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,12 +306,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, lar
 
     parts = [again, fitting.repartition("seed").sortWithinPartitions("unit", "seed").mapInArrow(induce, SPANS)]
     if some_large:
-        parts.append(_counted_windows(around.join(too_large, ["unit", "seed"], "left_semi"), lengths))
+        parts.append(_counted_windows(around.join(too_large, "seed", "left_semi"), lengths))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     out = stored(out.distinct(), "spans")
-    for t in (found, sets, twice, names, asked, around):
+    for t in (found, names, shared, sets, twice, several, asked, around):
         release(t)
     return out
 
@@ -303,11 +326,11 @@ def _induced(table: pa.Table, lengths: tuple[int, int]) -> Iterator[pa.RecordBat
             part, unit = table.slice(low, end - low), int(units[low])
             at, first, last = (part.column(c).to_numpy().astype(np.int64) for c in ("at", "first", "last"))
             owners = (part.column("lo").to_numpy(), part.column("hi").to_numpy()) if unit else None
-            runs = repeated(seeds[low:end], part.column("bytes").to_pylist(), at - first, at - last, lengths[unit], owners)
+            runs = repeated(seeds[low:end], part.column("bytes").to_pylist(), at - first, at - last, lengths[unit], LETTERS[unit], owners)
             own = runs[:, 0]
-            low_byte, high_byte = at[own] - runs[:, 2], at[own] - runs[:, 1] + lengths[unit]
+            begin, stop = at[own] - runs[:, 2], at[own] - runs[:, 1] + lengths[unit]
             d1, d2 = (pa.array(part.column(c).to_numpy()[own]) for c in ("d1", "d2"))
-            yield pa.RecordBatch.from_arrays([d1, d2, pa.array(np.full(len(own), unit, dtype=np.int32)), pa.array(low_byte.astype(np.int32)), pa.array(high_byte.astype(np.int32))], names=["d1", "d2", "unit", "low", "high"])
+            yield pa.RecordBatch.from_arrays([d1, d2, pa.array(np.full(len(own), unit, dtype=np.int32)), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["d1", "d2", "unit", "low", "high"])
             low = end
 
 
@@ -318,8 +341,8 @@ def _counted_windows(around: DataFrame, lengths: tuple[int, int]) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 unit, d1, d2, first, last, lo, hi, data = (batch.column(c)[i].as_py() for c in ("unit", "d1", "d2", "first", "last", "lo", "hi", "bytes"))
-                n = last - first + 1
-                halves = [np.frombuffer(xxhash.xxh3_128_digest(data[j : j + lengths[unit]]), dtype=np.int64) for j in range(n)]
+                n, size = last - first + 1, LETTERS[unit].itemsize
+                halves = [np.frombuffer(xxhash.xxh3_128_digest(data[j * size : (j + lengths[unit]) * size]), dtype=np.int64) for j in range(n)]
                 values = {"unit": pa.array([unit] * n, pa.int32())} | {k: pa.array([v] * n, pa.int64()) for k, v in (("d1", d1), ("d2", d2), ("lo", lo), ("hi", hi))}
                 values |= {"low": pa.array(range(first, first + n), pa.int32()), "w1": pa.array([h[0] for h in halves], pa.int64()), "w2": pa.array([h[1] for h in halves], pa.int64())}
                 yield pa.RecordBatch.from_pydict(values)
@@ -331,15 +354,12 @@ def _counted_windows(around: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     return rows.join(twice, ["unit", "w1", "w2"], "left_semi").select("d1", "d2", "unit", "low", high.cast("int").alias("high"))
 
 
-def _runs(ranges: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of ranges; ranges that touch are one run."""
-    runs: list[tuple[int, int]] = []
-    for low, high in sorted((r["low"], r["high"]) for r in ranges):
-        if runs and low <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], high))
-        else:
-            runs.append((low, high))
-    return runs
+def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs of ranges; ranges that touch are one run."""
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    new = np.flatnonzero(np.concatenate(([True], low[1:] > reach[:-1])))
+    return low[new], reach[np.concatenate((new[1:] - 1, [len(low) - 1]))]
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, large: int = LARGE, passage: int = PASSAGE) -> DataFrame:
@@ -362,13 +382,21 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out: list[tuple] = []
-            for packed, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data, (gone, shared) = unpack(packed), (_runs([r for r in ranges or [] if r["unit"] == unit]) for unit in (0, 1))
-                edges = [0, *(edge for run in gone for edge in run), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((len(data), len(data) - len(kept), len(gone), sum(b - a for a, b in shared) // WORD_BYTES, len(shared), kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(5)), pa.array([o[5] for o in out], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "n_shared_words", "n_passages", "kept"])
+            bounds, fields = _lists(batch.column(2))
+            numbers, kept = np.zeros((batch.num_rows, 5), dtype=np.int64), []
+            for i, packed in enumerate(batch.column(1).to_pylist()):
+                data = unpack(packed)
+                numbers[i, 0] = len(data)
+                own = slice(bounds[i], bounds[i + 1])
+                for unit in (0, 1) if bounds[i] < bounds[i + 1] else ():
+                    if (mine := fields["unit"][own] == unit).any():
+                        begins, ends = _runs(fields["low"][own][mine], fields["high"][own][mine])
+                        numbers[i, 1 + 2 * unit : 3 + 2 * unit] = (ends - begins).sum(), len(begins)
+                        if not unit:
+                            edges = [0, *np.stack([begins, ends], axis=1).ravel().tolist(), len(data)]
+                            data = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, k]) for k in range(5)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "n_shared_words", "n_passages", "kept"])
 
     joined = _packed(rows).join(listed, ["d1", "d2"], "left").select("id", "packed", "spans")
     done = joined.mapInArrow(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, n_shared_words long, n_passages long, kept binary")
