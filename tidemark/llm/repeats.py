@@ -38,9 +38,9 @@ from tidemark.llm.shingles import mixed, words_of
 
 LENGTH, SEED = 400, 128
 #: Words of the shortest passage, and of its seeds.
-PASSAGE, PASSAGE_SEED = 51, 8
+PASSAGE, PASSAGE_SEED = 51, 16
 #: Windows hashed at once; suffixes sorted at once; surroundings of one name above which windows are counted.
-SLICE, SHARD, LARGE = 1 << 21, 20_000, 100_000
+SLICE, SHARD, LARGE = 1 << 21, 20_000, 20_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -131,10 +131,17 @@ def _anchors(group: list[tuple[int, int, np.ndarray]], length: int, seed: int) -
 
 def words_in(texts: list[bytes]) -> list[np.ndarray]:
     """The words of each text, A-Z lower-cased, as 32-bit hashes."""
-    starts, hashes = words_of(b"\n".join(texts))
-    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
-    letters = hashes.astype(LETTERS[1])
-    return [letters[a:b] for a, b in zip(bounds, bounds[1:])]
+    out, group, size = [], [], 0
+    for number, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size >= SLICE or number == len(texts) - 1:
+            starts, hashes = words_of(b"\n".join(group))
+            bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in group]))))
+            letters = hashes.astype(LETTERS[1])
+            out += [letters[a:b] for a, b in zip(bounds, bounds[1:])]
+            group, size = [], 0
+    return out
 
 
 def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np.ndarray, length: int = LENGTH, letter: np.dtype = LETTERS[0], owners: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -342,9 +349,9 @@ def _counted_windows(around: DataFrame, lengths: tuple[int, int]) -> DataFrame:
             for i in range(batch.num_rows):
                 unit, d1, d2, first, last, lo, hi, data = (batch.column(c)[i].as_py() for c in ("unit", "d1", "d2", "first", "last", "lo", "hi", "bytes"))
                 n, size = last - first + 1, LETTERS[unit].itemsize
-                halves = [np.frombuffer(xxhash.xxh3_128_digest(data[j * size : (j + lengths[unit]) * size]), dtype=np.int64) for j in range(n)]
+                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[j * size : (j + lengths[unit]) * size]) for j in range(n)), dtype=np.int64).reshape(n, 2)
                 values = {"unit": pa.array([unit] * n, pa.int32())} | {k: pa.array([v] * n, pa.int64()) for k, v in (("d1", d1), ("d2", d2), ("lo", lo), ("hi", hi))}
-                values |= {"low": pa.array(range(first, first + n), pa.int32()), "w1": pa.array([h[0] for h in halves], pa.int64()), "w2": pa.array([h[1] for h in halves], pa.int64())}
+                values |= {"low": pa.array(range(first, first + n), pa.int32()), "w1": pa.array(halves[:, 0].copy()), "w2": pa.array(halves[:, 1].copy())}
                 yield pa.RecordBatch.from_pydict(values)
 
     rows = stored(around.mapInArrow(windows, "unit int, d1 long, d2 long, lo long, hi long, low int, w1 long, w2 long"), "windows")
