@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -41,6 +42,8 @@ LENGTH, SEED = 400, 128
 PASSAGE, PASSAGE_SEED = 51, 16
 #: Windows hashed at once; suffixes sorted at once; surroundings of one name above which windows are counted.
 SLICE, SHARD, LARGE = 1 << 21, 20_000, 20_000
+#: A key with more than one in HOT of all rows is dealt to SALTS tasks; there are fewer than HOT such keys.
+HOT, SALTS = 1000, 64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -208,19 +211,39 @@ def repeated(seeds: np.ndarray, around: list[bytes], left: np.ndarray, right: np
     return np.stack([order[row], begin, end - 1], axis=1)
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE bytes of a column, one row at least."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(size, SLICE + (size[low - 1] if low else 0), "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _packed(documents: DataFrame) -> DataFrame:
-    """digest, packed: the texts compressed, for shuffles."""
+    """The columns with the text, the last one, compressed as `packed`, for shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            texts = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
+        for whole in batches:
+            for batch in _slices(whole, whole.num_columns - 1):
+                texts = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in documents.schema.fields[:-1])
     return documents.mapInArrow(run, f"{kept}, packed binary")
 
 
+def _having(rows: DataFrame, keys: DataFrame, on: list[str], row: str) -> DataFrame:
+    """The rows whose key is in `keys`, a written table with `n`, the rows of each key; hot keys are salted by the column `row`."""
+    hot = F.col("n") * HOT > (keys.agg(F.sum("n").alias("n")).head().n or 0)
+    few = F.broadcast(keys.where(hot).select(*on, F.lit(True).alias("hot")))  # fewer than HOT rows, since n adds up to no more than all
+    salted = rows.join(few, on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.col(row), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    each = keys.select(*on, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return salted.join(each, [*on, "salt"], "left_semi").select(rows.columns)
+
+
 def _digest(text: Column) -> tuple[Column, Column]:
     hexed = F.sha2(text, 256)
     return tuple(F.conv(F.substring(hexed, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "d1"), (17, "d2")))
@@ -244,7 +267,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, lar
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 2)):
             data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for unit in (0, 1):
                 rows = anchors(words_in(data) if unit else data, lengths[unit], seeds[unit])
@@ -257,24 +280,23 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, lar
 
     known = texts.where(F.length(F.encode("text", "utf-8")) >= shortest).select("d1", "d2", "text")
     found = stored(known.mapInArrow(sample, ANCHORS), "anchors")
-    # tables of keys are written before they are joined: Spark can then split hot keys of the other side
-    names = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "names")
-    shared = stored(found.join(names, "seed", "left_semi"), "shared")
+    names = stored(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "names")
+    shared = stored(_having(found, names, ["seed"], "row"), "shared")
     # one row for each surrounding; `first` takes all columns from the same anchor
     one = [F.first(c).alias(c) for c in ("unit", "d1", "d2", "at", "first", "last")]
     sets = stored(shared.groupBy("seed", "around").agg(F.count("*").alias("copies"), *one, F.min("row").alias("lo"), F.max("row").alias("hi")), "sets")
-    twice = stored(sets.where("copies > 1 AND (unit = 0 OR lo < hi)").select("seed", "around"), "twice")
+    twice = stored(sets.where("copies > 1 AND (unit = 0 OR lo < hi)").select("seed", "around", F.col("copies").alias("n")), "twice")
     wide = F.when(F.col("unit") == 0, lengths[0]).otherwise(lengths[1])
-    again = shared.join(twice, ["seed", "around"], "left_semi").select("d1", "d2", "unit", F.col("first").alias("low"), (F.col("last") + wide).alias("high"))
+    again = _having(shared, twice, ["seed", "around"], "row").select("d1", "d2", "unit", F.col("first").alias("low"), (F.col("last") + wide).alias("high"))
     # one anchor for each surrounding asks whether parts of it occur in others of its name
     several = stored(sets.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    single = sets.join(several, "seed", "left_semi")
+    single = _having(sets, several, ["seed"], "lo")
     asked = stored(single.groupBy("d1", "d2").agg(F.collect_list(F.struct("unit", "at", "first", "last", "seed", "lo", "hi")).alias("anchors")), "asked")
     packed = _packed(known).dropDuplicates(["d1", "d2"])
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 2)):
             bounds, fields = _lists(batch.column(3))
             for i, packed in enumerate(batch.column(2).to_pylist()):
                 text, words = unpack(packed), None
@@ -356,9 +378,9 @@ def _counted_windows(around: DataFrame, lengths: tuple[int, int]) -> DataFrame:
 
     rows = stored(around.mapInArrow(windows, "unit int, d1 long, d2 long, lo long, hi long, low int, w1 long, w2 long"), "windows")
     counted = rows.groupBy("unit", "w1", "w2").agg(F.count("*").alias("n"), F.min("lo").alias("least"), F.max("hi").alias("most"))
-    twice = stored(counted.where("n > 1 AND (unit = 0 OR least < most)").select("unit", "w1", "w2"), "equal")
+    twice = stored(counted.where("n > 1 AND (unit = 0 OR least < most)").select("unit", "w1", "w2", "n"), "equal")
     high = F.col("low") + F.when(F.col("unit") == 0, lengths[0]).otherwise(lengths[1])
-    return rows.join(twice, ["unit", "w1", "w2"], "left_semi").select("d1", "d2", "unit", "low", high.cast("int").alias("high"))
+    return _having(rows, twice, ["unit", "w1", "w2"], "lo").select("d1", "d2", "unit", "low", high.cast("int").alias("high"))
 
 
 def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,7 +410,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             bounds, fields = _lists(batch.column(2))
             numbers, kept = np.zeros((batch.num_rows, 5), dtype=np.int64), []
             for i, packed in enumerate(batch.column(1).to_pylist()):
