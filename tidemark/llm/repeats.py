@@ -41,7 +41,7 @@ LENGTH, SEED = 400, 128
 #: Words of the shortest passage, and of its seeds.
 PASSAGE, PASSAGE_SEED = 51, 16
 #: Windows hashed at once; suffixes sorted at once; surroundings of one name above which windows are counted.
-SLICE, SHARD, LARGE = 1 << 20, 20_000, 20_000
+SLICE, SHARD, LARGE = 1 << 18, 20_000, 20_000
 #: A key with more than one in HOT of all rows is dealt to SALTS tasks; there are fewer than HOT such keys.
 HOT, SALTS = 1000, 64
 _BASE = 0x9E3779B97F4A7C15
