@@ -2,12 +2,15 @@
 
 A batch of changes is reduced to one signed delta per (source, lang, version) and committed as a folder of its own:
 written under a temporary name and renamed, so a batch is there whole or not at all, and a batch that
-is there already is not committed again. Totals are sums of deltas; `compact` folds committed batches into one.
+is there already is not committed again. Totals are sums of deltas. `compact` folds committed batches into one folder
+that also lists the batches it covers: totals are the newest fold and the batches not on its list, so a stop
+anywhere in `compact` changes no total and no batch is ever counted twice.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,7 +35,8 @@ def _encoding(path: str) -> tiktoken.Encoding:
 def count_tokens(documents: DataFrame, path: str, text_col: str = "text", to: str = "tokens") -> DataFrame:
     """`documents` with the number of tokens of every whole text; `path`: a rank file that every executor can open.
 
-    Null texts have none. Strings of special tokens are ordinary text.
+    Null and empty texts have none. Strings of special tokens are ordinary text. A text is encoded whole, however long. Repeated
+    rows stay; an empty table gives no rows; a column named `to` is replaced, all others stay.
     """
 
     @F.pandas_udf("long")
@@ -45,7 +49,7 @@ def count_tokens(documents: DataFrame, path: str, text_col: str = "text", to: st
 
 
 class TokenRollup:
-    """Totals in a folder that all executors share."""
+    """Totals in a folder that all executors share. For one writer at a time; readers at any time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,51 +57,90 @@ class TokenRollup:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[str]:
-        """Names of committed batches."""
+    def _named(self, prefix: str) -> list[str]:
         if not self._fs.exists(self._path(self.path)):
             return []
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.path))]
-        return sorted(n.removeprefix("batch-") for n in names if n.startswith("batch-"))
+        return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+    def _newest(self) -> tuple[str | None, set[str]]:
+        """Folder of the newest fold, and the batches it covers."""
+        if not (folds := self._named("fold-")):
+            return None, set()
+        folder = f"{self.path}/fold-{folds[-1]}"
+        return folder, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{folder}/covers").collect()}
+
+    def batches(self) -> list[str]:
+        """Names of committed batches, folded ones too."""
+        return sorted({*self._named("batch-"), *self._newest()[1]})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Commits a batch once; False if it was committed before, whatever `changes` holds now.
 
         `changes`: source, lang, version, op (insert, delete, revise), tokens (new count, or that of the deleted), old
-        (count before a revision). Null keys are groups of their own, null counts are 0, other ops raise an error.
+        (count before a revision). Null keys are groups of their own, null counts are 0, other ops raise an error; repeated
+        rows count each; no rows make a batch without effect; other columns are not read.
         """
-        done, folded = self._path(f"{self.path}/batch-{batch}"), self._path(f"{self.path}/folded-{batch}")
-        if self._fs.exists(done) or self._fs.exists(folded):
+        if batch in self.batches():
             return False
         sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0)
         sign = F.coalesce(sign, F.raise_error(F.lit("op must be insert, delete or revise")).cast("int"))
         new, old = F.coalesce(F.col("tokens"), F.lit(0)), F.coalesce(F.col("old"), F.lit(0))
-        delta = changes.withColumn("sign", sign).groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("docs"), F.sum(F.when(F.col("sign") == 0, new - old).otherwise(F.col("sign") * new).cast("long")).alias("tokens"))
-        return self._publish(delta, batch)
-
-    def _publish(self, delta: DataFrame, batch: str) -> bool:
-        staged, done = f"{self.path}/_staged-{batch}", self._path(f"{self.path}/batch-{batch}")
-        delta.write.mode("overwrite").parquet(staged)
-        if self._fs.rename(self._path(staged), done):
-            return True
-        self._fs.delete(self._path(staged), True)
+        rows = changes.select(*KEYS, sign.alias("sign"), F.when(sign == 0, new - old).otherwise(sign * new).cast("long").alias("change"))
+        delta = rows.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("docs"), F.sum("change").alias("tokens"))
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        delta.write.parquet(staged)
+        return self._renamed(staged, f"batch-{batch}")
+
+    def _renamed(self, staged: str, name: str) -> bool:
+        """Whether the staged folder is now the folder `name`; if that exists already, the staged one is removed."""
+        source, done = self._path(staged), self._path(f"{self.path}/{name}")
+        if not self._fs.exists(done) and self._fs.rename(source, done):
+            nested = self._path(f"{self.path}/{name}/{source.getName()}")
+            if not self._fs.exists(nested):
+                return True
+            self._fs.delete(nested, True)  # another writer's folder was there first, and some file systems move into it
+            return False
+        self._fs.delete(source, True)
         return False
 
+    def _deltas(self) -> tuple[DataFrame | None, list[str]]:
+        """All deltas that count, and the names of all batches in them."""
+        fold, covered = self._newest()
+        loose = [n for n in self._named("batch-") if n not in covered]
+        folders = [f"{self.path}/batch-{n}" for n in loose] + ([f"{fold}/data"] if fold else [])
+        return self.spark.read.schema(DELTA).parquet(*folders) if folders else None, sorted({*covered, *loose})
+
+    @staticmethod
+    def _summed(deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens; groups without documents and tokens are left out."""
-        names = self.batches()
-        if not names:
-            return self.spark.createDataFrame([], DELTA)
-        deltas = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/batch-{n}" for n in names))
-        return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        deltas, _ = self._deltas()
+        return self.spark.createDataFrame([], DELTA) if deltas is None else self._summed(deltas)
 
-    def compact(self, name: str) -> None:
-        """Folds all committed batches into one; their names stay known, so none of them is committed again.
+    def compact(self) -> None:
+        """Folds all committed batches and the fold before into a new fold; then removes what it covers.
 
-        For one writer at a time. A crash after the rename leaves both; `compact` with the same name then finishes.
+        The fold appears by one rename. A stop before it leaves everything as it was, a stop after it leaves folders that the
+        fold covers and that the next call removes. Names of covered batches stay known, so none is committed again.
         """
-        names = [n for n in self.batches() if n != name]
-        if name not in self.batches():
-            self._publish(self.totals(), name)
-        for n in names:
-            self._fs.rename(self._path(f"{self.path}/batch-{n}"), self._path(f"{self.path}/folded-{n}"))
+        deltas, names = self._deltas()
+        if deltas is None:
+            return
+        folds = self._named("fold-")
+        if [n for n in self._named("batch-") if n not in self._newest()[1]]:
+            staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+            self._summed(deltas).write.parquet(f"{staged}/data")
+            self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{staged}/covers")
+            number = int(folds[-1]) + 1 if folds else 0
+            if not self._renamed(staged, f"fold-{number:012d}"):
+                raise RuntimeError("another writer has compacted at the same time")
+        self._clean()
+
+    def _clean(self) -> None:
+        fold, covered = self._newest()
+        old = [f"batch-{n}" for n in self._named("batch-") if n in covered] + [f"fold-{n}" for n in self._named("fold-")[:-1]]
+        for name in old if fold else []:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
