@@ -392,7 +392,7 @@ def test_token_rollup(spark, tmp_path):
     assert roll.commit("2", change([("a", "en", "v1", "revise", 8, 10), ("a", "en", "v1", "delete", 5, None), (None, None, "v1", "delete", 7, None), ("b", "en", "v1", "insert", None, None)]))
     expected = {("a", "en", "v1", 1, 8), ("b", "en", "v1", 1, 0)}
     assert {tuple(r) for r in roll.totals().collect()} == expected
-    roll.compact("3")
+    roll.compact()
     assert {tuple(r) for r in roll.totals().collect()} == expected and not roll.commit("1", first) and not roll.commit("2", first)
     with pytest.raises(Exception, match="op must be"):
         roll.commit("4", change([("a", "en", "v1", "other", 1, None)]))
@@ -400,6 +400,80 @@ def test_token_rollup(spark, tmp_path):
     assert [r.tokens for r in counted] == [2, 0, 0, 7]
 
 
+@pytest.mark.parametrize("stop", ["_renamed", "_clean", None])
+def test_token_rollup_survives_a_stop_in_compact(spark, tmp_path, monkeypatch, stop):
+    path = f"file://{tmp_path}/roll"
+    change = lambda rows: spark.createDataFrame([(*r, 0) for r in rows], "source string, lang string, version string, op string, tokens long, old long")
+    roll, expected = token_rollup.TokenRollup(spark, path), Counter()
+    for i in range(6):
+        rows = [(s, "en", "v", "insert", 10 * i + k) for k, s in enumerate("ab")]
+        assert roll.commit(f"b{i}", change(rows))
+        for s, _, _, _, n in rows:
+            expected[s] += n
+        if stop and i % 2:
+            with monkeypatch.context() as m:
+                def broken(*_):
+                    raise OSError("stopped")
+
+                m.setattr(token_rollup.TokenRollup, stop, broken)
+                with pytest.raises(OSError):
+                    roll.compact()
+        elif i % 2:
+            roll.compact()
+        roll = token_rollup.TokenRollup(spark, path)
+        assert {r.source: r.tokens for r in roll.totals().collect()} == dict(expected)
+        assert not roll.commit("b0", change(rows)) and roll.batches() == [f"b{k}" for k in range(i + 1)]
+    roll.compact()
+    assert {r.source: (r.docs, r.tokens) for r in roll.totals().collect()} == {s: (6, n) for s, n in expected.items()}
+    (tmp_path / "roll" / "batch-taken").mkdir()
+    roll.spark.createDataFrame([(1,)], "x int").write.parquet(f"{path}/_staged-x")
+    assert not roll._renamed(f"{path}/_staged-x", "batch-taken") and not list((tmp_path / "roll" / "batch-taken").iterdir())
+
+
+@pytest.mark.skipif(not os.path.exists(queries.TOKENIZER), reason="no vocabulary files here")
+def test_token_rollup_query_against_recounting(spark):
+    """Totals of the query, recounted from the documents one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("source", "lang", "text").collect()
+    encoding, want = token_rollup._encoding(queries.TOKENIZER), Counter()
+    for r in docs:
+        tokens = len(encoding.encode_ordinary(r.text or ""))
+        for version, n in (("byte_bpe_50k", tokens), ("words", len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))):
+            if version == "words" or tokens:
+                want[r.source, r.lang, version, "docs"] += 1
+            want[r.source, r.lang, version, "tokens"] += n
+    got = {(r.source, r.lang, r.version, c): r[c] for r in queries.op9_token_rollup(spark, SF).collect() for c in ("docs", "tokens")}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_token_counts_of_nothing(spark, nothing):
+    assert token_rollup.count_tokens(nothing, queries.TOKENIZER).columns == nothing.columns + ["tokens"] and nothing.count() == 0
+
+
+def test_stage_columns_and_repeated_rows(spark):
+    """Extra columns keep their values; of rows alike in id and text one stays; null ids and texts stay."""
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").limit(300)
+    docs = good.withColumn("score", F.lit(7.5)).withColumn("predicted", F.lit(-1)).withColumn("component_id", F.col("doc_id"))
+    kept = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.01")
+    assert kept.columns == docs.columns and kept.where("score = 7.5 AND predicted = -1").count() == kept.count() > 0
+    text, other = prose(50), prose(50)
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (3, other, "d"), (3, prose(50), "e"), (None, None, "f"), (None, text, "g"), (4, None, "h"), (4, None, "i")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = sorted((r.doc_id or 0, r.text == text, r.component_id) for r in corpus_pipeline.near_duplicate_stage(spark, frame, SF).collect())
+    ids = Counter(g[0] for g in got)
+    assert ids == {0: 2, 1: 1, 3: 2, 4: 1} and {c for i, _, c in got if i == 3} == {"d", "e"}
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, prose(9) + " " + bench), (None, bench), (2, None), (3, prose(80)), (3, prose(80))]
+    clean = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["2", "3", "3", "None"]
+
+
+def test_stages_of_nothing(spark, nothing):
+    docs = nothing.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns), name
+
+
 def test_queries_agree_with_their_sql_at_the_smallest_size(spark):
     import duckdb
 
