@@ -5,7 +5,8 @@ source its target tokens with no document above `cap` copies. The dual is one co
 Newton's steps, kept inside a bracket, solve it. Every step is an aggregation over (source, size) counts, which
 lose nothing and are far fewer than documents. The rates are then rounded: floor(r) copies and one more
 where a hash of the document lies below the fraction, with the threshold of each source shifted until the words
-taken meet the target to within about one document.
+taken meet the target to within about one document; a copy more and a copy less, chosen among all pairs of sizes,
+close what is left.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tidemark.llm.common import WORD, stored, text_of
 STEPS, GAP = 60, 1e-9
 #: Bins of each of the searches for a source's threshold shift.
 BINS, SEARCHES = 1024, 3
+#: Exchanges of copies for each source.
+EXCHANGES = 2
 
 
 def words_in(text: Column) -> Column:
@@ -105,20 +108,34 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", cap: float = 3.0) -> Data
     extra = (F.col("rate") > F.floor("rate")) & (F.col("switch") < F.coalesce(F.col("s.shift"), F.lit(0.0)))
     out = rated.join(s, rated.source.eqNullSafe(F.col("s.source")), "left").withColumn("copies", (F.col("base") + F.when(extra, 1).otherwise(0)).cast("long"))
     out = stored(out.select(rated[id_col].alias("id"), rated.source, "size", "source_size", "target", "rate", "copies"), "copies")
-    same = F.col("o.source").eqNullSafe(F.col("f.source")) & F.col("o.id").eqNullSafe(F.col("f.id"))
-    copies = F.col("copies") + F.coalesce("change", F.lit(0))
-    joined = out.alias("o").join(_last_copies(out, cap).alias("f"), same, "left")
-    return joined.select(F.col("o.id").alias(id_col), "o.source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    for _ in range(EXCHANGES):
+        same = F.col("o.source").eqNullSafe(F.col("f.source")) & F.col("o.id").eqNullSafe(F.col("f.id"))
+        changed = out.alias("o").join(_exchanges(out, cap).alias("f"), same, "left")
+        out = stored(changed.select(*(f"o.{c}" for c in out.columns[:-1]), (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "copies")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _last_copies(out: DataFrame, cap: float) -> DataFrame:
-    """source, id, change: per source the one copy to add (1) or leave out (-1) that brings it nearest its target, if any does."""
+def _exchanges(out: DataFrame, cap: float) -> DataFrame:
+    """source, id, change: per source a copy to add (1) and one to leave out (-1), or one of these, that bring it nearest its target.
+
+    Only sizes that occur take part, one document for each size; where none helps, nothing changes. For each size to leave out,
+    the nearest sizes to add are its neighbours in one order of both, so no pairs are made.
+    """
     missing = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
-    rows = out.alias("o").join(missing.alias("m"), F.col("o.source").eqNullSafe(F.col("m.source")))
-    able = F.when(F.col("missing") > 0, F.col("copies") + 1 <= cap).otherwise(F.col("copies") >= 1) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missing"))
-    left = F.abs(F.abs(F.col("missing")) - F.col("size"))
-    best = rows.where(able).groupBy("o.source").agg(F.min_by(F.struct("o.id", F.signum("missing").cast("long").alias("change")), F.struct(left, "o.id")).alias("best"))
-    return best.select("source", "best.id", "best.change")
+    missing = stored(missing.where("missing <> 0"), "missing")
+    sizes = out.where("size > 0").groupBy("source", "size").agg(F.min(F.when(F.col("copies") + 1 <= cap, F.col("id"))).alias("more"), F.min(F.when(F.col("copies") >= 1, F.col("id"))).alias("less"))
+    each = stored(sizes, "sizes").alias("z").join(missing.alias("m"), F.col("z.source").eqNullSafe(F.col("m.source"))).select("m.*", "size", "more", "less")
+    none = missing.select("*", F.lit(0).cast("long").alias("size"), F.lit(None).cast(dict(sizes.dtypes)["more"]).alias("more"), F.lit(None).cast(dict(sizes.dtypes)["less"]).alias("less"))
+    added = each.where("more IS NOT NULL").unionByName(none).select("source", "missing", F.col("size").cast("double").alias("at"), F.struct("size", F.col("more").alias("id")).alias("add"), F.lit(None).cast(f"struct<size:bigint,id:{dict(sizes.dtypes)['less']}>").alias("drop"))
+    dropped = each.where("less IS NOT NULL").unionByName(none).select("source", "missing", (F.col("size") + F.col("missing")).alias("at"), F.lit(None).cast(f"struct<size:bigint,id:{dict(sizes.dtypes)['more']}>").alias("add"), F.struct("size", F.col("less").alias("id")).alias("drop"))
+    order = Window.partitionBy("source").orderBy("at")
+    below = F.last("add", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first("add", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    near = added.unionByName(dropped).select("source", "missing", "drop", F.array(below, above).alias("both")).select("source", "missing", "drop", F.explode("both").alias("add")).where("drop IS NOT NULL AND add IS NOT NULL")
+    near = near.withColumn("gap", F.abs(F.col("missing") - F.col("add.size") + F.col("drop.size"))).where(F.col("gap") < F.abs("missing"))
+    best = near.groupBy("source").agg(F.min(F.struct("gap", "add", "drop")).alias("best"))
+    both = best.select("source", F.explode(F.array(F.struct(F.col("best.add.id").alias("id"), F.lit(1).cast("long").alias("change")), F.struct(F.col("best.drop.id").alias("id"), F.lit(-1).cast("long").alias("change")))).alias("c"))
+    return both.select("source", "c.id", "c.change").where("id IS NOT NULL").groupBy("source", "id").agg(F.sum("change").alias("change"))
 
 
 def _shifts(rated: DataFrame) -> DataFrame:
