@@ -71,7 +71,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
-    """What op7 reports of the spans: counts and digest of the base kinds, all spans as text."""
+    """What op7 reports of the spans: counts and digest of the base kinds, all spans as text, and their scores in the same order."""
     base = [k.name for k in pii.KINDS if k.base]
     spans = {k.name: F.col(f"{k.name}_spans") for k in pii.KINDS}
     return found.select(
@@ -79,6 +79,7 @@ def pii_digest(found: DataFrame) -> DataFrame:
         *(F.size(spans[k]).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(pii.joined_spans([spans[k] for k in base]), 256).alias("base_sha256"),
         pii.joined_spans(list(spans.values())).alias("spans"),
+        F.array_join(F.transform(F.concat(*spans.values()), lambda s: F.format_number(s["score"], 1)), ",").alias("scores"),
     )
 
 
