@@ -75,20 +75,29 @@ def _words(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def present(text: Column, words: list[str]) -> Column:
-    """How many of the words occur in the lower-cased text."""
-    return F.size(F.filter(_words(words), lambda w: F.contains(F.lower(text), w)))
+def _total(parts: list[Column]) -> Column:
+    """Sum of columns as a balanced tree: a chain of so many would be slow to plan."""
+    while len(parts) > 1:
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) - len(parts) % 2 :]
+    return parts[0]
 
 
-def occurrences(text: Column, words: list[str]) -> Column:
-    """How often the words occur in the lower-cased text, each without overlaps."""
-    low = F.lower(text)
-    return F.aggregate(_words(words), F.lit(0), lambda n, w: n + ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int"))
+def present(low: Column, words: list[str]) -> Column:
+    """How many of the words occur in a lower-cased text."""
+    return _total([F.contains(low, F.lit(w)).cast("int") for w in words])
 
 
-def keyword_sentiment(text: Column) -> Column:
-    """(rising - falling) / all words present, 0 without any."""
-    up, down = present(text, BULLISH), present(text, BEARISH)
+def occurrences(low: Column, words: list[str]) -> Column:
+    """How often the words occur in a lower-cased text, each without overlaps.
+
+    Literal splits, of which only the number of parts is used, run in compiled code; the text is lower-cased once, by the caller.
+    """
+    return _total([F.when(F.contains(low, F.lit(w)), F.size(F.split(low, w.replace(".", "[.]"), -1)) - 1).otherwise(0) for w in words])
+
+
+def keyword_sentiment(low: Column) -> Column:
+    """(rising - falling) / all words present in a lower-cased text, 0 without any."""
+    up, down = present(low, BULLISH), present(low, BEARISH)
     return F.coalesce(F.try_divide((up - down).cast("double"), up + down), F.lit(0.0))
 
 
@@ -110,18 +119,23 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
 
 
+# What is cut out of file names, in this order.
+TITLE_MARKS = [(r"(?i)[-_]?z[-_]?lib(rary)?", ""), (r"(?i)[-_]?pdfdrive", ""), (r"(?i)[-_]?libgen", ""), (r"[a-f0-9]{8,}", ""), (r"\([^)]*\)", ""), (r"\[[^\]]*\]", ""), (r"[_\-]+", " "), (r"\b\d{5,}\b", ""), (r"\s+", " ")]
+
+
 def normalize_title(path: Column) -> Column:
     """A book's title from its file name: without site marks, hashes, brackets, long numbers; spaces and case evened."""
     title = file_stem(path)
-    for pattern, to in ((r"(?i)[-_]?z[-_]?lib(rary)?", ""), (r"(?i)[-_]?pdfdrive", ""), (r"(?i)[-_]?libgen", ""), (r"[a-f0-9]{8,}", ""), (r"\([^)]*\)", ""), (r"\[[^\]]*\]", ""), (r"[_\-]+", " "), (r"\b\d{5,}\b", ""), (r"\s+", " ")):
+    for pattern, to in TITLE_MARKS:
         title = F.regexp_replace(title, pattern, to)
     return F.lower(F.trim(title))
 
 
 def is_relevant(path: Column) -> Column:
-    """True where the path holds a relevant word and none that rules it out."""
+    """True where the path, or its stem with spaces for `_` and `-`, holds a relevant word, and the path none that rules it out."""
     low = F.lower(path)
-    return ~F.exists(_words(EXCLUDED), lambda w: F.contains(low, w)) & F.exists(_words(RELEVANT), lambda w: F.contains(low, w))
+    both = F.concat(low, F.lit(" "), F.translate(F.lower(file_stem(path)), "_-", "  "))
+    return ~F.exists(_words(EXCLUDED), lambda w: F.contains(low, w)) & F.exists(_words(RELEVANT), lambda w: F.contains(both, w))
 
 
 def chart_pattern(path: Column) -> Column:
@@ -158,6 +172,12 @@ def timecode_seconds(code: Column) -> Column:
     return F.coalesce(total.cast("double"), F.lit(0.0))
 
 
+def seconds_to_hms(seconds: Column) -> Column:
+    """HH:MM:SS of whole seconds."""
+    s = F.floor(seconds).cast("long")
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
 def human_size(n: Column) -> Column:
     """Bytes as text with one decimal."""
     out = F.format_string("%.1f PB", n / float(1 << 50))
@@ -176,13 +196,15 @@ def reply_sentiment(reply: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.get_json_object(found, "$.sentiment").try_cast("double")))
 
 
-# Prefixes of image names that say which kind of book they come from.
+# Prefixes of image names that say which kind of book they come from; what is cut out of titles and of image names.
 FORMATS = ["PDF_", "EPUB_", "DJVU_", "DOCX_", "MOBI_", "IMG_"]
+BOOK_MARKS = [r"^\d{5,}-", r"(?i)-PDFDrive$", r"(?i)-PDFConverted-\d+$", r"(?i)\s*\(Z-Library\)$", r"(?i)\s*\(\s*PDFDrive\s*\)$"]
+IMAGE_MARKS = [r"_p\d+_i(?:mg)?\d+\.\w+$", r"_i\d+\.\w+$", r"\.\w+$"]
 
 
 def normalize_book_title(title: Column) -> Column:
     """A title without a leading number and site marks at its end, hyphens and underscores as spaces, lower case."""
-    for pattern in (r"^\d{5,}-", r"(?i)-PDFDrive$", r"(?i)-PDFConverted-\d+$", r"(?i)\s*\(Z-Library\)$", r"(?i)\s*\(\s*PDFDrive\s*\)$"):
+    for pattern in BOOK_MARKS:
         title = F.regexp_replace(title, pattern, "")
     return F.lower(F.trim(F.regexp_replace(F.translate(title, "-_", "  "), r"\s+", " ")))
 
@@ -190,7 +212,7 @@ def normalize_book_title(title: Column) -> Column:
 def title_of_image(name: Column) -> Column:
     """The book's title in an image's name <format>_<title>_p<page>_i<number>.<ext>; null without a known format."""
     rest = name
-    for pattern in (r"^(?:" + "|".join(FORMATS) + ")", r"_p\d+_i(?:mg)?\d+\.\w+$", r"_i\d+\.\w+$", r"\.\w+$"):
+    for pattern in (r"^(?:" + "|".join(FORMATS) + ")", *IMAGE_MARKS):
         rest = F.regexp_replace(rest, pattern, "")
     return F.when(name.rlike(r"^(?:" + "|".join(FORMATS) + ")") & (rest != ""), rest)
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 RUN = ["symbol", "strategy"]
 #: Bars a year by timeframe, and the hours below which a median spacing counts as it (fixed values).
@@ -46,6 +48,16 @@ def slippage(order: Column, turnover: Column, base: float = 0.0005) -> Column:
     return F.greatest(F.lit(0.0001), F.least(F.lit(0.005), base * (1 + F.coalesce(F.try_divide(order, turnover), F.lit(0.0)))))
 
 
+class _Bar(NamedTuple):
+    ts: object
+    close: float
+    adv: float
+    signal: str
+    stop_loss_pct: float
+    take_profit_pct: float
+    position_size: float
+
+
 class _Book:
     """Cash and the open position of a run."""
 
@@ -106,7 +118,12 @@ def simulate(signals: DataFrame, settings: Settings = Settings()) -> DataFrame:
         book, peak, halted = _Book(settings), settings.capital, False
         equity, trades = [], []
         last = len(frame) - 1
-        for number, row in enumerate(frame.itertuples(index=False)):
+        columns = [frame[c].tolist() for c in ("close", "adv", "signal", "stop_loss_pct", "take_profit_pct", "position_size")]
+        for number, row in enumerate(map(_Bar, frame["ts"].tolist(), *columns)):
+            if not book.side and (halted or row.signal == "HOLD"):  # nothing can happen
+                equity.append(book.cash)
+                trades.append([])
+                continue
             before = len(book.closed)
             if book.side and (reason := book.exit_reason(row.close)):
                 book.close(row, number, reason)
@@ -157,31 +174,43 @@ def trade_stats(trades: DataFrame, by: list[str] = RUN) -> DataFrame:
 
 def detect_timeframe(rows: DataFrame, by: list[str], default: str = "1d") -> DataFrame:
     """by, timeframe: class of the median spacing of rows in time; `default` for ten rows or fewer."""
-    w = Window.partitionBy(*by).orderBy("ts")
+    spaced = rows.withColumn("_h", _spacing(Window.partitionBy(*by).orderBy("ts"))).groupBy(*by).agg(F.median("_h").alias("median_hours"), F.count("*").alias("_rows"))
+    return spaced.select(*by, "median_hours", _timeframe(F.col("median_hours"), F.col("_rows"), default).alias("timeframe"))
+
+
+def _spacing(w: WindowSpec) -> Column:
+    """Hours since the row before."""
     hours = F.col("ts").cast("timestamp").cast("double") / 3600
-    spaced = rows.withColumn("_h", hours - F.lag(hours).over(w)).groupBy(*by).agg(F.median("_h").alias("median_hours"), F.count("*").alias("_rows"))
+    return hours - F.lag(hours).over(w)
+
+
+def _timeframe(median_hours: Column, rows: Column, default: str) -> Column:
     ladder = F.lit("1mo")
     for name, below in sorted(SPACINGS.items(), key=lambda x: -x[1]):
-        ladder = F.when(F.col("median_hours") < below, name).otherwise(ladder)
-    return spaced.select(*by, "median_hours", F.when(F.col("median_hours").isNull() | (F.col("_rows") <= 10), default).otherwise(ladder).alias("timeframe"))
+        ladder = F.when(median_hours < below, name).otherwise(ladder)
+    return F.when(median_hours.isNull() | (rows <= 10), default).otherwise(ladder)
 
 
-def curve_metrics(curve: DataFrame, by: list[str] = RUN, capital: float = 100_000.0) -> DataFrame:
-    """Final equity, total return, drawdown and its longest run, Sharpe, Sortino, Calmar of equity curves (by, ts, equity)."""
+def curve_metrics(curve: DataFrame, by: list[str] = RUN, capital: float = 100_000.0, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Final equity, total return, drawdown and its longest run, Sharpe, Sortino, Calmar of equity curves (by, ts, equity).
+
+    The curve is read once, in one grouping; `more`: further aggregates of its columns.
+    """
     w = Window.partitionBy(*by).orderBy("ts")
     sofar = w.rowsBetween(Window.unboundedPreceding, 0)
     df = curve.withColumns({"_peak": F.max("equity").over(sofar), "_ret": F.try_divide(F.col("equity") - F.lag("equity").over(w), F.lag("equity").over(w))})
+    df = df.withColumn("_h", _spacing(w))
     df = df.withColumn("_dd", F.try_divide(F.col("equity") - F.col("_peak"), F.col("_peak")))
     # rows under water since the last row at the peak: the number of rows in their island
     df = df.withColumn("_island", F.sum((F.col("_dd") >= 0).cast("long")).over(sofar))
     df = df.withColumn("_under", F.sum((F.col("_dd") < 0).cast("long")).over(Window.partitionBy(*by, "_island").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
     negative = F.when(F.col("_ret") < 0, F.col("_ret"))
-    out = df.groupBy(*by).agg(F.max_by("equity", "ts").alias("final_equity"), F.max(-F.col("_dd")).alias("max_drawdown"), F.max("_under").alias("longest_drawdown"), F.avg("_ret").alias("_mean"), F.stddev_pop("_ret").alias("_sd"), F.coalesce(F.stddev_pop(negative), F.lit(1.0)).alias("_neg"))
-    out = out.join(detect_timeframe(curve, by), by)
+    out = df.groupBy(*by).agg(F.max_by("equity", "ts").alias("final_equity"), F.max(-F.col("_dd")).alias("max_drawdown"), F.max("_under").alias("longest_drawdown"), F.avg("_ret").alias("_mean"), F.stddev_pop("_ret").alias("_sd"), F.coalesce(F.stddev_pop(negative), F.lit(1.0)).alias("_neg"), F.median("_h").alias("_hours"), F.count("*").alias("_rows"), *more)
+    out = out.withColumn("timeframe", _timeframe(F.col("_hours"), F.col("_rows"), "1d"))
     a = F.sqrt(F.element_at(F.create_map(*(F.lit(x) for kv in BARS_A_YEAR.items() for x in kv)), F.col("timeframe")))
     ratio = lambda sd: F.coalesce(F.try_divide(F.col("_mean"), F.col(sd)) * a, F.lit(0.0))
     total = F.col("final_equity") / capital - 1
-    return out.select(*by, "final_equity", total.alias("total_return"), "max_drawdown", "longest_drawdown", ratio("_sd").alias("sharpe"), ratio("_neg").alias("sortino"), F.coalesce(F.try_divide(total, F.col("max_drawdown")), F.lit(0.0)).alias("calmar"), "timeframe")
+    return out.select(*by, "final_equity", total.alias("total_return"), "max_drawdown", "longest_drawdown", ratio("_sd").alias("sharpe"), ratio("_neg").alias("sortino"), F.coalesce(F.try_divide(total, F.col("max_drawdown")), F.lit(0.0)).alias("calmar"), "timeframe", *(c for c in out.columns if c.startswith("more_")))
 
 
 def monthly_returns(curve: DataFrame, by: list[str] = RUN) -> DataFrame:
@@ -196,10 +225,17 @@ def monthly_returns(curve: DataFrame, by: list[str] = RUN) -> DataFrame:
 
 def report(signals: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of metrics per run; runs without trades have zeros."""
-    steps = simulate(signals, settings).persist()
-    metrics = curve_metrics(steps.select(*RUN, "ts", "equity"), RUN, settings.capital)
-    joined = metrics.join(trade_stats(trades_of(steps)), RUN, "left")
-    return joined.fillna(0, subset=["n_trades", "n_wins"]).fillna(0.0, subset=["win_rate", "profit_factor", "mean_win_pct", "mean_loss_pct", "commission", "mean_hold"])
+    steps = simulate(signals, settings)
+    # a run's trades are gathered where its curve is measured, so nothing is simulated twice
+    metrics = curve_metrics(steps.select(*RUN, "ts", "equity", "trades"), RUN, settings.capital, (F.flatten(F.collect_list("trades")).alias("more_trades"),))
+    t = F.col("more_trades")
+    total = lambda rows, c: F.aggregate(rows, F.lit(0.0), lambda a, x: a + x[c])
+    mean = lambda rows, c: F.coalesce(F.try_divide(total(rows, c), F.size(rows)), F.lit(0.0))
+    win, loss = F.filter(t, lambda x: x["pnl"] > 0), F.filter(t, lambda x: x["pnl"] <= 0)
+    lost = F.abs(total(loss, "pnl"))
+    counts = {"n_trades": F.size(t).cast("long"), "n_wins": F.size(win).cast("long"), "win_rate": F.coalesce(F.try_divide(F.size(win), F.size(t)), F.lit(0.0)), "profit_factor": F.least(F.lit(999.0), total(win, "pnl") / F.when(lost == 0, 1.0).otherwise(lost))}
+    counts |= {"mean_win_pct": mean(win, "pnl_pct"), "mean_loss_pct": mean(loss, "pnl_pct"), "commission": total(t, "commission"), "mean_hold": mean(t, "hold_bars")}
+    return metrics.withColumns(counts).drop("more_trades")
 
 
 def downsample(curve: DataFrame, most: int, by: list[str] = RUN) -> DataFrame:

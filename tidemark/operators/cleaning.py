@@ -9,8 +9,8 @@ from tidemark.functions.windows import lag
 
 # Names under which columns come, split ratios that are recognised.
 SYNONYMS = {
-    "open": ("open", "o", "open_price"), "high": ("high", "h", "high_price", "max"), "low": ("low", "l", "low_price", "min"),
-    "close": ("close", "c", "close_price", "last", "price"), "volume": ("volume", "v", "vol", "tick_volume", "base_volume", "quote_volume"),
+    "open": ("open", "<open>", "o", "open_price"), "high": ("high", "<high>", "h", "high_price"), "low": ("low", "<low>", "l", "low_price"),
+    "close": ("close", "<close>", "c", "close_price", "price"), "volume": ("volume", "<tickvol>", "vol", "v", "base_volume", "quote_volume"),
     "ts": ("ts", "timestamp", "time", "date", "datetime", "open_time", "close_time", "local_time", "gmt time", "index", "unix"),
     "adj_close": ("adj close", "adj_close", "adjclose"), "dividends": ("dividends",), "stock_splits": ("stock splits", "stock_splits"),
 }
@@ -37,6 +37,11 @@ def normalize_ohlcv(raw: DataFrame) -> DataFrame:
     return raw.select(*([F.col("symbol")] if "symbol" in raw.columns else []), *columns)
 
 
+def drop_empty(bars: DataFrame) -> DataFrame:
+    """Without rows in which open, high, low, close and volume are all null."""
+    return bars.dropna(how="all", subset=[c for c in ("open", "high", "low", "close", "volume") if c in bars.columns])
+
+
 def keep_last(bars: DataFrame, order: str = "seq") -> DataFrame:
     """One row per (symbol, ts): the one that came last."""
     w = Window.partitionBy("symbol", "ts").orderBy(F.col(order).desc())

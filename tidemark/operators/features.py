@@ -97,6 +97,17 @@ def macd(df: DataFrame) -> DataFrame:
     return ema(df, {"macd_signal": ("macd", 9)}).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
+def with_constants(bars: DataFrame) -> DataFrame:
+    """bars with source_file 0, dividends and stock splits 0 where unknown, and the close where there is no adjusted close."""
+    given = lambda name, default: F.coalesce(F.col(name), default) if name in bars.columns else default
+    return bars.withColumns({"source_file": F.lit(0), "dividends": given("dividends", F.lit(0.0)), "stock_splits": given("stock_splits", F.lit(0.0)), "adj_close": given("adj_close", F.col("close"))})
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """Columns that a model may see: numbers that are no key and no target."""
+    return [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint") and c not in (*KEYS, "target", "price_up")]
+
+
 def direction_target(df: DataFrame) -> DataFrame:
     """price_up: 1 if the next close is higher, else 0; each symbol's last row goes."""
     after = F.lead("close").over(by_symbol())

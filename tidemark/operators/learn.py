@@ -15,6 +15,23 @@ def train_and_score(rows: DataFrame, features: list[str], label: str, trees: int
     return model.transform(vectors).select(F.col("label"), F.col("prediction").alias("predicted"), "part")
 
 
+def cross_validate(rows: DataFrame, features: list[str], label: str, model: str = "boosted", **settings) -> DataFrame:
+    """(model, fold, train, test): accuracies of trees trained afresh on each fold of rows with `fold` and `part`.
+
+    Folds are few; each is trained by all tasks.
+    """
+    scores = None
+    for fold in sorted(r.fold for r in rows.select("fold").distinct().collect()):
+        scored = train_and_score(rows.where(F.col("fold") == fold), features, label, **settings)
+        right = (F.col("label") == F.col("predicted")).cast("double")
+        of = lambda p: F.avg(F.when(F.col("part") == p, right))  # noqa: B023, E731
+        one = scored.agg(of("train").alias("train"), of("test").alias("test")).select(F.lit(model).alias("model"), F.lit(fold).alias("fold"), "train", "test")
+        scores = one if scores is None else scores.unionByName(one)
+    if scores is None:
+        return rows.sparkSession.createDataFrame([], "model string, fold int, train double, test double")
+    return scores
+
+
 def accuracy_flags(scores: DataFrame, suspicious: float = 0.70, overfit: float = 1.5) -> DataFrame:
     """scores (train, test) with overfit ratio and flags: an accuracy too good to be true, or far better in training."""
     ratio = F.when(F.col("test") <= 0, float("inf")).otherwise(F.col("train") / F.col("test"))

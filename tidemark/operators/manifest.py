@@ -58,6 +58,25 @@ def match_titles(titles: DataFrame, library: list[str], threshold: float = 0.60)
     return titles.where(F.length("title") >= 5).select("title").distinct().mapInPandas(run, "title string, book string, score double")
 
 
+def directory_topics(files: DataFrame, topics: DataFrame, depth: int = 3, path: str = "path") -> DataFrame:
+    """files (paths below one folder) with `topic`: that of the nearest directory above them that `topics` (name, topic) holds, else null.
+
+    Names are compared in lower case without spaces around them; files more than `depth` directories deep have none. The
+    topic table is made by hand, one row a name; a file's directories are at most `depth` rows.
+    """
+    parts = F.split(F.ltrim(F.col(path), F.lit("/")), "/")
+    above = F.slice(parts, 1, F.size(parts) - 1)
+    each = files.select(path, above.alias("above")).distinct().where(F.size("above") <= depth).select(path, F.posexplode("above").alias("at", "name"))
+    named = each.withColumn("name", F.trim(F.lower("name"))).join(topics.select(F.trim(F.lower("name")).alias("name"), "topic"), "name")
+    found = named.groupBy(path).agg(F.max_by("topic", "at").alias("topic"))
+    return files.join(found, path, "left")
+
+
+def write_splits(manifest: DataFrame, path: str, part: str = "part") -> None:
+    """CSV with a header below a path, a folder for each part (train, val, test)."""
+    manifest.write.mode("overwrite").option("header", True).partitionBy(part).csv(path)
+
+
 def sample_per_label(manifest: DataFrame, label: str, key: str, most: int, seed: int = 42) -> DataFrame:
     """At most `most` rows of each label, chosen by a hash (a sampling operator: the limit is its purpose)."""
     w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Queries of a search that are sent to tasks at once.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,15 +26,64 @@ def unit(a: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): exact k nearest by cosine of few queries among all vectors.
+    """(query_id, vec_id, similarity, rank): exact k nearest by cosine of a stated set of queries among all vectors; ties by vec_id.
 
-    Queries are a stated, small set; each block of vectors keeps k of a query before anything is shuffled.
+    Queries go out BLOCK at a time, so what is sent to tasks is bounded; each block is a pass over the vectors. A batch of vectors
+    meets a block as one matrix product, of which each query keeps its k best before anything is shuffled. Vectors of zeros and
+    nulls have no similarity and are left out; a query that several rows ask is one if their vectors are the same.
     """
-    normed = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    asked = queries.select("query_id", unit(F.col("embedding")).alias("q"))
-    scored = normed.join(asked).select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("similarity"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double"
+    rows = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    found = None
+    for ids, block in _blocks(queries):
+
+        def run(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, block: np.ndarray = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield _best(batch, ids, block, k)
+
+        part = rows.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows of zeros become NaN."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and unit vectors of the distinct queries, BLOCK at a time."""
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    ids: list = []
+    held: list = []
+    for row in queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("q")).distinct().toLocalIterator():
+        ids.append(row.query_id)
+        held.append(row.q)
+        if len(ids) == BLOCK:
+            yield pa.array(ids, kind), _units(np.array(held))
+            ids, held = [], []
+    if ids:
+        yield pa.array(ids, kind), _units(np.array(held))
+
+
+def _best(batch: pa.RecordBatch, ids: pa.Array, block: np.ndarray, k: int) -> pa.RecordBatch:
+    """Of each query its k best rows of the batch; of equal ones those with the least vec_id."""
+    order = pc.sort_indices(batch.column(0))
+    lists = batch.column(1).take(order)
+    v = _units(lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+    # rounded, so that equal vectors are equal whatever batch they are in
+    s = np.round(v @ block.T, 12).T
+    s[np.isnan(s)] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    values = np.take_along_axis(s, best, axis=1)
+    keep = np.isfinite(values)
+    query = np.broadcast_to(np.arange(len(block))[:, None], best.shape)[keep]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(order).take(pa.array(best[keep])), pa.array(values[keep])], names=["query_id", "vec_id", "similarity"])
 
 
 def mmr(candidates: DataFrame, k: int = 15, trade: float = 0.7) -> DataFrame:

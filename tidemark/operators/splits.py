@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 
 def temporal_split(df: DataFrame, share: float = 0.8, gap: str = "5 days") -> DataFrame:
-    """df with `part`: train before the cutoff (the time below which `share` of the rows lie), test from `gap` after it; between: neither."""
-    cutoff = df.agg(F.percentile_approx("ts", share, 10_000).alias("cutoff"))  # one row
+    """df with `part`: train before the cutoff, test from `gap` after it; between: neither.
+
+    The cutoff is the time of the row number floor(share * n), from 0, in time order, exact at any size: rows are counted
+    by time, and only the counts are ordered.
+    """
+    counted = df.groupBy("ts").agg(F.count("*").alias("n"))
+    days = counted.groupBy(F.to_date("ts").alias("day")).agg(F.sum("n").alias("n"))  # a row a day: a short list
+    upto = days.withColumn("upto", F.sum("n").over(Window.orderBy("day"))).withColumn("at", F.floor(share * F.sum("n").over(Window.orderBy(F.lit(0)))))
+    day = upto.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select("day", (F.col("at") - F.col("upto") + F.col("n")).alias("left"))
+    inside = counted.join(F.broadcast(day), F.to_date("ts") == F.col("day")).withColumn("upto", F.sum("n").over(Window.orderBy("ts")))
+    cutoff = inside.where("upto > left").agg(F.min("ts").alias("cutoff"))  # one row
     part = F.when(F.col("ts") < F.col("cutoff"), "train").when(F.col("ts") >= F.col("cutoff") + F.expr(f"interval {gap}"), "test")
     return df.crossJoin(F.broadcast(cutoff)).withColumn("part", part).where("part IS NOT NULL").drop("cutoff")
 

@@ -15,6 +15,10 @@ from tidemark.functions import text as T
 CHAPTERS = [re.compile(r"^chapter\s+\d+", re.I | re.M), re.compile(r"^part\s+[IVXLCDM\d]+", re.I | re.M), re.compile(r"^section\s+\d+", re.I | re.M), re.compile(r"^\d+\.\s+[A-Z]", re.M), re.compile(r"^[A-Z][A-Z\s]{10,}$", re.M)]
 
 
+#: Where a chunk may end: at a mark up to so many characters beyond its size (fixed values).
+MARGINS = (("\n\n", 200), (". ", 100))
+
+
 def spans_of_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, int]]:
     """(chapter, start, end) of chunks of about `size` characters that end at paragraphs, else sentences, within chapters."""
     heads = sorted({0, *(m.start() for p in CHAPTERS for m in p.finditer(text))})
@@ -26,7 +30,7 @@ def spans_of_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, i
             end = min(at + size, high)
             if end < high:
                 middle = at + size // 2
-                for mark, beyond in (("\n\n", 200), (". ", 100)):
+                for mark, beyond in MARGINS:
                     cut = text.rfind(mark, middle, min(end + beyond, high))
                     if cut > middle:
                         end = cut + 2
@@ -37,7 +41,7 @@ def spans_of_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, i
             at = max(at + 1, end - overlap)
 
 
-def chunks(documents: DataFrame, size: int = 512, overlap: int = 64, id_col: str = "doc_id", least: int = 50) -> DataFrame:
+def chunks(documents: DataFrame, size: int = 800, overlap: int = 150, id_col: str = "doc_id", least: int = 50) -> DataFrame:
     """(id, chunk_idx, chapter_idx, start_char, end_char, text, token_estimate, id): chunks of more than `least` characters.
 
     `size` and `overlap` are tokens of four characters. A map over documents; nothing is shuffled.
@@ -75,6 +79,39 @@ def keywords(documents: DataFrame, n: int = 10, by: str = "doc_id") -> DataFrame
     return ranked.where(F.col("rank") <= n).select(by, "rank", "word", "count")
 
 
+def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, count): how often each value of each column occurs; null is a value. One pass, whatever the number of columns."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    return rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("column", "value").agg(F.count("*").alias("count"))
+
+
+def distinct_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): numbers of distinct values that are not null, exact."""
+    return value_counts(rows, columns).where("value IS NOT NULL").groupBy("column").agg(F.count("*").alias("n"))
+
+
+def document_frequency(keywords: DataFrame, most: int = 20) -> DataFrame:
+    """(word, documents, rank) of the `most` words that are keywords (doc_id, word) of the most documents (a report: the limit is its purpose)."""
+    counted = keywords.select("doc_id", "word").distinct().groupBy("word").agg(F.count("*").alias("documents"))
+    top = counted.orderBy(F.desc("documents"), "word").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("documents"), "word")))
+
+
+def transcript_totals(made: DataFrame) -> DataFrame:
+    """One row: transcripts, cues, words, hours of transcripts (path, cues, duration_s, words)."""
+    return made.agg(F.count("*").alias("transcripts"), F.sum("cues").alias("cues"), F.sum("words").alias("words"), (F.sum("duration_s") / 3600).alias("hours"))
+
+
+def enrich(made: DataFrame, catalog: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Chunks with what a catalog (one row an id) says of their document; chunks of unknown documents stay, with nulls."""
+    return made.join(catalog, id_col, "left")
+
+
+def verify_index(made: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row: chunks, distinct ids of chunks, documents, empty chunks: what an index over chunks should hold."""
+    return made.agg(F.count("*").alias("chunks"), F.countDistinct("chunk_key").alias("chunk_ids"), F.countDistinct(id_col).alias("documents"), F.sum((F.length("text") == 0).cast("long")).alias("empty"))
+
+
 def news_votes(headlines: DataFrame, by: str = "symbol") -> DataFrame:
     """(by, sentiment, recommendation, confidence, headlines) of all headlines of a symbol together.
 

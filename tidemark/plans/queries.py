@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,15 +93,25 @@ def bars_orders(spark, d):
     return r6(B.daily_order_bars(spark, d))
 
 
-@query()
+@query(f"""WITH {BARS}, late AS (SELECT date_trunc('hour', max(ts) - INTERVAL 10 MINUTES) AS open FROM events)
+    SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars WHERE ts < (SELECT late.open FROM late)""")
 def stream_bars(spark, d):
-    """The streaming bars over all events; the hours that the watermark has not passed stay open and are left out."""
-    root = tempfile.mkdtemp(prefix="stream-")
+    """The streaming bars over all events: those of the hours that the watermark, ten minutes behind the newest event, has passed."""
+    root = _scratch(spark, "stream")
     source = spark.readStream.schema(events_of(spark, d).schema).parquet(_folder(f"{d}/events.parquet"))
     streams.drain(streams.stream_bars(source, F.col("event_type"), F.col("value"), ["ts", "event_id"]), f"{root}/bars", f"{root}/checkpoint")
     return r6(spark.read.schema("symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double").parquet(f"{root}/bars"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir; below a temporary folder only where Spark runs in this process."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
 def _folder(path: str) -> str:
     """A glob that Spark's file streams accept for one file."""
     return path[: -len(".parquet")] + ".parq*"
@@ -272,7 +283,9 @@ def clean_splits(spark, d):
     return r6(cleaning.detect_splits(B.hourly_bars(spark, d)))
 
 
-@query()
+@query(f"""WITH {BARS}, f AS (SELECT *, CASE WHEN symbol = 'click' AND close <> 0 THEN 0.5 ELSE 1 END AS f FROM bars)
+    SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN symbol = 'click' THEN round_even(open * f, 6) ELSE open END, 6) AS open, round(CASE WHEN symbol = 'click' THEN round_even(close * f, 6) ELSE close END, 6) AS close,
+        CASE WHEN symbol = 'click' THEN round_even(volume / f, 0) ELSE volume END AS volume FROM f""")
 def clean_adjusted(spark, d):
     bars = B.hourly_bars(spark, d).withColumn("adj_close", F.when(F.col("symbol") == "click", F.col("close") / 2).otherwise(F.col("close")))
     return r6(cleaning.adjust(bars).select("symbol", "ts", "open", "close", "volume"))
@@ -335,18 +348,18 @@ def anomaly_quality(spark, d):
 
 
 _VOTES = """votes AS (SELECT user_id AS decision_id, CASE event_type WHEN 'purchase' THEN 'ml' WHEN 'click' THEN 'news' WHEN 'view' THEN 'knowledge' ELSE event_type END AS agent,
-    CASE WHEN value > 60 THEN 'BUY' WHEN value < 40 THEN 'SELL' ELSE 'HOLD' END AS recommendation, least(value / 100, 1.0) AS confidence FROM events)"""
+    CASE WHEN value > 60 THEN 'BUY' WHEN value < 40 THEN 'SELL' ELSE 'HOLD' END AS recommendation, least(value / 100, 1.0) AS confidence, CASE WHEN event_id % 17 = 3 THEN 'NOT_IMPLEMENTED' END AS status FROM events)"""
 _WEIGHTS = """w(agent, weight) AS (VALUES ('ml', 0.70), ('knowledge', 0.25), ('news', 0.15), ('security', 0.05), ('learner', 0.0))"""
 _SCORES = f"""{_VOTES}, {_WEIGHTS}, s AS (SELECT decision_id, coalesce(sum(coalesce(weight, 0.1) * confidence * CASE recommendation WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END)
-    / nullif(sum(coalesce(weight, 0.1)), 0), 0) AS c, count(*) AS n FROM votes LEFT JOIN w USING (agent) GROUP BY decision_id)"""
+    / nullif(sum(coalesce(weight, 0.1)), 0), 0) AS c, count(*) AS n FROM votes LEFT JOIN w USING (agent) WHERE status IS NULL GROUP BY decision_id)"""
 
 
-def votes_of(spark: SparkSession, d: str) -> DataFrame:
-    """Events as votes: a user is a decision, an event type an agent, its value the opinion."""
+def votes_of(spark: SparkSession, d: str, cents: bool = False) -> DataFrame:
+    """Events as votes: a user is a decision, an event type an agent, its value the opinion (in whole hundredths if `cents`), some from stubs."""
     e, kind, value = events_of(spark, d), F.col("event_type"), F.col("value")
     agent = F.when(kind == "purchase", "ml").when(kind == "click", "news").when(kind == "view", "knowledge").otherwise(kind)
     opinion = F.when(value > 60, "BUY").when(value < 40, "SELL").otherwise("HOLD")
-    return e.select(F.col("user_id").alias("decision_id"), agent.alias("agent"), opinion.alias("recommendation"), F.least(value / 100, F.lit(1.0)).alias("confidence"), F.lit(None).cast("string").alias("status"))
+    return e.select(F.col("user_id").alias("decision_id"), agent.alias("agent"), opinion.alias("recommendation"), F.least((F.floor(value) if cents else value) / 100, F.lit(1.0)).alias("confidence"), F.when(F.col("event_id") % 17 == 3, "NOT_IMPLEMENTED").alias("status"))
 
 
 @query(f"WITH {_SCORES} SELECT decision_id, round(c, 6) AS consensus, n AS n_votes FROM s")
@@ -356,17 +369,19 @@ def votes_consensus(spark, d):
 
 @query(f"""WITH {_SCORES}, p AS (SELECT *, CASE WHEN c >= 0.6 THEN 'BUY' WHEN c <= -0.6 THEN 'SELL' ELSE 'HOLD' END AS a FROM s),
     g AS (SELECT *, CASE WHEN a = 'HOLD' THEN 0 ELSE round(least(0.01 * abs(c), 0.02), 6) END AS size FROM p)
-    SELECT decision_id, round(size, 6) AS position_size, round(0.02 * (2 - abs(c)), 3) AS stop_loss, round(0.04 * (1 + abs(c)), 3) AS take_profit, CASE WHEN a = 'HOLD' OR size > 0.001 THEN a ELSE 'HOLD' END AS action FROM g""")
+    SELECT decision_id, round(size, 6) AS position_size, round(CAST(0.02 AS DOUBLE) * (2 - abs(c)), 4) AS stop_loss, round(CAST(0.04 AS DOUBLE) * (1 + abs(c)), 4) AS take_profit, a = 'HOLD' OR size > 0.001 AS approved, CASE WHEN a = 'HOLD' OR size > 0.001 THEN a ELSE 'HOLD' END AS action FROM g""")
 def votes_decisions(spark, d):
     out = consensus.decide(consensus.consensus(consensus.usable(votes_of(spark, d))), F.lit(0.01))
-    return out.select("decision_id", "position_size", F.round(0.02 * (2 - F.abs("consensus")), 3).alias("stop_loss"), F.round(0.04 * (1 + F.abs("consensus")), 3).alias("take_profit"), "action")
+    return out.select("decision_id", "position_size", "stop_loss", "take_profit", "approved", "action")
 
 
-@query(f"""WITH {_VOTES}, s AS (SELECT decision_id, sum(CASE WHEN recommendation = 'BUY' THEN 0.75 * confidence ELSE 0 END) AS b, sum(CASE WHEN recommendation = 'SELL' THEN 0.75 * confidence ELSE 0 END) AS l,
-        sum(CASE WHEN recommendation = 'HOLD' THEN 0.75 * confidence ELSE 0 END) AS h, sum(0.75) AS w FROM votes GROUP BY decision_id)
+@query(f"""WITH {_VOTES}, a AS (SELECT *, CASE agent WHEN 'ml' THEN 0.75 WHEN 'news' THEN 0.625 ELSE 0.5 END AS acc FROM votes),
+    s AS (SELECT decision_id, sum(CASE WHEN recommendation = 'BUY' THEN acc * confidence ELSE 0 END) AS b, sum(CASE WHEN recommendation = 'SELL' THEN acc * confidence ELSE 0 END) AS l,
+        sum(CASE WHEN recommendation = 'HOLD' THEN acc * confidence ELSE 0 END) AS h, sum(acc) AS w FROM a GROUP BY decision_id)
     SELECT decision_id, CASE greatest(b, l, h) WHEN b THEN 'BUY' WHEN l THEN 'SELL' ELSE 'HOLD' END AS action, round(greatest(b, l, h) / w, 6) AS confidence FROM s""")
 def votes_ensemble(spark, d):
-    return r6(consensus.ensemble(votes_of(spark, d).select("decision_id", F.col("recommendation").alias("action"), "confidence", F.lit("0.75").alias("accuracy"))))
+    accuracy = F.when(F.col("agent") == "ml", "0.75").when(F.col("agent") == "news", "0.625").otherwise("unknown")  # what is no number counts as 0.5
+    return r6(consensus.ensemble(votes_of(spark, d).select("decision_id", F.col("recommendation").alias("action"), "confidence", accuracy.alias("accuracy"))))
 
 
 @query("""WITH t AS (SELECT l_suppkey AS symbol, avg(CAST(l_discount > 0.05 AS DOUBLE)) AS p, coalesce(avg(CASE WHEN l_discount > 0.05 THEN l_discount END), 0) AS w,
@@ -399,7 +414,12 @@ def alerts_matched(spark, d):
     return r6(alerts.matches(scored_signals(spark, d), alerts.default_rules(spark)).select("symbol", "ts", "signal", "rule", "level"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CROSS}, c AS (SELECT *, least(0.5 + 20 * abs((f - s) / nullif(s, 0)), 0.95) AS conf FROM g WHERE signal <> 'HOLD'),
+    r(rule, level, ms, mc, wait) AS (VALUES ('strong_signal', 'WARNING', 0.50, 0.40, 180000), ('critical_signal', 'CRITICAL', 0.75, 0.60, 72000), ('any_signal', 'INFO', 0.30, 0.0, 36000)),
+    a AS MATERIALIZED (SELECT symbol, rule, level, ts, wait, row_number() OVER (PARTITION BY symbol, rule ORDER BY ts) AS k FROM c JOIN r ON conf >= ms AND conf >= mc),
+    z AS (SELECT symbol, rule, level, ts, k, ts AS kept, true AS keep FROM a WHERE k = 1 UNION ALL
+        SELECT a.symbol, a.rule, a.level, a.ts, a.k, CASE WHEN epoch(a.ts) - epoch(z.kept) >= a.wait THEN a.ts ELSE z.kept END, epoch(a.ts) - epoch(z.kept) >= a.wait FROM z JOIN a ON a.symbol = z.symbol AND a.rule = z.rule AND a.k = z.k + 1)
+    SELECT symbol, CAST(ts AS VARCHAR) AS ts, rule, level FROM z WHERE keep""")
 def alerts_cooled(spark, d):
     rules = alerts.default_rules(spark).withColumn("cooldown_s", F.col("cooldown_s") * 600)
     return r6(alerts.cool_down(alerts.matches(scored_signals(spark, d), rules)).select("symbol", "ts", "rule", "level"))
@@ -480,7 +500,7 @@ def metrics_histogram(spark, d):
 # splits and learning
 
 
-@query(f"""WITH {BARS}, c AS (SELECT quantile_disc(ts, 0.8) AS cutoff FROM bars), p AS (SELECT symbol, ts, CASE WHEN ts < cutoff THEN 'train' WHEN ts >= cutoff + INTERVAL 1 DAY THEN 'test' END AS part FROM bars, c)
+@query(f"""WITH {BARS}, o AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM bars), c AS (SELECT min(ts) AS cutoff FROM o WHERE k = CAST(floor(0.8 * n) AS BIGINT)), p AS (SELECT symbol, ts, CASE WHEN ts < cutoff THEN 'train' WHEN ts >= cutoff + INTERVAL 1 DAY THEN 'test' END AS part FROM bars, c)
     SELECT symbol, part, count(*) AS n FROM p WHERE part IS NOT NULL GROUP BY symbol, part""")
 def split_temporal(spark, d):
     return splits.temporal_split(B.hourly_bars(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), gap="1 day").groupBy("symbol", "part").agg(F.count("*").alias("n"))
@@ -501,7 +521,8 @@ def split_folds_by_length(spark, d):
     return r6(splits.assign_own_folds(B.hourly_bars(spark, d), folds=4, gap=5).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("close").alias("mean_close")))
 
 
-@query()
+@query("""WITH k AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+    SELECT label, CASE WHEN CAST(k AS DOUBLE) / n < 0.7 THEN 'train' WHEN CAST(k AS DOUBLE) / n < 0.85 THEN 'val' ELSE 'test' END AS part, count(*) AS n FROM k WHERE n >= 3 GROUP BY ALL""")
 def split_stratified(spark, d):
     return splits.stratified_split(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id").groupBy("label", "part").agg(F.count("*").alias("n"))
 
@@ -575,8 +596,9 @@ _COUNTED = lambda words: f"CAST(list_sum(list_transform({_IN(words)}, lambda w:
 @query(f"""WITH c AS (SELECT doc_id, {_PRESENT(T.BULLISH)} AS u, {_PRESENT(T.BEARISH)} AS w, {_COUNTED(T.BULLISH_TERMS)} AS b, {_COUNTED(T.BEARISH_TERMS)} AS s FROM documents), h AS (SELECT *, b / nullif(b + s, 0) AS r FROM c)
     SELECT doc_id, round(coalesce((u - w) / nullif(u + w, 0), 0), 6) AS sentiment, b AS bullish, s AS bearish, CASE WHEN r > 0.6 THEN 'BULLISH' WHEN r < 0.4 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction FROM h""")
 def text_sentiment(spark, d):
-    text = F.col("text")
-    out = table(spark, d, "documents").select("doc_id", T.keyword_sentiment(text).alias("sentiment"), T.occurrences(text, T.BULLISH_TERMS).alias("bullish"), T.occurrences(text, T.BEARISH_TERMS).alias("bearish"))
+    low = F.col("low")
+    rows = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    out = rows.select("doc_id", T.keyword_sentiment(low).alias("sentiment"), T.occurrences(low, T.BULLISH_TERMS).alias("bullish"), T.occurrences(low, T.BEARISH_TERMS).alias("bearish"))
     return r6(out.withColumn("direction", T.direction_hint(F.col("bullish"), F.col("bearish"))["direction"]))
 
 
@@ -594,16 +616,16 @@ def text_titles(spark, d):
     return table(spark, d, "pages").select("page_id", T.normalize_title(F.col("url")).alias("title"))
 
 
-@query(f"SELECT page_id, NOT len(list_filter({_IN(T.EXCLUDED)}, lambda w: contains(lower(url), w))) > 0 AND len(list_filter({_IN(T.RELEVANT)}, lambda w: contains(lower(url), w))) > 0 AS relevant FROM pages")
+@query(f"SELECT page_id, NOT len(list_filter({_IN(T.EXCLUDED)}, lambda w: contains(lower(url), w))) > 0 AND len(list_filter({_IN(T.RELEVANT)}, lambda w: contains(lower(url) || ' ' || translate(lower(regexp_replace(split_part(url, '/', -1), '(.)\\.[^.]*$', '\\1')), '_-', '  '), w))) > 0 AS relevant FROM pages")
 def text_relevant(spark, d):
     return table(spark, d, "pages").select("page_id", T.is_relevant(F.col("url")).alias("relevant"))
 
 
 @query("""SELECT doc_id, length(text) // 4 AS token_estimate, 'rag_' || sha256(CAST(doc_id AS VARCHAR) || ':0:' || substr(text, 1, 100))[1:16] AS chunk_id,
-    sha256(lower(trim(substr(text, 1, 40), ' ')) || ':5')[1:16] AS cache_key, replace(regexp_replace(substr(text, 1, 200), '[\\x00-\\x1f\\x7f]', '', 'g'), '', '') AS plain FROM documents""")
+    sha256(lower(trim(text, ' ')) || ':5')[1:16] AS cache_key, replace(regexp_replace(substr(text, 1, 200), '[\\x00-\\x1f\\x7f]', '', 'g'), '', '') AS plain FROM documents""")
 def text_ids(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.estimate_tokens(text).alias("token_estimate"), T.chunk_id(F.col("doc_id").cast("string"), F.lit(0), text).alias("chunk_id"), T.cache_key(F.substring(text, 1, 40), F.lit(5)).alias("cache_key"), F.regexp_replace(F.substring(text, 1, 200), r"[\x00-\x1f\x7f]", "").alias("plain"))
+    return table(spark, d, "documents").select("doc_id", T.estimate_tokens(text).alias("token_estimate"), T.chunk_id(F.col("doc_id").cast("string"), F.lit(0), text).alias("chunk_id"), T.cache_key(text, F.lit(5)).alias("cache_key"), F.regexp_replace(F.substring(text, 1, 200), r"[\x00-\x1f\x7f]", "").alias("plain"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size,
@@ -618,10 +640,10 @@ _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 
 
 @query(f"""WITH l AS (SELECT source, string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' ') AS ws FROM documents), w AS (SELECT source, unnest(ws) AS word FROM l),
-    c AS (SELECT source, word, count(*) AS n FROM w WHERE length(word) > 3 AND word NOT IN {_STOP} GROUP BY source, word) SELECT source, word, n AS count FROM c WHERE n >= 20""")
+    c AS (SELECT source, word, count(*) AS n FROM w WHERE length(word) > 3 AND word NOT IN {_STOP} GROUP BY source, word) SELECT source, word, n AS count FROM c""")
 def text_word_counts(spark, d):
     words = table(spark, d, "documents").select("source", F.explode(F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " ")).alias("word"))
-    return words.where((F.length("word") > 3) & ~F.col("word").isin(T.STOP_WORDS)).groupBy("source", "word").agg(F.count("*").alias("count")).where("count >= 20")
+    return words.where((F.length("word") > 3) & ~F.col("word").isin(T.STOP_WORDS)).groupBy("source", "word").agg(F.count("*").alias("count"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' ') AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM l),
@@ -646,18 +668,18 @@ def text_chunk_stats(spark, d):
 _SIM = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_SIM} AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s)
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_SIM} AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 60""")
 def vectors_nearest(spark, d):
-    """The five probes are the query set; they are asked of all vectors."""
+    """Every vector whose id is divisible by 20 is a query; all vectors are searched."""
     vectors = table(spark, d, "embeddings")
-    return r6(retrieval.nearest(vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 60))
+    return r6(retrieval.nearest(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 60))
 
 
 @query()
 def vectors_mmr(spark, d):
     vectors = table(spark, d, "embeddings")
-    near = retrieval.nearest(vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 60)
+    near = retrieval.nearest(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 60)
     return retrieval.mmr(near.join(vectors.select("vec_id", "embedding"), "vec_id"))
 
 
@@ -702,9 +724,11 @@ def files_roll_up(spark, d):
     return files_.roll_up(page_files(spark, d))
 
 
-@query(f"WITH {_FILES} SELECT sha256, count(*) AS copies, CAST(sum(size_bytes) - max(size_bytes) AS BIGINT) AS wasted FROM files GROUP BY sha256 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, CAST(sum(length(text)) - max(length(text)) AS BIGINT) AS wasted FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1")
 def files_duplicates(spark, d):
-    return files_.duplicates(page_files(spark, d))
+    """Documents as files: several have the same text."""
+    texts = table(spark, d, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("size_bytes"))
+    return files_.duplicates(texts)
 
 
 @query(f"WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS k FROM files) SELECT path, sha256 FROM r WHERE k = 1")
@@ -734,11 +758,11 @@ _PATTERN = "coalesce(" + ", ".join(f"CASE WHEN len(list_filter({_IN([w.replace('
 _DIRECTION = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(p2, '\\b(?:{'|'.join(ws)})\\b') THEN '{k}' END" for k, ws in T.DIRECTIONS.items()) + ", 'unknown')"
 
 
-@query(f"""WITH f AS (SELECT doc_id, replace(substr(text, 1, 60), ' ', '/') AS text_path FROM documents), p AS (SELECT doc_id, {_EVEN.format(n=3)} AS p3, {_EVEN.format(n=2)} AS p2 FROM f), l AS (SELECT doc_id, {_PATTERN} AS label, {_DIRECTION} AS direction FROM p)
-    SELECT doc_id, label, direction, CASE WHEN label <> 'unlabeled' THEN label WHEN direction <> 'unknown' THEN direction ELSE 'unlabeled' END AS category FROM l""")
+@query(f"""WITH f AS (SELECT page_id, url AS text_path FROM pages), p AS (SELECT page_id, {_EVEN.format(n=3)} AS p3, {_EVEN.format(n=2)} AS p2 FROM f), l AS (SELECT page_id, {_PATTERN} AS label, {_DIRECTION} AS direction FROM p)
+    SELECT page_id, label, direction, CASE WHEN label <> 'unlabeled' THEN label WHEN direction <> 'unknown' THEN direction ELSE 'unlabeled' END AS category FROM l""")
 def manifest_labels(spark, d):
-    files = table(spark, d, "documents").select("doc_id", F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("/")).alias("path"))
-    return manifest.label_paths(files).select("doc_id", "label", "direction", "category")
+    files = table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
+    return manifest.label_paths(files).select("page_id", "label", "direction", "category")
 
 
 @query("""SELECT CAST(d.doc_id AS VARCHAR) AS path, coalesce(CAST(l.quality AS VARCHAR), d.lang) AS label, CASE WHEN l.doc_id IS NULL THEN 'pre_labeled' ELSE 'trusted' END AS review_status
@@ -756,10 +780,14 @@ def manifest_clusters(spark, d):
     return manifest.apply_cluster_labels(v.select("path", F.lit("none").alias("label")), v, names)
 
 
+LIBRARY = ["the cold widgets", "widget, small", "large bolts", "blue rods and pins", "gear red", "a green gear"]
+
+
 @query()
 def manifest_titles(spark, d):
-    titles = table(spark, d, "nation").select(F.lower("n_name").alias("title"))
-    return r6(manifest.match_titles(titles, ["united states of america", "germany", "france", "saudi arabia kingdom", "united kingdom", "mozambique"]))
+    """Titles of part names against a few written another way."""
+    titles = table(spark, d, "part").select(F.lower("p_name").alias("title"))
+    return r6(manifest.match_titles(titles, LIBRARY))
 
 
 @query()
@@ -842,3 +870,6 @@ def text_citations(spark, d):
 @query()
 def backtest_best(spark, d):
     return r6(reports.best_run(backtest.report(run_signals(spark, d))))
+
+
+from tidemark.plans import desk  # noqa: E402,F401  registers its queries

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.cleaning import normalize_ohlcv
+from tidemark.operators.cleaning import between, drop_empty, keep_last, normalize_ohlcv, validate
+from tidemark.sources.files import resolve
 
 #: Keys under which nested JSON keeps its bars (fixed values).
 NESTED = ("data", "candles", "result", "results", "ohlcv", "bars", "chart")
 #: timeframe -> (interval, period) of market-data requests (fixed values).
-TIMEFRAMES = {"1m": ("1m", "7d"), "5m": ("5m", "60d"), "15m": ("15m", "60d"), "30m": ("30m", "60d"), "1h": ("1h", "730d"), "4h": ("1h", "730d"), "1d": ("1d", "max"), "1wk": ("1wk", "max"), "1mo": ("1mo", "max")}
+TIMEFRAMES = {"1m": ("1m", "7d"), "2m": ("2m", "60d"), "5m": ("5m", "60d"), "15m": ("15m", "60d"), "30m": ("30m", "60d"), "1h": ("1h", "730d"), "4h": ("1h", "730d"), "1d": ("1d", "max"), "1wk": ("1wk", "max")}
+DEFAULT_REQUEST = ("1h", "730d")
+
+
+def request_of(timeframe: Column) -> Column:
+    """struct<interval, period> that a market-data request for a timeframe asks for."""
+    known = F.create_map(*(F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("interval"), F.lit(x[1]).alias("period")) for kv in TIMEFRAMES.items() for x in kv))
+    return F.coalesce(F.element_at(known, timeframe), F.struct(F.lit(DEFAULT_REQUEST[0]).alias("interval"), F.lit(DEFAULT_REQUEST[1]).alias("period")))
 
 
 def bars_from_ticks(ticks: DataFrame, symbol: Column, price: Column, bucket: Column, order: list[str]) -> DataFrame:
@@ -58,6 +66,25 @@ def read_bars(spark: SparkSession, path: str, kind: str, symbol: str) -> DataFra
     return normalize_ohlcv(raw.withColumn("symbol", F.lit(symbol)))
 
 
+def load(spark: SparkSession, index: DataFrame, symbols: list[str], timeframe: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Clean bars of several symbols from the files that an index (path, key, ext) resolves them to.
+
+    Each file's bars are normalised; rows without any price go, of repeated times the last row stays, impossible rows
+    go, then the range of times is cut. Symbols without a file have no rows. The list of symbols is made by hand.
+    """
+    parts = []
+    for symbol in symbols:
+        if found := resolve(index, symbol, timeframe).head():
+            bars = read_bars(spark, found.path, found.ext, symbol)
+            parts.append(bars.withColumn("seq", F.monotonically_increasing_id()))
+    if not parts:
+        return spark.createDataFrame([], "symbol string, open double, high double, low double, close double, volume double, ts timestamp_ntz")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return between(validate(keep_last(drop_empty(out))).drop("seq"), start, end)
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """Features by symbol, so that a reader of one symbol reads one folder."""
     features.repartition("symbol").write.mode("overwrite").partitionBy("symbol").parquet(path)

@@ -65,6 +65,18 @@ def file_key(path: Column) -> Column:
     return F.substring(F.upper(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")), 1, 100)
 
 
+def listed_symbols(index: DataFrame) -> DataFrame:
+    """symbol, files: what stands before the last `_` of each key, the whole key without one."""
+    prefix = F.regexp_replace("key", "_[^_]*$", "")
+    return index.select(prefix.alias("symbol")).groupBy("symbol").agg(F.count("*").alias("files"))
+
+
+def largest(files: DataFrame, n: int = 20) -> DataFrame:
+    """The n largest files, with their rank (a report: the limit is its purpose)."""
+    order = [F.desc("size_bytes"), F.col("path")]
+    return files.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def resolve(index: DataFrame, symbol: str, timeframe: str) -> DataFrame:
     """The one file for a symbol and timeframe: an exact key, else the first that holds the symbol."""
     s, t = symbol.upper(), timeframe.upper()

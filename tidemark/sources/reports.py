@@ -38,3 +38,25 @@ def write_json(report: DataFrame, curve: DataFrame, path: str, most: int = 5000)
 
     report.write.mode("overwrite").json(f"{path}/metrics")
     downsample(curve, most).write.mode("overwrite").json(f"{path}/curves")
+
+
+def write_transcripts(cues: DataFrame, made: DataFrame, path: str) -> None:
+    """Cues as JSON lines, a folder for each transcript's path; beside them an index of the transcripts (path, cues, duration_s, words)."""
+    cues.write.mode("overwrite").json(f"{path}/cues")
+    made.write.mode("overwrite").option("header", True).csv(f"{path}/index")
+
+
+def counts_table(counted: DataFrame, title: str, most: int = 50) -> str:
+    """A Markdown section of counted values (value, count), the most frequent first (a report: the limit is its purpose)."""
+    rows = counted.orderBy(F.desc("count"), "value").limit(most).collect()
+    return "\n".join([f"## {title}", "", "| value | count |", "|---|---|", *(f"| {r['value']} | {r['count']} |" for r in rows)])
+
+
+def catalog_report(catalog: DataFrame, columns: list[str], path: str) -> str:
+    """Writes a catalog as JSON below a path and returns a Markdown report: its size and a table of counts for each column."""
+    from tidemark.operators.text import value_counts
+
+    catalog.write.mode("overwrite").json(path)
+    counted = value_counts(catalog, columns)
+    parts = [counts_table(counted.where(F.col("column") == c), c) for c in columns]
+    return "\n\n".join([f"# Catalog\n\n{catalog.count()} rows", *parts])
