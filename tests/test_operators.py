@@ -193,7 +193,7 @@ def test_subtitles(spark):
 
 def test_text_expressions(spark):
     df = spark.createDataFrame([("Technical_Analysis_(2020)_Z-Lib.pdf", 'x</think> {"sentiment": 3.5} y', "BUY the breakout, buy support")], "path string, reply string, text string")
-    got = df.select(T.normalize_title(F.col("path")).alias("title"), T.reply_sentiment(F.col("reply")).alias("s"), T.occurrences(F.col("text"), T.BULLISH_TERMS).alias("n"), T.human_size(F.lit(1536)).alias("h"), T.plain_text(F.lit("a\x00b")).alias("p")).head()
+    got = df.select(T.normalize_title(F.col("path")).alias("title"), T.reply_sentiment(F.col("reply")).alias("s"), T.occurrences(F.lower("text"), T.BULLISH_TERMS).alias("n"), T.human_size(F.lit(1536)).alias("h"), T.plain_text(F.lit("a\x00b")).alias("p")).head()
     assert tuple(got) == ("technical analysis", 1.0, 4, "1.5 KB", "ab")
 
 

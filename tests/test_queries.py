@@ -1,8 +1,9 @@
-"""Every query with SQL agrees with it at the smallest size; every other one runs."""
+"""Every query with SQL agrees with it at the smallest size; every other one has rows."""
 
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -22,7 +23,7 @@ def connection():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(repr([None if v is None or v != v else round(v, 6) + 0.0 if isinstance(v, float) else str(v) for v in r]) for r in frame.values.tolist())
+    return sorted(repr([None if pd.isna(v) else round(v, 6) + 0.0 if isinstance(v, float) else str(v) for v in r]) for r in frame.values.tolist())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -34,7 +35,7 @@ def test_against_sql(spark, connection, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
