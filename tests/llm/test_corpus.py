@@ -203,23 +203,86 @@ def test_repeats_kernel_on_periodic_texts():
         assert [int(m.sum()) for m in masks] == [removed for _, removed, *_ in brute_repeats([d.decode() for d in data], length)], trial
 
 
-def test_decontamination_recall_and_exactness():
-    gen = np.random.default_rng(5)
+def edits(gen, words, vocabulary, k, kinds=(0, 1, 2)):
+    """Words after k edits: 0 deletes, 1 inserts, 2 replaces."""
+    words = list(words)
+    for _ in range(k):
+        at, kind = gen.integers(len(words)), gen.choice(kinds)
+        words[at : at + (kind != 1)] = [] if kind == 0 and len(words) > 1 else [gen.choice(vocabulary)]
+    return np.array(words, dtype=np.uint64)
+
+
+@pytest.mark.parametrize("n,trials", [(5, 40), (10, 40), (15, 40), (30, 40), (59, 40), (200, 20), (600, 8), (1200, 4)])
+@pytest.mark.parametrize("kinds", [(0,), (1,), (2,), (0, 1, 2)])
+def test_decontamination_recall(n, trials, kinds):
+    """Passages at the largest distance, by kind of edit and length; windows only around the runs that are looked up."""
+    gen = np.random.default_rng(n)
     vocabulary = decontaminate.mixed(np.arange(1, 2001, dtype=np.uint64))
-    hit = 0
-    items = [gen.choice(vocabulary, n) for n in (15, 20, 30, 45, 59) for _ in range(20)]
-    ready = decontaminate.Items(list(range(len(items))), items)
-    texts = []
-    for item in items:
-        words = list(item)
-        for _ in range(len(item) // decontaminate.SHARE):
-            at, kind = gen.integers(len(words)), gen.integers(3)
-            words[at : at + (kind != 1)] = [] if kind == 0 and len(words) > 1 else [gen.choice(vocabulary)]
-        texts.append(np.concatenate([gen.choice(vocabulary, 40), np.array(words, dtype=np.uint64), gen.choice(vocabulary, 40)]))
-    found = ready.matches(np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
-    hit = len({t for t, i, *_ in found.tolist() if t == i})
-    assert hit >= 0.95 * len(items)
-    assert all(d <= len(items[i]) // decontaminate.SHARE for _, i, d, *_ in found.tolist())
+    e, q, most, need = decontaminate.plan(n)
+    found = 0
+    for _ in range(trials):
+        item = gen.choice(vocabulary, n)
+        text = np.concatenate([gen.choice(vocabulary, 40), edits(gen, item, vocabulary, e, kinds), gen.choice(vocabulary, 40)])
+        mine, theirs = decontaminate._runs(item, q)[:most], decontaminate._runs(text, q)  # equally rare runs: the first ones are looked up
+        pairs = [(int(t) - p, p) for p in range(len(mine)) for t in np.flatnonzero(theirs == mine[p])]
+        assert len({p for _, p in pairs}) >= need
+        starts = np.unique([d for d, _ in pairs])
+        got = decontaminate._near(np.zeros(len(starts), dtype=np.int64), starts, [item], [text], n)
+        assert all(d <= e for _, _, d, _ in got)
+        found += bool(got)
+    assert found >= 0.95 * trials
+
+
+def word_distance(a, b):
+    """Least number of word edits between a and any passage of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_contaminations_against_all_windows(spark):
+    """The query's rows against an edit-distance search of every passage of every text for every item."""
+    gen = random.Random(11)
+    pool = WORDS[:120]
+    items = [(i, " ".join(gen.choice(pool) for _ in range(n))) for i, n in enumerate((1, 3, 4, 6, 9, 14, 20, 31, 45, 64))]
+    # many items share a frame of words, as templates of tests do
+    frame = " ".join(gen.choice(pool) for _ in range(8))
+    items += [(100 + i, frame + " " + " ".join(gen.choice(pool) for _ in range(9))) for i in range(12)] + [(7, None), (8, "")]
+    def changed(text, k):
+        words = text.split()
+        for _ in range(k):
+            at, kind = gen.randrange(len(words)), gen.randrange(3)
+            words[at : at + (kind != 1)] = [] if kind == 0 and len(words) > 1 else [gen.choice(WORDS)]
+        return " ".join(words)
+
+    rows = []
+    for k in range(90):
+        item = gen.choice(items[:-2])[1]
+        n = len(item.split())
+        rows.append((k, prose(gen.randrange(30)) + " " + changed(item, gen.randrange(n // 5 + 2)) + " " + prose(gen.randrange(30))))
+    rows += [(200, frame), (201, frame + " " + prose(9)), (202, None), (203, ""), (204, prose(4000) + " " + items[8][1].upper())]
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminations(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for k, text in rows:
+        low = (text or "").lower().split()
+        for i, item in items:
+            a = (item or "").lower().split()
+            if a and low and (d := word_distance(a, low)) <= len(a) // 5:
+                want.add((k, i, d))
+    assert got <= want and len(got) >= 0.97 * len(want) and {x for x in want if x[2] == 0} <= got
+
+
+def test_decontamination_of_hot_runs(spark, monkeypatch):
+    """A third of the documents hold one passage, and keys are salted: the same rows."""
+    bench = spark.createDataFrame([(1, prose(30)), (2, prose(20))], "item_id long, text string")
+    item = bench.first().text
+    docs = spark.createDataFrame([(i, prose(20) + (" " + item if i % 3 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    plain = sorted(map(tuple, decontaminate.contaminations(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "HOT", 20)
+    assert sorted(map(tuple, decontaminate.contaminations(docs, bench).collect())) == plain and len(plain) == 100
 
 
 def test_edit_distance_of_passages():
