@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, stored
+from tidemark.llm.common import HOT, release, salted_join, stored
 from tidemark.llm.shingles import PLAIN, SLICE, mixed, words_of
 
 #: Words of 5 that may be edited (1 in 5: a similarity of 0.8).
@@ -37,8 +37,6 @@ SHARE = 5
 PICKS, REPEATS, PIECE = 2, 48, 64
 #: Longest run of words that is looked up; most bits of the filter; walks of windows embedded at once.
 RUN, FILTER, WALKS = 4, 1 << 28, 1 << 17
-#: A key with more than one in HOT of all rows is dealt to SALTS tasks; there are fewer than HOT such keys.
-HOT, SALTS = 1000, 64
 
 
 def _runs(hashes: np.ndarray, q: int) -> np.ndarray:
@@ -201,17 +199,6 @@ def _segments(texts: list[str | None], known: np.ndarray, lengths: list[int], re
     return [(int(text[a]), int(low[a] - bounds[text[a]]), hashes[low[a] : high[b - 1]].tobytes(), keys[a:b].view(np.int64), (at[a:b] - low[a]).astype(np.int32)) for a, b in zip(new, ends)]
 
 
-def _meet(rows: DataFrame, keys: DataFrame, on: str, row: str) -> DataFrame:
-    """Inner join of a written table with a written table of keys; hot keys of the rows are salted by the column `row`."""
-    counts = rows.groupBy(on).agg(F.count("*").alias("n"))
-    total = rows.count()
-    few = F.broadcast(counts.where(F.col("n") * HOT > total).select(on, F.lit(True).alias("hot")))  # fewer than HOT rows
-    salt = F.when(F.col("hot"), F.pmod(F.col(row), F.lit(SALTS)).cast("int")).otherwise(0)
-    each = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    left = rows.join(few, on, "left").withColumn("salt", salt).drop("hot")
-    return left.join(keys.join(few, on, "left").withColumn("salt", each).drop("hot"), [on, "salt"]).drop("salt")
-
-
 def contaminations(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, distance, item_words, first_word, last_word): the best passage of each item in each row of `documents`.
 
@@ -249,12 +236,12 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, id_col: str = "do
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
     found = stored(rows.mapInArrow(scan, f"seg long, row long, id {id_type}, first int, words binary, keys array<long>, places array<int>"), "segments")
     hit = stored(found.select("seg", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("seg", F.col("h.keys").alias("key"), F.col("h.places").alias("at")), "hits")
-    met = _meet(hit, runs.select("key", "place", "no", "n", "need"), "key", "seg")
+    met = salted_join(hit, runs.select("key", "place", "no", "n", "need"), ["key"], F.col("seg"), hot=HOT)
     # an item's offsets in a segment: as many as the segment has words, at most
     pairs = met.groupBy("seg", "no", "n", "need").agg(F.count_distinct("place").alias("shared"), F.collect_set(F.col("at") - F.col("place")).alias("offsets")).where("shared >= need")
     asked = pairs.groupBy("seg").agg(F.collect_list(F.struct("no", "n", F.sort_array("offsets").alias("offsets"))).alias("asked"))
     near = _windows(found.select("seg", "row", "id", "first", "words").join(asked, "seg"), id_type)
-    verified = _meet(near, items.select("no", "item", F.col("words").alias("item_words")), "no", "seg")
+    verified = salted_join(near, items.select("no", "item", F.col("words").alias("item_words")), ["no"], F.col("seg"), hot=HOT)
     columns = ["row", "id", "item", "no", "first", "words", "starts", "item_words"]
     schema = f"row long, id {id_type}, item {item_type}, no long, distance long, n long, first_word long, last_word long"
     checked = verified.select(*columns).mapInArrow(_verified, schema)
