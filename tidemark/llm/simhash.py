@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, stored, text_of
+from tidemark.llm.common import SPACE, salted_join, stored, text_of
 
 LANES = 0x0000000100000001
 #: Rows that share a bucket of the order, about.
@@ -33,7 +33,7 @@ def fingerprints(rows: DataFrame, text_terms: str, keys: list[str]) -> DataFrame
     words = {"a": F.col("term"), "b": F.xxhash64("term", F.lit(1))}
     sums = [F.sum(F.shiftright(h, i).bitwiseAND(F.lit(LANES))).alias(f"{k}{i}") for k, h in words.items() for i in range(32)]
     votes = long.groupBy(*keys).agg(F.count("term").alias("n"), *sums)
-    wins = lambda c: (F.coalesce(c, F.lit(0)) * 2 > F.col("n")).cast("long")
+    wins = lambda c: ((F.coalesce(c, F.lit(0)) * 2 > F.col("n")) & (F.col("n") > 0)).cast("long")
     bits = lambda k: [F.shiftleft(wins(F.col(f"{k}{i}").bitwiseAND(F.lit(0xFFFFFFFF))), i) for i in range(32)] + [F.shiftleft(wins(F.shiftrightunsigned(f"{k}{i}", 32)), 32 + i) for i in range(32)]
     joined = lambda parts: F.aggregate(F.array(*parts), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
     return votes.select(*keys, F.array(joined(bits("a")), joined(bits("b"))).alias("fp"))
@@ -139,8 +139,10 @@ def fingerprint_documents(documents: DataFrame, id_col: str = "doc_id", radius:
     own, after = prints.where("which = 0"), prints.where("which = 1").select("bucket", "row", F.col("fp").alias("edited_fp"))
     nexts = own.select(F.col("bucket").alias("next_bucket"), F.col("row").alias("next_row"), F.col("fp").alias("next_fp"))
     pairs = near_pairs(own, radius)
-    near = pairs.select(F.explode(F.array("left", "right")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_near"))
-    joined = own.join(after, ["bucket", "row"]).join(nexts, ["next_bucket", "next_row"]).join(near, "fp", "left")
+    near = stored(pairs.select(F.explode(F.array("left", "right")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_near")), "near")
+    # copies and empty texts share a fingerprint: such keys are salted
+    own = salted_join(own, near, ["fp"], F.col("bucket") + F.col("row"), "left")
+    joined = own.join(after, ["bucket", "row"]).join(nexts, ["next_bucket", "next_row"])
     return joined.select(
         F.col("id").alias(id_col),
         "n_chars",
