@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import salted_join, stored
+
 #: Hex characters of the digest that the equi-join uses.
 PREFIX = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,6 +65,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     )
     best = confirmed.groupBy("url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_action").alias("verdict")), rank).alias("best"))
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"))
-    return rows.join(best, "url", "left").select(
+    # a URL that many rows have, and null, are salted; only URLs that a rule fits come back
+    return salted_join(rows, stored(best, "verdicts"), ["url"], F.xxhash64(F.col(id_col)), "left").select(
         F.col(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
