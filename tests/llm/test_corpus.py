@@ -556,3 +556,48 @@ def test_queries_agree_with_their_sql_at_the_smallest_size(spark):
         got, want = queries.QUERIES[name](spark, SF).toPandas(), connection.execute(sql).df()
         key = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).values.tolist()))
         assert key(got) == key(want), name
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_is_a_join(spark, how):
+    from tidemark.llm.common import salted_join
+
+    rows = spark.createDataFrame([(i, [None, 1, 1, 1, 1, 1, 2, 3][i % 8], "r") for i in range(400)], "i long, k long, v string")
+    keys = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (None, "d"), (9, "e")], "k long, w string")
+    got = salted_join(rows, keys, ["k"], F.col("i"), how, hot=6)
+    assert sorted(map(str, got.select("i", "k", "w").collect())) == sorted(map(str, rows.join(keys, "k", how).select("i", "k", "w").collect()))
+
+
+def test_url_rules_for_one_hot_url_and_nulls(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    rows = [(i, None if i % 3 == 0 else "http://org/es/" if i % 3 == 1 else f"http://x{i}.net/de/{i}") for i in range(3000)]
+    got = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert Counter((r.rule, r.verdict) for r in got) == {(None, "allow"): 1000, ("org/es/", "block"): 1000, ("net/de/", "allow"): 1000}
+    assert len({r.page_id for r in got}) == 3000 and url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+def test_fingerprints_against_plain_votes(spark):
+    """Fingerprints as votes counted in a loop, from Spark's own hashes of words and pairs; likenesses as shares of equal bits."""
+    rows = [(i, t) for i, t in enumerate([prose(40), prose(40), "one", None, "a b a b a b", prose(300)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.fingerprint_documents(frame).collect()}
+
+    def votes(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        terms = spark.createDataFrame([(a, b) for a, b in zip(words, words[1:])] or [(w, None) for w in words], "a string, b string") if words else None
+        if terms is None:
+            return [0] * 128
+        h = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))
+        pairs = [((x.h & (2**64 - 1)), (x.g & (2**64 - 1))) for x in terms.select(h.alias("h")).select("h", F.xxhash64("h", F.lit(1)).alias("g")).collect()]
+        return [int(2 * sum(p[k // 64] >> k % 64 & 1 for p in pairs) > len(pairs)) for k in range(128)]
+
+    def shown(bits):
+        return "".join(f"{sum(b << i for i, b in enumerate(bits[k : k + 64])):016x}" for k in (0, 64))
+
+    same = lambda a, b: sum(x == y for x, y in zip(a, b)) / 128
+    for i, t in rows:
+        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
+        n = len(t) // 2
+        own, changed, following = votes(t), votes(t[: len(t) - n] + after[:n]), votes(after)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own), shown(changed))
+        assert (i, got[i].near_edited, got[i].near_next) == (i, same(own, changed), same(own, following))
