@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import alerts, backtest, desk, manifest, retrieval, signals, splits
+from tidemark.operators import alerts, backtest, desk, features, learn, manifest, retrieval, signals, splits
 from tidemark.operators import text as docs
 from tidemark.plans.queries import LIBRARY, QUERIES
 from tidemark.sources import bars as B
@@ -133,6 +133,20 @@ def test_topics_of_the_nearest_directory(spark):
     assert got.count() == 10 and {r.path: r.topic for r in got.collect()} == paths
 
 
+def test_silhouette_and_early_stop(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(c, 0.1, (30, 4)) for c in (0, 5, 9)])
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    good = spark.createDataFrame([(i, i // 30) for i in range(90)], "vec_id long, cluster_id int")
+    bad = spark.createDataFrame([(i, i % 3) for i in range(90)], "vec_id long, cluster_id int")
+    assert retrieval.silhouette(good, vectors) > 0.9 > 0.1 > retrieval.silhouette(bad, vectors)
+    rows = spark.createDataFrame([(float(x), float(rng.normal()), int(x > 0), "train" if i % 4 else "test", i % 8 == 1) for i, x in enumerate(rng.normal(size=400))], "a double, b double, y int, part string, val boolean")
+    scored = learn.train_and_score(rows, ["a", "b"], "y", trees=8, depth=2, validation="val")
+    assert scored.where("part = 'test'").agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).head()[0] > 0.9
+    bars = spark.createDataFrame([("A", dt.datetime(2025, 1, 1), 1.0, 2, "x", 1)], "symbol string, ts timestamp, rsi double, n int, name string, price_up int")
+    assert features.feature_columns(bars) == ["rsi", "n"]
+
+
 def test_sinks(spark, bars, tmp_path):
     rows = spark.createDataFrame([(i, "x" if i % 3 else "y", ("train", "val", "test")[i % 3]) for i in range(30)], "id long, label string, part string")
     manifest.write_splits(rows, f"{tmp_path}/splits")

@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def train_and_score(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42) -> DataFrame:
-    """(label, predicted, part) of rows with `part` train or test, predicted by trees that were grown on train."""
+#: Most trees, their depth and the learning rate of a full training (fixed values).
+FULL = {"trees": 1000, "depth": 6, "rate": 0.05}
+
+
+def train_and_score(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, validation: str | None = None) -> DataFrame:
+    """(label, predicted, part) of rows with `part` train or test, predicted by trees that were grown on train.
+
+    `validation`: a boolean column; training rows where it is true only tell when to stop growing trees.
+    """
     vectors = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(rows.withColumn("label", F.col(label).cast("double")))
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(vectors.where("part = 'train'"))
+    trainer = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+    if validation:
+        trainer = trainer.setValidationIndicatorCol(validation)
+    model = trainer.fit(vectors.where("part = 'train'"))
     return model.transform(vectors).select(F.col("label"), F.col("prediction").alias("predicted"), "part")
 
 

@@ -139,6 +139,15 @@ def cluster_vectors(vectors: DataFrame, k: int = 15, dimensions: int = 50, seed:
     return placed.select("vec_id", "cluster_id", F.round(F.sqrt(dot(off, off)), 6).alias("distance"))
 
 
+def silhouette(placed: DataFrame, vectors: DataFrame) -> float:
+    """Mean silhouette (squared Euclidean) of placed vectors (vec_id, cluster_id) in the space of `vectors`."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = placed.select("vec_id", F.col("cluster_id").cast("double").alias("prediction")).join(vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "vec_id")
+    return ClusteringEvaluator().evaluate(rows)
+
+
 def cluster_stats(placed: DataFrame) -> DataFrame:
     return placed.groupBy("cluster_id").agg(F.count("*").alias("size"), F.avg("distance").alias("mean_distance"), F.min("distance").alias("min_distance"))
 
