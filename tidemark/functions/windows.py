@@ -42,10 +42,14 @@ def ffill(c: Column | str) -> Column:
     return F.last(c, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ema(bars: DataFrame, spans: Mapping[str, tuple[str, int]]) -> DataFrame:
+#: The mean of a column, or of the difference of two.
+Of = str | tuple[str, str]
+
+
+def ema(bars: DataFrame, spans: Mapping[str, tuple[Of, int]]) -> DataFrame:
     """`bars` with recursive means: name -> (column, span), alpha = 2 / (span + 1), starting at the first value.
 
-    A column may be one made here before. The recursion has no finite frame, so symbols are folded in Arrow batches, all spans in one
+    A column may be one made here before, or the difference of two (a pair of names). The recursion has no finite frame, so symbols are folded in Arrow batches, all spans in one
     pass: one shuffle by symbol, the same that the windows use.
     """
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields] + [f"`{name}` double" for name in spans])
@@ -53,7 +57,8 @@ def ema(bars: DataFrame, spans: Mapping[str, tuple[str, int]]) -> DataFrame:
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts", kind="stable")
         for name, (column, span) in spans.items():
-            frame[name] = frame[column].ewm(span=span, adjust=False).mean()
+            values = frame[column] if isinstance(column, str) else frame[column[0]] - frame[column[1]]
+            frame[name] = values.ewm(span=span, adjust=False).mean()
         return frame
 
     return bars.groupBy("symbol").applyInPandas(fold, schema)

@@ -81,8 +81,7 @@ def native_features(bars: DataFrame, zero: str = "null") -> DataFrame:
 def features(bars: DataFrame, zero: str = "null", fill: bool = True) -> DataFrame:
     """bars with every feature. `fill`: carry values forward, then 0 for what is missing, then 0 for infinities."""
     df = native_features(bars, zero)
-    spans = {f"ema_{n}": ("close", n) for n in EMA} | {"_fast": ("close", 12), "_slow": ("close", 26)}
-    df = macd(ema(df, spans))
+    df = macd(df, {f"ema_{n}": ("close", n) for n in EMA})
     df = df.drop(*(c for c in df.columns if c.startswith("_")))
     if not fill:
         return df
@@ -91,10 +90,11 @@ def features(bars: DataFrame, zero: str = "null", fill: bool = True) -> DataFram
     return filled.withColumns({c: F.when(F.abs(c) == float("inf"), 0.0).otherwise(F.col(c)) for c in doubles})
 
 
-def macd(df: DataFrame) -> DataFrame:
-    """macd, its signal (a mean of span 9 of it) and their difference, from `_fast` and `_slow`."""
+def macd(df: DataFrame, more: dict | None = None, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """macd (fast mean less slow mean of the close), its signal and their difference; `more`: further means, all in one pass over a symbol."""
+    df = ema(df, (more or {}) | {"_fast": ("close", fast), "_slow": ("close", slow), "macd_signal": (("_fast", "_slow"), signal)})
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
-    return ema(df, {"macd_signal": ("macd", 9)}).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
 def with_constants(bars: DataFrame) -> DataFrame:

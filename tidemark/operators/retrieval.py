@@ -100,7 +100,8 @@ def mmr(candidates: DataFrame, k: int = 15, trade: float = 0.7) -> DataFrame:
         relevance, near = frame["similarity"].to_numpy(), np.zeros(len(frame))
         left, taken = np.ones(len(frame), dtype=bool), []
         while len(taken) < min(k, len(frame)):
-            score = np.where(left, trade * relevance - (1 - trade) * (near if taken else 0), -np.inf)
+            # rounded, so that candidates that are equal but for the order of sums are taken in order
+            score = np.where(left, np.round(trade * relevance - (1 - trade) * (near if taken else 0), 9), -np.inf)
             best = int(score.argmax())
             taken.append(best)
             left[best] = False

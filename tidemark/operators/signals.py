@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_symbol, ema, lag, roll, safe_div
-from tidemark.operators.features import native_features, rsi, with_changes
+from tidemark.operators.features import macd, native_features, rsi, with_changes
 
 Strategy = Callable[[DataFrame], DataFrame]
 BARS = ("symbol", "ts", "open", "high", "low", "close", "volume")
@@ -49,9 +49,8 @@ def bollinger_breakout(bars: DataFrame, n: int = 20, width: float = 2.0, stop: f
 
 def macd_histogram(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, stop: float = 0.02, take: float = 0.04, name: str = "macd") -> DataFrame:
     """The histogram changes its sign."""
-    df = ema(bars.select(*BARS), {"_f": ("close", fast), "_s": ("close", slow)}).withColumn("_m", F.col("_f") - F.col("_s"))
-    df = ema(df, {"_g": ("_m", signal)}).withColumn("_h", F.col("_m") - F.col("_g")).withColumn("_1", lag("_h"))
-    h, h1 = F.col("_h"), F.col("_1")
+    df = macd(bars.select(*BARS), None, fast, slow, signal).withColumn("_1", lag("macd_histogram"))
+    h, h1 = F.col("macd_histogram"), F.col("_1")
     return _signals(df, name, (h1 <= 0) & (h > 0), (h1 >= 0) & (h < 0), F.lit(0.60), stop, take)
 
 
@@ -61,8 +60,7 @@ def agent_consensus(bars: DataFrame, threshold: float = 0.30, warm_up: int = 200
     Adds `votes`, a map. Bars before the `warm_up`th hold.
     """
     df = native_features(bars, "inf")
-    df = ema(df, {"_f": ("close", 12), "_s": ("close", 26)}).withColumn("_m", F.col("_f") - F.col("_s"))
-    df = ema(df, {"_g": ("_m", 9)}).withColumn("_h", F.col("_m") - F.col("_g"))
+    df = macd(df).withColumnRenamed("macd_histogram", "_h")
     recent = by_symbol().rowsBetween(-50, 0)
     df = df.withColumns({"_q": F.percentile(F.abs("_h"), 0.95).over(recent), "_n": F.count("_h").over(recent), "_row": F.row_number().over(by_symbol()) - 1})
     clip = lambda c, low=-1.0: F.greatest(F.least(c, F.lit(1.0)), F.lit(low))

@@ -177,8 +177,7 @@ def features_ema(spark, d):
 @query(f"""WITH {_MACD}, u AS (SELECT symbol, unnest(t) AS ts, unnest(macd) AS macd, unnest(sig) AS sig FROM s)
     SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(macd, 6) AS macd, round(sig, 6) AS macd_signal, round(macd - sig, 6) AS macd_histogram FROM u""")
 def features_macd(spark, d):
-    bars = ema(B.hourly_bars(spark, d).select("symbol", "ts", "close"), {"_fast": ("close", 12), "_slow": ("close", 26)})
-    return r6(features.macd(bars).select("symbol", "ts", "macd", "macd_signal", "macd_histogram"))
+    return r6(features.macd(B.hourly_bars(spark, d).select("symbol", "ts", "close")).select("symbol", "ts", "macd", "macd_signal", "macd_histogram"))
 
 
 @query()
@@ -196,7 +195,7 @@ def features_latest_vector(spark, d):
 @query()
 def features_crypto(spark, d):
     df = features.native_features(B.hourly_bars(spark, d))
-    df = features.macd(ema(df, {"_fast": ("close", 12), "_slow": ("close", 26)}))
+    df = features.macd(df)
     df = features.crypto_features(df)
     return r6(df.select("symbol", "ts", *(c for c in df.columns if c.startswith("crypto_"))))
 
@@ -676,7 +675,14 @@ def vectors_nearest(spark, d):
     return r6(retrieval.nearest(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 60))
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT a.vec_id AS query_id, b.vec_id, round({_SIM}, 12) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+    n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 60),
+    p AS MATERIALIZED (SELECT x.query_id, x.vec_id, x.sim, x.rank, y.vec_id AS other, {_SIM} AS near FROM n x JOIN n y USING (query_id) JOIN embeddings a ON a.vec_id = x.vec_id JOIN embeddings b ON b.vec_id = y.vec_id),
+    z AS (SELECT query_id, [vec_id] AS taken, vec_id, 1 AS k FROM n WHERE rank = 1
+        UNION ALL SELECT query_id, list_append(taken, best), best, k + 1 FROM (SELECT query_id, taken, k, arg_max(vec_id, (round(score, 9), -rank)) AS best FROM
+            (SELECT p.query_id, z.taken, z.k, p.vec_id, p.rank, 0.7 * p.sim - 0.3 * max(p.near) AS score FROM z JOIN p ON p.query_id = z.query_id AND NOT list_contains(z.taken, p.vec_id) AND list_contains(z.taken, p.other)
+             WHERE z.k < 15 GROUP BY p.query_id, z.taken, z.k, p.vec_id, p.rank, p.sim) GROUP BY query_id, taken, k))
+    SELECT query_id, vec_id, CAST(k AS BIGINT) AS mmr_rank FROM z""")
 def vectors_mmr(spark, d):
     vectors = table(spark, d, "embeddings")
     near = retrieval.nearest(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 60)
