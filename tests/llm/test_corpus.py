@@ -539,6 +539,35 @@ def test_stage_columns_and_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in clean.collect()) == ["2", "3", "3", "None"]
 
 
+def test_pipeline_against_brute_force(spark):
+    """What the whole pipeline keeps and takes, stage by stage from the smallest tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [(r.doc_id, r.text, r.source) for r in docs.orderBy("doc_id").collect()]
+    scores = model.scores([t or "" for _, t, _ in rows])
+    rows = [r for r, s in zip(rows, scores) if s >= 0.5]
+    rows = [r for i, (r, (_, c)) in enumerate(zip(rows, brute_components([t for _, t, _ in rows], 5, 8))) if c == i]
+    items = [w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(w := decontaminate._words(r.text))]
+
+    def clean(text):
+        words = decontaminate._words(text)
+        return not any(decontaminate.distances(w[None, :], words[None, :])[0][0] <= len(w) // 5 for w in items if len(words))
+
+    rows = [r for r in rows if clean(r[1])]
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r.doc_id for r in out) == [i for i, *_ in rows]
+    redacted = {r.doc_id: r.text for r in spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").select("doc_id", pii.redact(F.col("text")).alias("text")).collect()}
+    sizes, taken, source = Counter(), Counter(), {i: s for i, _, s in rows}
+    for r in out:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", redacted[r.doc_id] or "")) and r.taken <= 3 * r["size"]
+        sizes[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+    targets = water_fill(dict(sizes))
+    for s, n in targets.items():
+        largest = max(r["size"] for r in out if source[r.doc_id] == s)
+        assert abs(taken[s] - n) <= max(0.02 * n, 0.2 * largest)
+
+
 def test_stages_of_nothing(spark, nothing):
     docs = nothing.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:

@@ -16,7 +16,7 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
-#: A rank file of a public tokenizer; executors open it.
+#: A rank file of a public tokenizer, which every executor opens; the setting spark.tidemark.tokenizer names another one.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -92,7 +92,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts words, the estimates revised to counted tokens, and the deletion of documents without any; the revision is sent twice.
     """
     documents = table(spark, sf_dir, "documents").select("source", "lang", "text")
-    counted = token_rollup.count_tokens(documents, TOKENIZER)
+    counted = token_rollup.count_tokens(documents, spark.conf.get("spark.tidemark.tokenizer", TOKENIZER))
     text = F.coalesce("text", F.lit(""))
     counts = counted.select("source", "lang", "tokens", F.floor(F.length(text) / 4).alias("estimate"), mixing.words_in(text).alias("words"))
     counts = stored(counts, "counts")
