@@ -72,10 +72,10 @@ def profiles(documents: DataFrame, k: int, id_col: str = "doc_id", text_col: str
                 bitmaps.append(_parity(found) if len(found) else None)
                 all_found.append(found)
                 held += len(found)
-                if held > COUNTERS // 4:
-                    counts += _counted(all_found)
+                if held > COUNTERS // 16:
+                    _count(counts, all_found)
                     all_found, held = [], 0
-            counts += _counted(all_found)
+            _count(counts, all_found)
             target = pa.schema([("id", ids.type), ("n", pa.int64()), ("node", pa.binary()), ("bitmap", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
             rows = len(ids)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), pa.array([b and _folded(b) for b in bitmaps], pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=target)
@@ -87,10 +87,11 @@ def profiles(documents: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return documents.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _counted(sets: list[np.ndarray]) -> np.ndarray:
-    if not sets:
-        return np.zeros(COUNTERS, dtype=np.uint32)
-    return np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Adds the shingles of sets to the counters; only counters that occur are touched, so no second array of counters is made."""
+    if sets:
+        at, n = np.unique((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.uint32), return_counts=True)
+        counts[at] += n.astype(np.uint32)
 
 
 def sketch_classes(profile: DataFrame) -> bytes:
