@@ -283,3 +283,17 @@ def test_long_ema_is_the_same(bars):
     got = ema_long(bars, "close", 20, "long", chunk=37).select("symbol", "ts", "long")
     joined = want.join(got, ["symbol", "ts"])
     assert joined.count() == 520 and joined.where("abs(e - long) > 1e-9").count() == 0
+
+
+def test_consensus_of_a_flat_series_has_no_votes_of_missing_values(spark):
+    flat = spark.createDataFrame([("a", START + dt.timedelta(hours=i), 5.0, 5.0, 5.0, 5.0, 1.0) for i in range(60)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    rows = signals.agent_consensus(flat, warm_up=50).orderBy("ts").collect()
+    assert set(rows[5].votes) == {"macd"}  # no index, band or mean yet
+    # without changes there is no index and no place in the band; a histogram of 0 counts as falling
+    assert rows[-1].votes == {"macd": -1.0, "ma": 0.0, "volume": 0.0} and rows[-1].signal == "SELL" and rows[-1].score == pytest.approx(-1 / 3)
+
+
+def test_decimals_are_rounded_from_the_binary_value(spark):
+    df = spark.createDataFrame([(1280.0, 0.125, -0.125)], "n double, a double, b double")
+    got = df.select(T.human_size(F.col("n")), T.fixed(F.col("a"), 2, plus=True), T.fixed(F.col("b"), 2, plus=True), T.fixed(F.col("n"), 1)).head()
+    assert tuple(got) == ("1.2 KB", "+0.12", "-0.12", "1280.0")

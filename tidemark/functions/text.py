@@ -178,11 +178,17 @@ def seconds_to_hms(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
+def fixed(value: Column, digits: int, plus: bool = False) -> Column:
+    """A number with `digits` decimals, rounded from its exact binary value with ties to even (`format_string` rounds the shortest decimal up)."""
+    text = F.call_function("format_number", value, F.lit("0." + "0" * digits))
+    return F.when(value >= 0, F.concat(F.lit("+"), text)).otherwise(text) if plus else text
+
+
 def human_size(n: Column) -> Column:
     """Bytes as text with one decimal."""
-    out = F.format_string("%.1f PB", n / float(1 << 50))
+    out = F.concat(fixed(n / float(1 << 50), 1), F.lit(" PB"))
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(n < float(1 << 10 * (k + 1)), F.format_string(f"%.1f {unit}", n / float(1 << 10 * k))).otherwise(out)
+        out = F.when(n < float(1 << 10 * (k + 1)), F.concat(fixed(n / float(1 << 10 * k), 1), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -230,4 +236,4 @@ def compact_citation(source: Column, text: Column) -> Column:
 
 
 def alert_text(rule: Column, level: Column, symbol: Column, signal: Column, score: Column) -> Column:
-    return F.format_string("[%s] %s: %s %s (score %+.2f)", level, rule, signal, symbol, score)
+    return F.format_string("[%s] %s: %s %s (score %s)", level, rule, signal, symbol, fixed(score, 2, plus=True))

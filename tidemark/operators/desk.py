@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import fixed
 from tidemark.operators import alerts, backtest, splits
 from tidemark.operators.consensus import WEIGHTS
 from tidemark.operators.signals import STRATEGIES
@@ -63,7 +64,7 @@ def reasoning(votes: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     factor = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for a, (_, m) in WEIGHTS.items() for x in (a, m))), F.col("agent")), F.lit(1.0))
     out = F.coalesce(F.col("status") == "NOT_IMPLEMENTED", F.lit(False)) | (factor == 0)
-    line = F.format_string("  %s [x%.0f]: %s (conf=%.2f)", "agent", factor, "recommendation", "confidence")
+    line = F.format_string("  %s [x%.0f]: %s (conf=%s)", "agent", factor, "recommendation", fixed(F.col("confidence"), 2))
     listed = votes.groupBy("decision_id").agg(*(F.array_sort(F.collect_list(F.when(c, F.struct("agent", line.alias("line"))))).alias(name) for c, name in ((~out, "active"), (out, "excluded"))))
     names = lambda c: F.transform(c, lambda v: v["agent"])
     active = F.format_string("Active agents (%d): %s", F.size("active"), F.when(F.size("active") > 0, F.array_join(names(F.col("active")), ", ")).otherwise("none"))
@@ -71,7 +72,7 @@ def reasoning(votes: DataFrame, decisions: DataFrame) -> DataFrame:
     lines = F.when(F.size("active") > 0, F.array_join(F.transform("active", lambda v: v["line"]), "\n"))
     blocked = F.when(~F.col("approved"), "  >>> BLOCKED by risk")
     joined = decisions.join(listed, "decision_id", "left")
-    return joined.select("decision_id", F.concat_ws("\n", F.format_string("Consensus: %.4f", "consensus"), active, lines, excluded, blocked).alias("reasoning"))
+    return joined.select("decision_id", F.concat_ws("\n", F.format_string("Consensus: %s", fixed(F.col("consensus"), 4)), active, lines, excluded, blocked).alias("reasoning"))
 
 
 def paper_scan(accounts: DataFrame, positions: DataFrame, prices: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

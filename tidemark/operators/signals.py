@@ -57,23 +57,25 @@ def macd_histogram(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int
 def agent_consensus(bars: DataFrame, threshold: float = 0.30, warm_up: int = 200, name: str = "consensus") -> DataFrame:
     """Mean of five votes in [-1, 1]: RSI, MACD histogram by its recent 95th percentile, means, bands, and volume on top.
 
-    Adds `votes`, a map. Bars before the `warm_up`th hold.
+    Adds `votes`, a map; an indicator without a value has no vote in it. Bars before the `warm_up`th hold; so does a score of
+    just the threshold.
     """
     df = native_features(bars, "inf")
     df = macd(df).withColumnRenamed("macd_histogram", "_h")
     recent = by_symbol().rowsBetween(-50, 0)
     df = df.withColumns({"_q": F.percentile(F.abs("_h"), 0.95).over(recent), "_n": F.count("_h").over(recent), "_row": F.row_number().over(by_symbol()) - 1})
-    clip = lambda c, low=-1.0: F.greatest(F.least(c, F.lit(1.0)), F.lit(low))
+    # least and greatest pass over nulls; a missing value must not vote
+    clip = lambda c, low=-1.0: F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(low)))
     by_rsi = clip((50 - F.col("rsi")) / 25)
-    by_macd = F.when((F.col("_q") == 0) | (F.col("_n") <= 5), F.signum("_h")).otherwise(clip(F.try_divide(F.col("_h"), F.col("_q"))))
+    by_macd = F.when((F.col("_q") == 0) | (F.col("_n") <= 5), F.when(F.col("_h") > 0, 1.0).when(F.col("_h") <= 0, -1.0)).otherwise(clip(F.try_divide(F.col("_h"), F.col("_q"))))
     by_mean = clip(F.try_divide(F.col("sma_20") - F.col("sma_50"), F.col("sma_50")) / 0.02)
     by_band = clip(1 - 2 * F.col("bb_position"))
     df = df.withColumn("_v", F.array_compact(F.array(by_rsi, by_macd, by_mean, by_band)))
     mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), F.size(a))
-    by_volume = mean(F.col("_v")) * clip((F.col("volume_ratio") - 1) / 2, 0.0)
+    by_volume = F.coalesce(mean(F.col("_v")), F.lit(0.0)) * clip((F.col("volume_ratio") - 1) / 2, 0.0)
     df = df.withColumn("votes", F.map_filter(F.create_map(F.lit("rsi"), by_rsi, F.lit("macd"), by_macd, F.lit("ma"), by_mean, F.lit("bb"), by_band, F.lit("volume"), by_volume), lambda k, v: v.isNotNull()))
     df = df.withColumn("score", F.when(F.col("_row") >= warm_up, mean(F.map_values("votes"))))
-    return _signals(df, name, F.col("score") >= threshold, F.col("score") <= -threshold, F.least(F.abs("score"), F.lit(0.95)), 0.02, 0.04, extra=("score", "votes"))
+    return _signals(df, name, F.col("score") > threshold, F.col("score") < -threshold, F.least(F.abs("score"), F.lit(0.95)), 0.02, 0.04, extra=("score", "votes"))
 
 
 #: Every preset by name.

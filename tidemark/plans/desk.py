@@ -63,12 +63,12 @@ _CENTS = _SCORES.replace("least(value / 100, 1.0)", "least(floor(value) / 100, 1
 @query(f"""WITH {_CENTS}, v AS (SELECT decision_id, agent, status IS NOT NULL OR agent = 'learner' AS gone, printf('  %s [x%d]: %s (conf=%.2f)', agent, CASE agent WHEN 'ml' THEN 2 WHEN 'learner' THEN 0 ELSE 1 END, recommendation, confidence) AS line FROM votes),
     a AS (SELECT decision_id, count(*) AS n, string_agg(agent, ', ' ORDER BY agent, line) AS names, string_agg(line, chr(10) ORDER BY agent, line) AS lines FROM v WHERE NOT gone GROUP BY decision_id),
     x AS (SELECT decision_id, count(*) AS n, string_agg(agent, ', ' ORDER BY agent, line) AS names FROM v WHERE gone GROUP BY decision_id)
-    SELECT decision_id, concat_ws(chr(10), printf('Consensus: %.4f', c), printf('Active agents (%d): %s', coalesce(a.n, 0), coalesce(a.names, 'none')), a.lines, CASE WHEN x.n > 0 THEN printf('Excluded agents (%d): %s', x.n, x.names) END,
+    SELECT decision_id, concat_ws(chr(10), printf('Consensus: %.4f', round(c, 9)), printf('Active agents (%d): %s', coalesce(a.n, 0), coalesce(a.names, 'none')), a.lines, CASE WHEN x.n > 0 THEN printf('Excluded agents (%d): %s', x.n, x.names) END,
         CASE WHEN abs(c) >= 0.6 AND 0.01 * abs(c) <= 0.001 THEN '  >>> BLOCKED by risk' END) AS reasoning FROM s LEFT JOIN a USING (decision_id) LEFT JOIN x USING (decision_id)""")
 def desk_reasoning(spark, d):
     votes = votes_of(spark, d, cents=True)
     decisions = consensus.decide(consensus.consensus(consensus.usable(votes)), F.lit(0.01))
-    return desk.reasoning(votes, decisions.select("decision_id", "consensus", "approved"))
+    return desk.reasoning(votes, decisions.select("decision_id", F.round("consensus", 9).alias("consensus"), "approved"))  # sums of any order print alike
 
 
 _DESK = """accounts AS (SELECT o_orderpriority AS account, 200000.0 + sum(o_totalprice) / 100 AS cash, 200000.0 + sum(o_totalprice) / 50 AS peak FROM orders GROUP BY 1),

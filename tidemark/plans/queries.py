@@ -180,19 +180,52 @@ def features_macd(spark, d):
     return r6(features.macd(B.hourly_bars(spark, d).select("symbol", "ts", "close")).select("symbol", "ts", "macd", "macd_signal", "macd_histogram"))
 
 
-@query()
+# every feature, missing ones null
+_ROLLED = {
+    **{f"sma_{n}": sql_roll("avg", "close", n) for n in features.SMA},
+    "bb_middle": sql_roll("avg", "close", 20), "sd": sql_roll("stddev_samp", "close", 20), "mg": sql_roll("avg", "gain", 14), "ml": sql_roll("avg", "loss", 14), "volatility_20": sql_roll("stddev_samp", "ret", 20),
+    "atr": sql_roll("avg", "tr", 14), "volume_sma": sql_roll("avg", "volume", 20), "travel": sql_roll("sum", "move", 10), "obv": f"sum(sign(coalesce(ch, 0)) * volume) OVER {W} ROWS UNBOUNDED PRECEDING)",
+}
+_NAMED = {
+    "price_change": "ch", "returns": "ret", "log_returns": "ln(close / nullif(prev, 0))", **{f"sma_{n}": f"sma_{n}" for n in features.SMA}, "rsi": "100 - 100 / (1 + mg / nullif(ml, 0))", "bb_middle": "bb_middle",
+    "volatility_20": "volatility_20", "atr": "atr", "volume_sma": "volume_sma", "obv": "obv", "hl_spread": "high - low", "co_spread": "close - open", "ask_volume_sum": "volume * 0.5", "bid_volume_sum": "volume * 0.5",
+    "bb_upper": "bb_middle + 2 * sd", "bb_lower": "bb_middle - 2 * sd", "bb_width": "4 * sd / nullif(bb_middle, 0)", "bb_position": "(close - (bb_middle - 2 * sd)) / nullif(4 * sd, 0)",
+    "volume_ratio": "volume / nullif(volume_sma, 0)", "efficiency_ratio": "abs(close - prev10) / nullif(travel, 0)", **{f"ema_{n}": f"ema_{n}" for n in features.EMA},
+    "macd": "macd", "macd_signal": "macd_signal", "macd_histogram": "macd - macd_signal",
+}
+_CALENDAR = {"hour": "hour(ts)", "day_of_week": "isodow(ts) - 1", "session_london": "CAST(hour(ts) BETWEEN 8 AND 16 AS BIGINT)", "session_ny": "CAST(hour(ts) BETWEEN 13 AND 21 AS BIGINT)", "session_asia": "CAST(hour(ts) <= 8 AS BIGINT)"}
+_listed = lambda columns: ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+_FEATURES = f"""{_MACD}, {_CHANGES.removeprefix(BARS + ", ")}, e AS (SELECT symbol, unnest(t) AS ts, unnest(macd) AS macd, unnest(sig) AS macd_signal, {", ".join(f"unnest({sql_ema('xs', n)}) AS ema_{n}" for n in features.EMA)} FROM s),
+    o AS (SELECT *, {_listed(_ROLLED)} FROM g), a AS (SELECT symbol, ts, open, high, low, close, volume, {_listed(_NAMED)}, {_listed(_CALENDAR)}, sd, mg, ml FROM o JOIN e USING (symbol, ts))"""
+_FILLED = f"{_FEATURES}, v AS (SELECT symbol, ts, open, high, low, close, volume, {_listed({n: f'coalesce(last_value({n} IGNORE NULLS) OVER {W} ROWS UNBOUNDED PRECEDING), 0)' for n in _NAMED})}, {', '.join(_CALENDAR)} FROM a)"
+
+
+@query(f"WITH {_FILLED} SELECT symbol, CAST(ts AS VARCHAR) AS ts, {_listed({n: f'round({n}, 6)' for n in ('open', 'high', 'low', 'close', 'volume', *_NAMED)})}, {', '.join(_CALENDAR)} FROM v")
 def features_all(spark, d):
     return r6(features.features(B.hourly_bars(spark, d)))
 
 
-@query()
+@query(f"""WITH {_FILLED}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM v)
+    SELECT symbol, 60 AS width, round({" + ".join(("open", "high", "low", "close", "volume", *_NAMED, *_CALENDAR))}, 4) AS total FROM n WHERE k = 1""")
 def features_latest_vector(spark, d):
     df = features.features(B.hourly_bars(spark, d))
     names = [c for c in df.columns if c not in ("symbol", "ts")]
     return features.latest_vector(df, names, 60).select("symbol", F.size("vector").alias("width"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
-@query()
+_CRYPTO = {
+    "crypto_volatility_ratio": f"{sql_roll('stddev_samp', 'returns', 10)} / nullif({sql_roll('stddev_samp', 'returns', 50)}, 0)", "crypto_range_pct": "(high - low) / nullif(close, 0) * 100", "crypto_atr_pct": "atr / nullif(close, 0) * 100",
+    "crypto_volatility_zscore": f"(volatility_20 - {sql_roll('avg', 'volatility_20', 50)}) / nullif({sql_roll('stddev_samp', 'volatility_20', 50)}, 0)",
+    "crypto_volume_ratio_8h": f"volume / nullif({sql_roll('avg', 'volume', 8)}, 0)", "crypto_volume_ratio_24h": f"volume / nullif({sql_roll('avg', 'volume', 24)}, 0)",
+    "crypto_volume_trend": f"{sql_roll('avg', 'volume', 5)} / nullif({sql_roll('avg', 'volume', 20)}, 0)", "crypto_obv_momentum": f"(obv - lag(obv, 5) OVER {W})) / nullif({sql_roll('avg', 'abs(obv)', 20)}, 0)",
+    "crypto_momentum_3d": sql_roll("sum", "returns", 72), "crypto_momentum_7d": sql_roll("sum", "returns", 168), "crypto_rsi_divergence": f"rsi - lag(rsi, 5) OVER {W})",
+    "crypto_macd_histogram_momentum": f"macd_histogram - lag(macd_histogram, 3) OVER {W})", "crypto_distance_from_high_20": f"(close - {sql_roll('max', 'high', 20)}) / nullif(close, 0)",
+    "crypto_distance_from_low_20": f"(close - {sql_roll('min', 'low', 20)}) / nullif(close, 0)", "crypto_bb_position": "(close - bb_lower) / nullif(bb_upper - bb_lower, 0)", "crypto_mean_reversion_signal": "(close - sma_20) / nullif(sd, 0)",
+    "crypto_hour_sin": "sin(hour * 2 * pi() / 24)", "crypto_hour_cos": "cos(hour * 2 * pi() / 24)", "crypto_is_weekend": "CAST(day_of_week >= 5 AS DOUBLE)", "crypto_day_of_week_sin": "sin(day_of_week * 2 * pi() / 7)",
+}
+
+
+@query(f"WITH {_FEATURES} SELECT symbol, CAST(ts AS VARCHAR) AS ts, {_listed({n: f'round(coalesce({sql}, 0), 6)' for n, sql in _CRYPTO.items()})} FROM a")
 def features_crypto(spark, d):
     df = features.native_features(B.hourly_bars(spark, d))
     df = features.macd(df)
@@ -323,7 +356,17 @@ def signals_macd(spark, d):
     return r6(signals.macd_histogram(B.hourly_bars(spark, d)).select("symbol", "ts", "signal"))
 
 
-@query()
+_clip = lambda c, low=-1: f"CASE WHEN ({c}) IS NOT NULL THEN greatest(least({c}, 1), {low}) END"
+# means of changes where the first counts as 0; without losses the index is 100
+_VOTERS = f"""{_FEATURES}, i AS (SELECT *, coalesce(price_change, 0) AS ch0, row_number() OVER {W}) - 1 AS k, quantile_cont(abs(macd_histogram), 0.95) OVER near AS q, count(macd_histogram) OVER near AS nh FROM a WINDOW near AS {W} ROWS BETWEEN 50 PRECEDING AND CURRENT ROW)),
+    j AS (SELECT *, {sql_roll("avg", "greatest(ch0, 0)", 14)} AS g0, {sql_roll("avg", "greatest(-ch0, 0)", 14)} AS l0 FROM i), r AS (SELECT *, CASE WHEN l0 = 0 AND g0 > 0 THEN 100 ELSE 100 - 100 / (1 + g0 / nullif(l0, 0)) END AS rsi0 FROM j),
+    p AS (SELECT symbol, ts, k, volume_ratio, [{_clip("(50 - rsi0) / 25")}, CASE WHEN q = 0 OR nh <= 5 THEN CASE WHEN macd_histogram > 0 THEN 1 WHEN macd_histogram <= 0 THEN -1 END ELSE {_clip("macd_histogram / q")} END,
+        {_clip("(sma_20 - sma_50) / nullif(sma_50, 0) / 0.02")}, {_clip("1 - 2 * bb_position")}] AS four FROM r),
+    d AS (SELECT *, list_append(four, coalesce(list_avg(four), 0) * {_clip("(volume_ratio - 1) / 2", 0)}) AS five FROM p), z AS (SELECT *, CASE WHEN k >= 200 THEN list_avg(five) END AS score FROM d)"""
+
+
+@query(f"""WITH {_VOTERS} SELECT symbol, CAST(ts AS VARCHAR) AS ts, CASE WHEN score > 0.3 THEN 'BUY' WHEN score < -0.3 THEN 'SELL' ELSE 'HOLD' END AS signal,
+    round(CASE WHEN abs(score) > 0.3 THEN least(abs(score), 0.95) ELSE 0 END, 6) AS confidence, round(score, 6) AS score FROM z""")
 def signals_consensus(spark, d):
     return r6(signals.agent_consensus(B.hourly_bars(spark, d)).select("symbol", "ts", "signal", "confidence", "score"))
 
