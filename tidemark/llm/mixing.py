@@ -128,9 +128,8 @@ def _exchanges(out: DataFrame, cap: float) -> DataFrame:
     none = missing.select("*", F.lit(0).cast("long").alias("size"), F.lit(None).cast(dict(sizes.dtypes)["more"]).alias("more"), F.lit(None).cast(dict(sizes.dtypes)["less"]).alias("less"))
     added = each.where("more IS NOT NULL").unionByName(none).select("source", "missing", F.col("size").cast("double").alias("at"), F.struct("size", F.col("more").alias("id")).alias("add"), F.lit(None).cast(f"struct<size:bigint,id:{dict(sizes.dtypes)['less']}>").alias("drop"))
     dropped = each.where("less IS NOT NULL").unionByName(none).select("source", "missing", (F.col("size") + F.col("missing")).alias("at"), F.lit(None).cast(f"struct<size:bigint,id:{dict(sizes.dtypes)['more']}>").alias("add"), F.struct("size", F.col("less").alias("id")).alias("drop"))
-    order = Window.partitionBy("source").orderBy("at")
-    below = F.last("add", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("add", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # both frames begin at the first row, so each is one pass over the sizes of a source; a frame to the last row is read anew for every row
+    below, above = (F.last("add", ignorenulls=True).over(Window.partitionBy("source").orderBy(o).rangeBetween(Window.unboundedPreceding, 0)) for o in (F.asc("at"), F.desc("at")))
     near = added.unionByName(dropped).select("source", "missing", "drop", F.array(below, above).alias("both")).select("source", "missing", "drop", F.explode("both").alias("add")).where("drop IS NOT NULL AND add IS NOT NULL")
     near = near.withColumn("gap", F.abs(F.col("missing") - F.col("add.size") + F.col("drop.size"))).where(F.col("gap") < F.abs("missing"))
     best = near.groupBy("source").agg(F.min(F.struct("gap", "add", "drop")).alias("best"))
