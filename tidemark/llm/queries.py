@@ -5,15 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard_join, mixing, pii, quality, repeats, simhash, token_rollup, url_filter
-from tidemark.llm.common import shared_dir, stored, table
+from tidemark.llm import chat, decontaminate, hard_negatives, jaccard_join, licenses, mixing, periodic, pii, quality, repeats, simhash, token_rollup, url_filter
+from tidemark.llm.common import SPACE, shared_dir, stored, table
 
 #: Rules of op5: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
+#: Phrases of op11: label, words.
+PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 
 
 #: A rank file of a public tokenizer, which every executor opens; the setting spark.tidemark.tokenizer names another one.
@@ -110,6 +112,66 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "n_passages")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notices = [licenses.Notice.exact(*p) for p in PHRASES] + [licenses.Notice.fuzzy(*n) for n in licenses.NOTICES]
+    return license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), notices))
+
+
+def license_digest(found: DataFrame) -> DataFrame:
+    """What op11 reports of the spans: places of the phrases, labels of these and of all, and the best likeness."""
+    base = F.filter("spans", lambda s: s["exact"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    firsts = F.transform(base, lambda s: s["first_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(firsts).alias("first_word"),
+        F.array_max(firsts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["likeness"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return runs_digest(periodic.periodic_runs(documents.select("doc_id", periodic_text(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+def periodic_text(doc_id: Column, text: Column) -> Column:
+    """The text, made periodic from some word on where op13 says so."""
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    h, n = F.crc32(doc_id.cast("string").cast("binary")), F.size(words)
+    g = F.floor(h / 10)
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    period = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.concat(F.slice(words, F.lit(1), a), F.slice(period, F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(changed, " ")).otherwise(text)
+
+
+def runs_digest(found: DataFrame) -> DataFrame:
+    """What op13 reports of the runs and of the collapsed text."""
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("_longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_longest.start")).alias("start"),
+        "_longest.length",
+        (-F.col("_longest.period")).alias("period"),
+        F.expr("1000 * _longest.length div -_longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -121,6 +183,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_rollup": op9_token_rollup,
     "op10_repeats": op10_repeats,
+    "op11_licenses": op11_licenses,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -167,4 +232,20 @@ ORACLE_SQL: dict[str, str] = {
         u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
         r(doc_id, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, u.y FROM r JOIN u ON u.x = r.m)
         SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.m) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.g)""",
+    "op12_hard_negatives": r"""
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+        QUALIFY row_number() OVER w <= 10""",
 }
