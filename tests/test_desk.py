@@ -84,14 +84,43 @@ def test_report_counts_the_trades_that_happened(bars):
 
 
 def test_walk_forward_windows_are_backtests_of_their_rows(bars):
-    s = signals.macd_histogram(bars)
-    got = {(r.symbol, r.window): r for r in desk.walk_forward(s, windows=3).collect()}
-    assert set(got) == {(x, k) for x in ("AAA", "BBB", "CCC") for k in range(3)}
-    own = s.where("symbol = 'BBB'").toPandas().sort_values("ts")
+    """Windows by a loop over rows: 60 % to train at first, steps of a tenth; indicators begin anew in each part, whatever the drawdown."""
+    got = {(r.symbol, r.strategy, r.window): r for r in desk.walk_forward(bars, ["macd", "ma_cross"]).collect()}
+    own = bars.where("symbol = 'BBB'").toPandas().sort_values("ts")
+    n = len(own)
+    first, step = int(n * 0.6), max(1, int(n * 0.1))
+    want = [(k, first + k * step, min(first + (k + 1) * step, n)) for k in range(5) if first + k * step < n and min(first + (k + 1) * step, n) - first - k * step >= 10]
+    assert sorted(got) == sorted((s, x, k) for s in ("AAA", "BBB", "CCC") for x in ("ma_cross", "macd") for k, *_ in want) and len(want) == 4
     spark = bars.sparkSession
-    for low, high, name in ((0, 200, "train_sharpe"), (200, 300, "test_sharpe")):
-        part = spark.createDataFrame(own.iloc[low:high]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        assert got["BBB", 1][name] == pytest.approx(backtest.report(part).head().sharpe)
+    for k, cut, end in want[1:3]:
+        for low, high, name in ((0, cut, "train_sharpe"), (cut, end, "test_sharpe")):
+            part = spark.createDataFrame(own.iloc[low:high]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+            assert got["BBB", "macd", k][name] == pytest.approx(backtest.report(signals.macd_histogram(part), backtest.Settings(max_drawdown=1.0)).head().sharpe)
+    short = bars.where("ts < '2025-01-03'")  # a tenth of these is less than ten rows
+    assert desk.walk_forward(short, ["macd"]).count() == 0 < desk.walk_forward(short, ["macd"], least=1).count()
+    odd = bars.where("symbol = 'AAA'").withColumn("symbol", F.lit("A|1|B"))
+    assert {r.symbol for r in desk.walk_forward(odd, ["macd"]).collect()} == {"A|1|B"}
+    report = desk.walk_forward_report(bars, ["macd"]).where("symbol = 'BBB'").head()
+    sharpes = [(got["BBB", "macd", k].train_sharpe, got["BBB", "macd", k].test_sharpe) for k, *_ in want]
+    ratios = [min(a / b, 10.0) for a, b in sharpes if b != 0]
+    assert report.overfit == pytest.approx(np.mean(ratios) if ratios else 0.0)
+
+
+def test_load_keeps_the_last_sound_row(spark, tmp_path):
+    """Impossible rows go before repeated times do, so a good bar isn't lost to a bad one that came after it; prices are adjusted first."""
+    lines = ["Date,Open,High,Low,Close,Adj Close,Volume", "2025-01-01 00:00:00,10,11,9,10,5,100", "2025-01-01 01:00:00,10,12,9,10,5,100", "2025-01-01 01:00:00,10,8,9,10,5,100",
+             "2025-01-01 02:00:00,10,12,9,10,5,100", "2025-01-01 02:00:00,10,12,9,11,5.5,100", "2025-01-01 03:00:00,,,,,,", "2025-01-01 04:00:00,0,1,0,1,1,1"]
+    (tmp_path / "aaa_1h.csv").write_text("\n".join(lines))
+    (tmp_path / "bbb_1h.jsonl").write_text('{"time": "2025-01-01 00:00:00", "o": 1, "h": 2, "l": 1, "c": 2, "v": 3}\n')
+    index = spark.createDataFrame([(f"{tmp_path}/aaa_1h.csv", "AAA_1H", "csv"), (f"{tmp_path}/bbb_1h.jsonl", "BBB_1H", "jsonl")], "path string, key string, ext string")
+    tell = lambda df: [(r.symbol, r.ts.hour, r.high, r.close, r.volume) for r in df.orderBy("symbol", "ts").collect()]
+    adjusted = [("aaa", 0, 5.5, 5.0, 200.0), ("aaa", 1, 6.0, 5.0, 200.0), ("aaa", 2, 6.0, 5.5, 200.0)]
+    assert tell(B.load(spark, index, ["aaa", "bbb", "none"], "1h")) == adjusted + [("bbb", 0, 2.0, 2.0, 3.0)]
+    assert tell(B.load(spark, index, ["aaa"], "1h", adjusted=False)) == [("aaa", 0, 11.0, 10.0, 100.0), ("aaa", 1, 12.0, 10.0, 100.0), ("aaa", 2, 12.0, 11.0, 100.0)]
+    assert tell(B.load(spark, index, ["aaa"], "1h", "2025-01-01 01:00:00", "2025-01-01 01:00:00")) == adjusted[1:2]
+    raw = spark.createDataFrame([("2025-01-01 05:00:00", 1.0, 1.0, 1.0, 1.0, 1.0)], "timestamp string, open double, high double, low double, close double, volume double")
+    assert tell(B.load(spark, index, ["none", "bbb"], "1h", fallback=lambda s, t: raw if s == "none" else None)) == [("bbb", 0, 2.0, 2.0, 3.0), ("none", 5, 1.0, 1.0, 1.0)]
+    assert B.load(spark, index, ["none"], "1h").count() == 0
 
 
 def test_cutoff_is_the_row_at_four_fifths(spark):

@@ -203,7 +203,7 @@ def reply_sentiment(reply: Column) -> Column:
 
 
 # Prefixes of image names that say which kind of book they come from; what is cut out of titles and of image names.
-FORMATS = ["PDF_", "EPUB_", "DJVU_", "DOCX_", "MOBI_", "IMG_"]
+FORMATS = ["PDF_", "EPUB_", "DOCX_", "CHM_", "MOBI_", "HTML_"]
 BOOK_MARKS = [r"^\d{5,}-", r"(?i)-PDFDrive$", r"(?i)-PDFConverted-\d+$", r"(?i)\s*\(Z-Library\)$", r"(?i)\s*\(\s*PDFDrive\s*\)$"]
 IMAGE_MARKS = [r"_p\d+_i(?:mg)?\d+\.\w+$", r"_i\d+\.\w+$", r"\.\w+$"]
 

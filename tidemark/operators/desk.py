@@ -139,25 +139,41 @@ def stacked(bars: DataFrame, names: list[str]) -> DataFrame:
     return signals(bars, names)
 
 
-def walk_forward(signals: DataFrame, windows: int = 5, settings: backtest.Settings = backtest.Settings()) -> DataFrame:
-    """(symbol, strategy, window, train_sharpe, test_sharpe, test_return, test_win_rate): a backtest of every window's two parts.
+#: Analyses of windows trade on whatever the drawdown.
+NO_BREAKER = backtest.Settings(max_drawdown=1.0)
 
-    Windows are anchored: each trains on all rows before its test, a step of equal length. Parts are runs of their own, so all of them
-    are simulated side by side.
+
+def window_parts(bars: DataFrame, windows: int = 5, train: float = 0.6, step: float = 0.1, least: int = 10) -> DataFrame:
+    """bars, once for each part that they belong to, with `symbol` as symbol|window|train or symbol|window|test.
+
+    Windows are anchored: the first trains on the share `train` of a symbol's rows, each further one on a step (a share of the rows, one at
+    least) more; the test is the step that follows, shorter at the end. Windows whose test has fewer than `least` rows are left out.
+    """
+    w = Window.partitionBy("symbol")
+    numbered = bars.withColumns({"_row": F.row_number().over(w.orderBy("ts")) - 1, "_n": F.count("*").over(w)})
+    width = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(step)))
+    cuts = [F.floor(F.col("_n") * F.lit(train)) + k * width for k in range(windows)]
+    parts = F.array(*(F.struct(F.lit(k).alias("window"), cut.alias("cut"), F.least(cut + width, F.col("_n")).alias("end")) for k, cut in enumerate(cuts)))
+    held = F.filter(parts, lambda p: (p["end"] - p["cut"] >= max(least, 1)) & (F.col("_row") < p["end"]))
+    each = numbered.withColumn("_p", F.explode(held))
+    name = F.concat_ws("|", "symbol", F.col("_p.window").cast("string"), F.when(F.col("_row") < F.col("_p.cut"), "train").otherwise("test"))
+    return each.withColumn("symbol", name).select(bars.columns)
+
+
+def walk_forward(bars: DataFrame, names: list[str], windows: int = 5, train: float = 0.6, step: float = 0.1, least: int = 10, settings: backtest.Settings = NO_BREAKER) -> DataFrame:
+    """(symbol, strategy, window, train_sharpe, test_sharpe, test_return, test_win_rate): backtests of both parts of every window.
+
+    Parts are as `window_parts` makes them, runs of their own: a strategy sees nothing before its part, so its indicators begin
+    anew there, and all parts are simulated side by side.
     """
-    w = Window.partitionBy("symbol", "strategy")
-    numbered = signals.withColumns({"_row": F.row_number().over(w.orderBy("ts")) - 1, "_n": F.count("*").over(w)})
-    step = F.floor(F.col("_n") / (windows + 1))
-    parts = F.array(*(F.struct(F.lit(k).alias("window"), F.when(F.col("_row") < (k + 1) * step, "train").when(F.col("_row") < (k + 2) * step, "test").alias("part")) for k in range(windows)))
-    each = numbered.where(step > 0).withColumn("_p", F.explode(F.filter(parts, lambda p: p["part"].isNotNull())))
-    runs = each.withColumn("strategy", F.concat_ws("|", "strategy", F.col("_p.window").cast("string"), "_p.part"))
-    report = backtest.report(runs.drop("_row", "_n", "_p"), settings)
-    key = F.split("strategy", r"\|")
-    part = F.get(key, 2)
+    report = backtest.report(stacked(window_parts(bars, windows, train, step, least), names), settings)
+    part, window = F.substring_index("symbol", "|", -1), F.substring_index(F.substring_index("symbol", "|", -2), "|", 1)
     of = lambda c, p: F.max(F.when(part == p, F.col(c)))
-    return report.groupBy("symbol", F.get(key, 0).alias("strategy"), F.get(key, 1).cast("int").alias("window")).agg(of("sharpe", "train").alias("train_sharpe"), of("sharpe", "test").alias("test_sharpe"), of("total_return", "test").alias("test_return"), of("win_rate", "test").alias("test_win_rate"))
+    return report.groupBy(F.regexp_replace("symbol", r"\|[0-9]+\|[a-z]+$", "").alias("symbol"), "strategy", window.cast("int").alias("window")).agg(
+        of("sharpe", "train").alias("train_sharpe"), of("sharpe", "test").alias("test_sharpe"), of("total_return", "test").alias("test_return"), of("win_rate", "test").alias("test_win_rate")
+    )
 
 
-def walk_forward_report(signals: DataFrame, windows: int = 5, settings: backtest.Settings = backtest.Settings()) -> DataFrame:
-    """Means over the windows of each (symbol, strategy), stability and overfit."""
-    return splits.walk_forward_summary(walk_forward(signals, windows, settings), ["symbol", "strategy"])
+def walk_forward_report(bars: DataFrame, names: list[str], **options) -> DataFrame:
+    """Means over the windows of each (symbol, strategy), stability and overfit; options as of `walk_forward`."""
+    return splits.walk_forward_summary(walk_forward(bars, names, **options), ["symbol", "strategy"])

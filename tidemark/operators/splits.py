@@ -83,8 +83,8 @@ def fold_summary(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def walk_forward_summary(windows: DataFrame, by: list[str]) -> DataFrame:
-    """by, means of test Sharpe, return, win rate; stability max(1 - |sd / mean|, -1); overfit: mean of train / test Sharpe, 10 at most."""
-    out = windows.groupBy(*by).agg(F.avg("test_sharpe").alias("mean_sharpe"), F.stddev_pop("test_sharpe").alias("_sd"), F.count("*").alias("_n"), F.avg("test_return").alias("mean_return"), F.avg("test_win_rate").alias("mean_win_rate"), F.avg(F.least(F.try_divide(F.col("train_sharpe"), F.col("test_sharpe")), F.lit(10.0))).alias("overfit"))
+    """by, means of test Sharpe, return, win rate; stability max(1 - |sd / mean|, -1); overfit: mean of train / test Sharpe, 10 at most, over windows with a test Sharpe, 0 without any."""
+    out = windows.groupBy(*by).agg(F.avg("test_sharpe").alias("mean_sharpe"), F.stddev_pop("test_sharpe").alias("_sd"), F.count("*").alias("_n"), F.avg("test_return").alias("mean_return"), F.avg("test_win_rate").alias("mean_win_rate"), F.coalesce(F.avg(F.when(F.col("test_sharpe") != 0, F.least(F.try_divide(F.col("train_sharpe"), F.col("test_sharpe")), F.lit(10.0)))), F.lit(0.0)).alias("overfit"))
     stability = F.when((F.col("_n") < 2) | (F.col("mean_sharpe") == 0), 0.0).otherwise(F.greatest(1 - F.abs(F.col("_sd") / F.col("mean_sharpe")), F.lit(-1.0)))
     return out.withColumn("stability", stability).withColumn("stable", F.col("stability") > 0.5).drop("_sd", "_n")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import alerts, backtest, cleaning, consensus, desk, features, learn, manifest, portfolio, retrieval, signals, splits
 from tidemark.operators import text as docs
-from tidemark.plans.queries import _CROSS, _SCORES, _VOTES, _WEIGHTS, BARS, W, query, r6, scored_signals, table, votes_of
+from tidemark.plans.queries import _CROSS, _LISTS, _MACD, _SCORES, _VOTES, _WEIGHTS, BARS, W, _scratch, query, r6, scored_signals, table, votes_of
 from tidemark.sources import bars as B
 from tidemark.sources import files as files_
 
@@ -133,6 +135,42 @@ def alerts_text(spark, d):
 # grids, walks, learning
 
 
+_TITLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '^(PDF_|EPUB_|DOCX_|CHM_|MOBI_|HTML_)', ''), '_p\d+_i(mg)?\d+\.\w+$', ''), '_i\d+\.\w+$', ''), '\.\w+$', '')"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, ['PDF_', 'EPUB_', 'DOCX_', 'CHM_', 'MOBI_', 'HTML_', 'DJVU_', 'IMG_', ''][1 + p_partkey % 9] || p_name || ['_p', '_i', '.'][1 + p_size % 3] || CASE p_size % 3 WHEN 0 THEN p_size || '_img' || p_partkey || '.png' WHEN 1 THEN p_size || '.jpeg' ELSE 'gif' END AS name FROM part)
+    SELECT p_partkey, name, CASE WHEN regexp_matches(name, '^(PDF_|EPUB_|DOCX_|CHM_|MOBI_|HTML_)') THEN nullif({_TITLE}, '') END AS title FROM n""")
+def manifest_image_titles(spark, d):
+    """Part names as names of images cut from books of several formats, some of unknown ones."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    prefix = F.element_at(F.array(*map(F.lit, ("PDF_", "EPUB_", "DOCX_", "CHM_", "MOBI_", "HTML_", "DJVU_", "IMG_", ""))), (k % 9 + 1).cast("int"))
+    end = F.when(size % 3 == 0, F.concat(F.lit("_p"), size.cast("string"), F.lit("_img"), k.cast("string"), F.lit(".png"))).when(size % 3 == 1, F.concat(F.lit("_i"), size.cast("string"), F.lit(".jpeg"))).otherwise(".gif")
+    named = table(spark, d, "part").select("p_partkey", F.concat(prefix, "p_name", end).alias("name"))
+    return named.withColumn("title", T.title_of_image(F.col("name")))
+
+
+@query(f"""WITH {BARS}, f AS (SELECT * REPLACE (CASE WHEN CAST(epoch(ts) AS BIGINT) // 3600 % 3 = 0 THEN high ELSE close END AS close), CASE WHEN symbol = 'click' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS f FROM bars WHERE low > 0)
+    SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(open * f, 6) AS open, round(high * f, 6) AS high, round(low * f, 6) AS low, round(close * f, 6) AS close, volume / f AS volume FROM f""")
+def bars_loaded(spark, d):
+    """Bars written as CSV files, with impossible and repeated rows after good ones, found by an index and loaded."""
+    return r6(load_written(spark, d))
+
+
+def load_written(spark, d):
+    """Hourly bars of each symbol as a CSV file: at some hours the bar comes again, at some with high below low; prices of `click` were halved since."""
+    root = _scratch(spark, "loads")
+    bars = B.hourly_bars(spark, d).where("low > 0")
+    hour = (F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    again = bars.where(hour % 3 == 0).withColumns({"close": F.col("high"), "row": F.lit(1)})
+    worse = bars.where(hour % 4 == 0).withColumns({"high": F.col("low") - 1, "row": F.lit(2)})
+    rows = bars.withColumn("row", F.lit(0)).unionByName(again).unionByName(worse)
+    rows = rows.withColumn("Adj Close", F.when(F.col("symbol") == "click", F.col("close") / 2).otherwise(F.col("close")))
+    rows.repartition("symbol").sortWithinPartitions("symbol", "ts", "row").select("symbol", F.col("ts").alias("Date"), "Open", "High", "Low", "Close", "Adj Close", "Volume").write.partitionBy("symbol").option("header", True).csv(root)
+    names = sorted(r.symbol for r in bars.select("symbol").distinct().collect())  # a symbol is an event's type, a few names
+    index = spark.createDataFrame([(f"{root}/symbol={s}", f"{s.upper()}_1H", "csv") for s in names], "path string, key string, ext string")
+    return B.load(spark, index, names, "1h").drop("adj_close")
+
+
 def _close(when: str, cash: str, side: str, entry: str, q: str) -> str:
     """Cash after a close of the position at the bar's price, if `when`."""
     fill = f"(close * (1 - {side} * least(greatest(0.0005 * (1 + coalesce({q} * close / nullif(adv * close, 0), 0)), 0.0001), 0.005)))"
@@ -140,6 +178,12 @@ def _close(when: str, cash: str, side: str, entry: str, q: str) -> str:
     return f"{cash} + CASE WHEN {when} THEN CASE WHEN {side} > 0 THEN {fill} * {q} ELSE {side} * ({fill} - {entry}) * {q} END - {fee} ELSE 0 END"
 
 
+def _pnl(when: str, side: str, entry: str, q: str) -> str:
+    """Profit of that close, null without one."""
+    fill = f"(close * (1 - {side} * least(greatest(0.0005 * (1 + coalesce({q} * close / nullif(adv * close, 0), 0)), 0.0001), 0.005)))"
+    return f"CASE WHEN {when} THEN {side} * ({fill} - {entry}) * {q} - greatest({fill} * {q} * 0.001, 1) END"
+
+
 #: The steps of a bar, each of which sees the columns of those before it.
 _STEPS = [
     "side0 <> 0 AND (side0 * (close - entry0) / nullif(entry0, 0) <= -0.02 OR side0 * (close - entry0) / nullif(entry0, 0) >= 0.04) AS x1, CASE WHEN halted0 OR signal = 'HOLD' THEN 0 WHEN signal = 'BUY' THEN 1 ELSE -1 END AS s",
@@ -157,13 +201,14 @@ _STEPS = [
     "k = n AND side4 <> 0 AS x5",
     f"{_close('x5', 'cash4', 'side4', 'entry3', 'q3')} AS cash5, CASE WHEN x5 THEN 0 ELSE side4 END AS side5",
     "CASE WHEN side5 = 0 THEN cash5 ELSE now3 END AS equity, CAST(x1 AS INTEGER) + CAST(x2 AS INTEGER) + CAST(x4 AND side3 <> 0 AS INTEGER) + CAST(x5 AS INTEGER) AS closed",
+    f"{_pnl('x1 OR x2', 'side0', 'entry0', 'q0')} AS pa, {_pnl('(x4 AND side3 <> 0) OR x5', 'side3', 'entry3', 'q3')} AS pb",
 ]
 _BAR = "SELECT b.symbol, b.ts, b.k, n, close, signal, adv, cash0, side0, entry0, q0, peak0, halted0 FROM z JOIN b ON b.symbol = z.symbol AND b.k = z.k + 1"
 for _step in _STEPS:
     _BAR = f"SELECT *, {_step} FROM ({_BAR})"
 _RUN = f"""{_CROSS}, b AS MATERIALIZED (SELECT symbol, ts, c.close, signal, avg(c.volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS adv, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM g JOIN bars c USING (symbol, ts)),
-    z AS (SELECT symbol, NULL::TIMESTAMP AS ts, 0::BIGINT AS k, 100000.0::DOUBLE AS cash0, 0 AS side0, 0.0::DOUBLE AS entry0, 0.0::DOUBLE AS q0, 100000.0::DOUBLE AS peak0, false AS halted0, 0.0::DOUBLE AS equity, 0 AS closed FROM (SELECT DISTINCT symbol FROM b)
-        UNION ALL SELECT symbol, ts, k, cash5, side5, entry3, q3, peak3, halted0 OR x4, equity, closed FROM ({_BAR}))"""
+    z AS (SELECT symbol, NULL::TIMESTAMP AS ts, 0::BIGINT AS k, 100000.0::DOUBLE AS cash0, 0 AS side0, 0.0::DOUBLE AS entry0, 0.0::DOUBLE AS q0, 100000.0::DOUBLE AS peak0, false AS halted0, 0.0::DOUBLE AS equity, 0 AS closed, NULL::DOUBLE AS pa, NULL::DOUBLE AS pb FROM (SELECT DISTINCT symbol FROM b)
+        UNION ALL SELECT symbol, ts, k, cash5, side5, entry3, q3, peak3, halted0 OR x4, equity, closed, pa, pb FROM ({_BAR}))"""
 
 
 @query(f"WITH RECURSIVE {_RUN} SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(equity, 4) AS equity, closed FROM z WHERE k > 0")
@@ -182,10 +227,29 @@ def backtest_grid(spark, d):
     return r6(desk.backtest_grid(bars, jobs, ["ma_cross", "bollinger", "macd"]))
 
 
-@query()
+#: Bars of the parts of five anchored windows, once for each strategy: symbol is strategy|symbol|window|part.
+_PARTS = f"""{BARS.replace("bars AS", "whole AS", 1)}, counted AS (SELECT *, row_number() OVER {W}) - 1 AS r, count(*) OVER (PARTITION BY symbol) AS total FROM whole),
+    cut AS (SELECT c.*, w, CAST(floor(total * CAST(0.6 AS DOUBLE)) AS BIGINT) + w * greatest(1, CAST(floor(total * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS a, greatest(1, CAST(floor(total * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS width FROM counted c, range(5) t(w)),
+    bars AS MATERIALIZED (SELECT s || '|' || symbol || '|' || w || CASE WHEN r < a THEN '|train' ELSE '|test' END AS symbol, ts, open, high, low, close, volume FROM cut, (VALUES ('ma_cross'), ('macd')) t(s) WHERE r < least(a + width, total) AND least(a + width, total) - a >= 10)"""
+_WALK = f"""{_CROSS.replace(BARS, _PARTS)}{re.sub(r"\b([fms])( AS \(SELECT \*|\)(?=[,\s]|$))", r"\g<1>2\g<2>", _MACD.removeprefix(_LISTS))},
+    u2 AS (SELECT symbol, unnest(t) AS ts, unnest(macd) - unnest(sig) AS h FROM s2), p2 AS (SELECT *, lag(h) OVER {W}) AS h1 FROM u2),
+    g2 AS (SELECT symbol, ts, signal FROM g WHERE starts_with(symbol, 'ma_cross|') UNION ALL
+        SELECT symbol, ts, CASE WHEN h1 <= 0 AND h > 0 THEN 'BUY' WHEN h1 >= 0 AND h < 0 THEN 'SELL' ELSE 'HOLD' END FROM p2 WHERE starts_with(symbol, 'macd|'))"""
+_WALK = _RUN.replace(_CROSS, _WALK).replace("FROM g JOIN bars", "FROM g2 JOIN bars").replace("peak3 > 0.15 AS", "peak3 > 1.0 AS")
+#: Hours between bars to bars a year, days for runs of ten bars or fewer.
+_YEAR = "CASE WHEN n <= 10 OR m IS NULL THEN 252.0 WHEN m < 0.1 THEN 98280.0 WHEN m < 0.2 THEN 19656.0 WHEN m < 0.5 THEN 6552.0 WHEN m < 2 THEN 1638.0 WHEN m < 8 THEN 409.5 WHEN m < 48 THEN 252.0 WHEN m < 240 THEN 52.0 ELSE 12.0 END"
+
+
+@query(f"""WITH RECURSIVE {_WALK}, y1 AS (SELECT *, (equity - lag(equity) OVER {W})) / nullif(lag(equity) OVER {W}), 0) AS ret, (epoch(ts) - epoch(lag(ts) OVER {W}))) / 3600 AS h FROM z WHERE k > 0),
+    y2 AS (SELECT symbol, arg_max(equity, ts) / 100000 - 1 AS total_return, avg(ret) AS mean, stddev_pop(ret) AS sd, median(h) AS m, count(*) AS n, count(pa) + count(pb) AS trades, count(*) FILTER (pa > 0) + count(*) FILTER (pb > 0) AS wins FROM y1 GROUP BY symbol),
+    y3 AS (SELECT string_split(symbol, '|') AS k, total_return, coalesce(mean / nullif(sd, 0) * sqrt({_YEAR}), 0) AS sharpe, coalesce(wins / nullif(trades, 0), 0) AS win_rate FROM y2),
+    y4 AS (SELECT k[2] AS symbol, k[1] AS strategy, k[3] AS w, max(sharpe) FILTER (k[4] = 'train') AS a, max(sharpe) FILTER (k[4] = 'test') AS b, max(total_return) FILTER (k[4] = 'test') AS tr, max(win_rate) FILTER (k[4] = 'test') AS wr FROM y3 GROUP BY ALL),
+    y5 AS (SELECT symbol, strategy, avg(b) AS mean_sharpe, avg(tr) AS mean_return, avg(wr) AS mean_win_rate, coalesce(avg(CASE WHEN b <> 0 THEN least(a / b, 10.0) END), 0) AS overfit, count(*) AS n, stddev_pop(b) AS sd FROM y4 GROUP BY ALL),
+    y6 AS (SELECT *, CASE WHEN n < 2 OR mean_sharpe = 0 THEN 0 ELSE greatest(1 - abs(sd / mean_sharpe), -1) END AS stability FROM y5)
+    SELECT symbol, strategy, round(mean_sharpe, 6) AS mean_sharpe, round(mean_return, 6) AS mean_return, round(mean_win_rate, 6) AS mean_win_rate, round(overfit, 6) AS overfit, round(stability, 6) AS stability, stability > 0.5 AS stable FROM y6""")
 def learn_walk_backtests(spark, d):
-    """A backtest of each part of five anchored windows of every symbol, and what they say together."""
-    return r6(desk.walk_forward_report(signals.signals(B.hourly_bars(spark, d), ["ma_cross", "macd"])))
+    """A backtest of each part of the anchored windows of every symbol, and what they say together."""
+    return r6(desk.walk_forward_report(B.hourly_bars(spark, d), ["ma_cross", "macd"]))
 
 
 @query()

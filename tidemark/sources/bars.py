@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.cleaning import between, drop_empty, keep_last, normalize_ohlcv, validate
+from tidemark.operators.cleaning import adjust, between, drop_empty, keep_last, normalize_ohlcv, validate
 from tidemark.sources.files import resolve
 
 #: Keys under which nested JSON keeps its bars (fixed values).
@@ -66,23 +68,41 @@ def read_bars(spark: SparkSession, path: str, kind: str, symbol: str) -> DataFra
     return normalize_ohlcv(raw.withColumn("symbol", F.lit(symbol)))
 
 
-def load(spark: SparkSession, index: DataFrame, symbols: list[str], timeframe: str, start: str | None = None, end: str | None = None) -> DataFrame:
+def load(
+    spark: SparkSession,
+    index: DataFrame,
+    symbols: list[str],
+    timeframe: str,
+    start: str | None = None,
+    end: str | None = None,
+    adjusted: bool = True,
+    fallback: Callable[[str, str], DataFrame | None] | None = None,
+) -> DataFrame:
     """Clean bars of several symbols from the files that an index (path, key, ext) resolves them to.
 
-    Each file's bars are normalised; rows without any price go, of repeated times the last row stays, impossible rows
-    go, then the range of times is cut. Symbols without a file have no rows. The list of symbols is made by hand.
+    Each file's bars are normalised and cut to the range of times; prices are adjusted for splits and dividends where the file has
+    adjusted closes (unless `adjusted` is False); impossible rows go; of repeated times the last row that is left stays; rows
+    without any price or volume go. A symbol without a file has the rows that `fallback` (symbol, timeframe) gives, in any of the usual
+    columns, or none. The list of symbols is made by hand.
     """
     parts = []
     for symbol in symbols:
         if found := resolve(index, symbol, timeframe).head():
             bars = read_bars(spark, found.path, found.ext, symbol)
-            parts.append(bars.withColumn("seq", F.monotonically_increasing_id()))
+        elif fallback is not None and (raw := fallback(symbol, timeframe)) is not None:
+            bars = normalize_ohlcv(raw.withColumn("symbol", F.lit(symbol)))
+        else:
+            continue
+        parts.append(bars.withColumn("seq", F.monotonically_increasing_id()))
     if not parts:
         return spark.createDataFrame([], "symbol string, open double, high double, low double, close double, volume double, ts timestamp_ntz")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return between(validate(keep_last(drop_empty(out))).drop("seq"), start, end)
+    out = between(out, start, end)
+    if adjusted and "adj_close" in out.columns:
+        out = adjust(out)
+    return drop_empty(keep_last(validate(out))).drop("seq")
 
 
 def write_features(features: DataFrame, path: str) -> None:
