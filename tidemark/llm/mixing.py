@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, stored, text_of
+from tidemark.llm.common import SALTS, WORD, release, stored, text_of
 
 #: Newton steps at most, and the relative gap at which they end.
 STEPS, GAP = 60, 1e-9
@@ -83,15 +83,39 @@ def mix(documents: DataFrame, id_col: str = "doc_id", cap: float = 3.0) -> DataF
     """One row per document: id, size, source_size, target, rate, copies, taken (= copies * size).
 
     Size: words of the text; null texts have none and are never taken. Null is a source of its own, the last. Repeated
-    rows and ids stay rows of their own and, being alike, are rounded alike. No document has more than `cap` copies;
-    the same input gives the same mix. Other columns are not read.
+    rows and ids, null ids too, stay rows of their own, each rounded by a draw of its own; which of the rows alike in source, id
+    and size gets the larger count is left open. No document has more than `cap` copies; the same input gives the same
+    mix. Other columns are not read.
     """
     docs = documents.select(F.col(id_col), F.col("source").cast("string").alias("source"), words_in(text_of()).alias("size"))
     return mix_sizes(stored(docs, "sizes"), id_col, cap)
 
 
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """`docs` with `_row` (a key) and `_number`: null for an id that its source has once, else 0, 1, ... among rows alike in source, id and size.
+
+    Rows alike are numbered within SALTS parts, which are then put one after the other, so no group of copies is one task.
+    """
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    same = ["source", id_col]
+    often = keyed.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").alias("o")
+    # Spark's adaptive joins split a hot id here: only the side of single ids must stay whole
+    repeated = keyed.alias("k").join(often, F.expr(" AND ".join(f"k.`{c}` <=> o.`{c}`" for c in same)), "left_semi")
+    part = repeated.select("_row", *same, "size", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("_part"))
+    part = stored(part, "repeated")
+    if part.limit(1).count() == 0:
+        return keyed.withColumn("_number", F.lit(None).cast("long"))
+    own = [*same, "size", "_part"]
+    before = Window.partitionBy(*same, "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.groupBy(*own).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("f")
+    within = part.withColumn("_k", F.row_number().over(Window.partitionBy(*own).orderBy("_row")) - 1).alias("w")
+    numbers = within.join(offsets, F.expr(" AND ".join(f"w.`{c}` <=> f.`{c}`" for c in own))).select("w._row", (F.col("_k") + F.col("_before")).alias("_number"))
+    return stored(keyed.join(numbers, "_row", "left"), "numbered")
+
+
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", cap: float = 3.0) -> DataFrame:
     """`mix` for a table that already holds id, source, size."""
+    docs = _numbered(docs.select(id_col, "source", "size"), id_col)
     counts = docs.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     targets = stored(source_targets(docs, cap), "targets")
     rates = balancing_rates(stored(counts, "counts"), targets, cap)
@@ -99,31 +123,34 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", cap: float = 3.0) -> Data
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("r.lam").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("r.lam") * F.col("size") / F.col("r.scale"), F.lit(50.0)))))
     # targets and rates hold a row per source; Spark broadcasts them while they are small
     rated = docs.join(t, docs.source.eqNullSafe(F.col("t.source")), "left").join(r, docs.source.eqNullSafe(F.col("r.source")), "left")
-    rated = rated.select(docs[id_col], docs.source, "size", F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), rate.alias("rate"))
-    draw = (F.xxhash64(F.col(id_col).cast("string"), F.lit(3)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52))
+    rated = rated.select("_row", "_number", docs[id_col], docs.source, "size", F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), rate.alias("rate"))
+    name = F.col(id_col).cast("string")
+    own = F.when(F.col("_number").isNull(), F.xxhash64(name, F.lit(3))).otherwise(F.xxhash64(name, F.lit(3), "size", "_number"))
+    draw = own.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     # a document gets its extra copy where `switch`, in (-1, 1), lies below its source's shift
     rated = rated.withColumns({"base": F.floor("rate"), "switch": draw - (F.col("rate") - F.floor("rate"))})
     shifts = _shifts(rated)
     s = shifts.alias("s")
     extra = (F.col("rate") > F.floor("rate")) & (F.col("switch") < F.coalesce(F.col("s.shift"), F.lit(0.0)))
     out = rated.join(s, rated.source.eqNullSafe(F.col("s.source")), "left").withColumn("copies", (F.col("base") + F.when(extra, 1).otherwise(0)).cast("long"))
-    out = stored(out.select(rated[id_col].alias("id"), rated.source, "size", "source_size", "target", "rate", "copies"), "copies")
+    out = stored(out.select("_row", rated[id_col].alias("id"), rated.source, "size", "source_size", "target", "rate", "copies"), "copies")
     for _ in range(EXCHANGES):
-        same = F.col("o.source").eqNullSafe(F.col("f.source")) & F.col("o.id").eqNullSafe(F.col("f.id"))
-        changed = out.alias("o").join(_exchanges(out, cap).alias("f"), same, "left")
-        out = stored(changed.select(*(f"o.{c}" for c in out.columns[:-1]), (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "copies")
+        changed = out.join(_exchanges(out, cap), "_row", "left")
+        before, out = out, stored(changed.select(*out.columns[:-1], (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "copies")
+        release(before)
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _exchanges(out: DataFrame, cap: float) -> DataFrame:
-    """source, id, change: per source a copy to add (1) and one to leave out (-1), or one of these, that bring it nearest its target.
+    """_row, change: per source a copy to add (1) and one to leave out (-1), or one of these, that bring it nearest its target.
 
-    Only sizes that occur take part, one document for each size; where none helps, nothing changes. For each size to leave out,
-    the nearest sizes to add are its neighbours in one order of both, so no pairs are made.
+    Only sizes that occur take part, one row for each size, told by its key, as ids may repeat; where none helps, nothing changes. For
+    each size to leave out, the nearest sizes to add are its neighbours in one order of both, so no pairs are made.
     """
     missing = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
     missing = stored(missing.where("missing <> 0"), "missing")
-    sizes = out.where("size > 0").groupBy("source", "size").agg(F.min(F.when(F.col("copies") + 1 <= cap, F.col("id"))).alias("more"), F.min(F.when(F.col("copies") >= 1, F.col("id"))).alias("less"))
+    row = F.struct("id", "copies", "_row")  # rows alike but for their key are interchangeable
+    sizes = out.where("size > 0").groupBy("source", "size").agg(F.min(F.when(F.col("copies") + 1 <= cap, row)).alias("more"), F.min(F.when(F.col("copies") >= 1, row)).alias("less"))
     each = stored(sizes, "sizes").alias("z").join(missing.alias("m"), F.col("z.source").eqNullSafe(F.col("m.source"))).select("m.*", "size", "more", "less")
     none = missing.select("*", F.lit(0).cast("long").alias("size"), F.lit(None).cast(dict(sizes.dtypes)["more"]).alias("more"), F.lit(None).cast(dict(sizes.dtypes)["less"]).alias("less"))
     added = each.where("more IS NOT NULL").unionByName(none).select("source", "missing", F.col("size").cast("double").alias("at"), F.struct("size", F.col("more").alias("id")).alias("add"), F.lit(None).cast(f"struct<size:bigint,id:{dict(sizes.dtypes)['less']}>").alias("drop"))
@@ -133,8 +160,8 @@ def _exchanges(out: DataFrame, cap: float) -> DataFrame:
     near = added.unionByName(dropped).select("source", "missing", "drop", F.array(below, above).alias("both")).select("source", "missing", "drop", F.explode("both").alias("add")).where("drop IS NOT NULL AND add IS NOT NULL")
     near = near.withColumn("gap", F.abs(F.col("missing") - F.col("add.size") + F.col("drop.size"))).where(F.col("gap") < F.abs("missing"))
     best = near.groupBy("source").agg(F.min(F.struct("gap", "add", "drop")).alias("best"))
-    both = best.select("source", F.explode(F.array(F.struct(F.col("best.add.id").alias("id"), F.lit(1).cast("long").alias("change")), F.struct(F.col("best.drop.id").alias("id"), F.lit(-1).cast("long").alias("change")))).alias("c"))
-    return both.select("source", "c.id", "c.change").where("id IS NOT NULL").groupBy("source", "id").agg(F.sum("change").alias("change"))
+    both = best.select(F.explode(F.array(F.struct(F.col("best.add.id._row").alias("_row"), F.lit(1).cast("long").alias("change")), F.struct(F.col("best.drop.id._row").alias("_row"), F.lit(-1).cast("long").alias("change")))).alias("c"))
+    return both.select("c._row", "c.change").where("_row IS NOT NULL").groupBy("_row").agg(F.sum("change").alias("change"))
 
 
 def _shifts(rated: DataFrame) -> DataFrame:
