@@ -135,12 +135,14 @@ def test_paper_scan_in_order(spark):
     held = spark.createDataFrame([("a", "S1", "LONG", 10.0, 5.0, 0.02, 0.04), ("a", "S2", "SHORT", 10.0, 5.0, 0.02, 0.04), ("a", "S9", "LONG", 10.0, 1.0, 0.02, 0.04)], "account string, symbol string, side string, entry_price double, quantity double, stop_loss double, take_profit double")
     prices = spark.createDataFrame([("S1", 9.0), ("S2", 9.9), ("S3", 2.0), ("S4", 4.0)], "symbol string, price double")
     wanted = spark.createDataFrame([(x, s, "BUY" if s != "S4" else "SELL", True, 0.5) for x in "ab" for s in ("S1", "S2", "S3", "S4", "S8")], "account string, symbol string, action string, approved boolean, position_size double")
-    after, trades = desk.paper_scan(accounts, held, prices, wanted)
+    after, left, trades = desk.paper_scan(accounts, held, prices, wanted)
     got = {(r.account, r.symbol, r.event): (r.side, round(r.quantity, 6), round(r.pnl, 6)) for r in trades.collect()}
     # S1 stops at 9; then S1, S3, S4 open for a tenth each of what is left, S2 is still held, S8 has no price; b is far below its peak
     cash = 1000 + 45
     assert got == {("a", "S1", "stop_loss"): ("LONG", 5.0, -5.0), ("a", "S1", "open"): ("LONG", round(cash * 0.1 / 9, 6), 0.0), ("a", "S3", "open"): ("LONG", round(cash * 0.9 * 0.1 / 2, 6), 0.0), ("a", "S4", "open"): ("SHORT", round(cash * 0.81 * 0.1 / 4, 6), 0.0)}
     assert {r.account: round(r.cash, 6) for r in after.collect()} == {"a": round(cash * 0.81, 6), "b": 100.0}
+    now = {(r.account, r.symbol): (r.side, r.entry_price, r.stop_loss) for r in left.collect()}
+    assert now == {("a", "S2"): ("SHORT", 10.0, 0.02), ("a", "S9"): ("LONG", 10.0, 0.02), ("a", "S1"): ("LONG", 9.0, 0.02), ("a", "S3"): ("LONG", 2.0, 0.02), ("a", "S4"): ("SHORT", 4.0, 0.02)}
 
 
 def test_watcher_sees_newest_bars_only(spark, bars):

@@ -224,8 +224,8 @@ def test_cooldown_batch_and_stream(spark, tmp_path):
     kept = {(r.rule, r.symbol, r.ts) for r in alerts.cool_down(table).collect()}
     assert kept == {(r, s, START + dt.timedelta(seconds=t)) for r in ("a", "b") for s in ("X", "Y") for t in (0, 100, 250)}
     table.write.parquet(f"{tmp_path}/in")
-    streams.drain(streams.stream_cool_down(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
-    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("rule", "symbol", "ts").collect()} == kept
+    streams.drain(streams.stream_cool_down(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), "10 seconds"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("rule", "symbol", "ts").collect()} == kept  # 250 s is what the watermark reaches
 
 
 def test_stream_bars_equal_batch(spark, tmp_path):
@@ -239,9 +239,9 @@ def test_stream_bars_equal_batch(spark, tmp_path):
 
 
 def test_stream_positions(spark, tmp_path):
-    fills = spark.createDataFrame([("X", START + dt.timedelta(seconds=i), q, p) for i, (q, p) in enumerate([(10.0, 100.0), (10.0, 110.0), (-5.0, 120.0), (-20.0, 100.0)])], "symbol string, ts timestamp, quantity double, price double")
+    fills = spark.createDataFrame([("X", START + dt.timedelta(seconds=i), i, q, p) for i, (q, p) in enumerate([(10.0, 100.0), (10.0, 110.0), (-5.0, 120.0), (-20.0, 100.0)])], "symbol string, ts timestamp, seq long, quantity double, price double")
     fills.write.parquet(f"{tmp_path}/in")
-    streams.drain(streams.stream_positions(spark.readStream.schema(fills.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+    streams.drain(streams.stream_positions(spark.readStream.schema(fills.schema).parquet(f"{tmp_path}/in"), "0 seconds"), f"{tmp_path}/out", f"{tmp_path}/state")
     got = [(r.quantity, r.cost, r.realised) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("ts").collect()]
     assert got == [(10, 100, 0), (20, 105, 0), (15, 105, 75), (-5, 100, 0)]
 

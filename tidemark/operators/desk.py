@@ -75,12 +75,15 @@ def reasoning(votes: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.select("decision_id", F.concat_ws("\n", F.format_string("Consensus: %s", fixed(F.col("consensus"), 4)), active, lines, excluded, blocked).alias("reasoning"))
 
 
-def paper_scan(accounts: DataFrame, positions: DataFrame, prices: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One scan of paper accounts: (accounts after it, trades).
+POSITIONS = "account string, symbol string, side string, entry_price double, quantity double, stop_loss double, take_profit double"
+
+
+def paper_scan(accounts: DataFrame, positions: DataFrame, prices: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One scan of paper accounts: (accounts, positions, trades) after it, so that the next scan can follow.
 
     accounts: account, cash, peak. positions: account, symbol, side, entry_price, quantity, stop_loss, take_profit. prices:
-    symbol, price. decisions: account, symbol, action, approved, position_size, stop_loss, take_profit. First every position whose
-    stop or profit is reached is closed. Then approved decisions on symbols without a position open one, in the order of symbols, each
+    symbol, price. decisions: account, symbol, action, approved, position_size, stop_loss, take_profit (0.02 and 0.04 where they are
+    missing). First every position whose stop or profit is reached is closed. Then approved decisions on symbols without a position open one, in the order of symbols, each
     for its share of the cash that the ones before it left, unless the account is more than MAX_DRAWDOWN below its peak. Positions
     without a price stay as they are. trades: account, symbol, event (stop_loss, take_profit, open), side, price, quantity, pnl.
     """
@@ -103,8 +106,12 @@ def paper_scan(accounts: DataFrame, positions: DataFrame, prices: DataFrame, dec
     taken = opened.groupBy("account").agg(F.sum(F.when(F.col("action") == "BUY", F.col("value")).otherwise(0.0)).alias("taken"))
     after = state.join(taken, "account", "left").select("account", (F.col("cash") - F.coalesce("taken", F.lit(0.0))).alias("cash"), "equity", F.greatest("peak", "equity").alias("peak"))
     closes = held.where("event IS NOT NULL").select("account", "symbol", "event", "side", "price", "quantity", "pnl")
-    opens = opened.select("account", "symbol", F.lit("open").alias("event"), F.when(F.col("action") == "BUY", "LONG").otherwise("SHORT").alias("side"), "price", (F.col("value") / F.col("price")).alias("quantity"), F.lit(0.0).alias("pnl"))
-    return after, closes.unionByName(opens)
+    opened = opened.withColumns({"side": F.when(F.col("action") == "BUY", "LONG").otherwise("SHORT"), "quantity": F.col("value") / F.col("price")})
+    opens = opened.select("account", "symbol", F.lit("open").alias("event"), "side", "price", "quantity", F.lit(0.0).alias("pnl"))
+    share_of = lambda c, missing: (F.coalesce(F.col(c).cast("double"), F.lit(missing)) if c in decisions.columns else F.lit(missing)).alias(c)
+    new = opened.select("account", "symbol", "side", F.col("price").alias("entry_price"), "quantity", share_of("stop_loss", 0.02), share_of("take_profit", 0.04))
+    kept_on = held.where("event IS NULL").select(new.columns)
+    return after, kept_on.unionByName(new), closes.unionByName(opens)
 
 
 def strategy_alerts(bars: DataFrame, names: list[str], rules: DataFrame, last_only: bool = False) -> DataFrame:

@@ -105,7 +105,7 @@ def desk_paper_accounts(spark, d):
 @query(f"""WITH {_DESK} SELECT account, symbol, event, side, round(price, 4) AS price, round(q, 4) AS quantity, round(pnl, 4) AS pnl FROM e WHERE event IS NOT NULL
     UNION ALL SELECT account, symbol, 'open', CASE action WHEN 'BUY' THEN 'LONG' ELSE 'SHORT' END, round(price, 4), round(value / price, 4), 0.0 FROM o WHERE value > 0""")
 def desk_paper_trades(spark, d):
-    return _paper(spark, d)[1].select("account", "symbol", "event", "side", *(F.round(c, 4).alias(c) for c in ("price", "quantity", "pnl")))
+    return _paper(spark, d)[2].select("account", "symbol", "event", "side", *(F.round(c, 4).alias(c) for c in ("price", "quantity", "pnl")))
 
 
 @query(f"""WITH {_CROSS}, c AS (SELECT *, least(0.5 + 20 * abs((f - s) / nullif(s, 0)), 0.95) AS conf FROM g WHERE signal <> 'HOLD'),

@@ -921,4 +921,4 @@ def backtest_best(spark, d):
     return r6(reports.best_run(backtest.report(run_signals(spark, d))))
 
 
-from tidemark.plans import desk  # noqa: E402,F401  registers its queries
+from tidemark.plans import desk, streaming  # noqa: E402,F401  register their queries
