@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import release, stored
+from tidemark.llm.common import release, salted_join, stored
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import mixed, shingle_sets
 
@@ -293,7 +293,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, tenths: int = 8, id_col
 
     smallest = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = smallest.join(smallest.groupBy("label").agg(F.min("rep").alias("component")), "label").select("node", "component")
-    out = rows.join(smallest, "node", "left")
+    # copies of one text are one key, as many as they are
+    out = salted_join(rows.select("id", "n", "node"), stored(smallest, "smallest"), ["node"], F.xxhash64("id"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
