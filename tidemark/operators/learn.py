@@ -15,9 +15,11 @@ FULL = {"trees": 1000, "depth": 6, "rate": 0.05}
 def train_and_score(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, validation: str | None = None) -> DataFrame:
     """(label, predicted, part) of rows with `part` train or test, predicted by trees that were grown on train.
 
-    `validation`: a boolean column; training rows where it is true only tell when to stop growing trees.
+    Features without a value (null or NaN) count as 0, in training and in scoring, so every row is scored; rows without a label have
+    none to learn from, and are left out. `validation`: a boolean column; training rows where it is true only tell when to stop growing trees.
     """
-    vectors = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(rows.withColumn("label", F.col(label).cast("double")))
+    filled = rows.where(F.col(label).isNotNull()).withColumns({c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features})
+    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(filled.withColumn("label", F.col(label).cast("double")))
     trainer = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     if validation:
         trainer = trainer.setValidationIndicatorCol(validation)

@@ -93,9 +93,14 @@ def verified_models(models: DataFrame, registry: DataFrame) -> DataFrame:
     return models.join(known, "name", "left").withColumn("verified", F.coalesce(F.col("sha256") == F.col("_known"), F.lit(False))).drop("_known")
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON-lines log, lines that aren't JSON and blank lines skipped."""
-    return spark.read.option("mode", "DROPMALFORMED").json(path)
+def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a JSON-lines log: columns of `schema`, and lines (column `line`) that are no JSON object. Blank lines are nothing.
+
+    A field that doesn't fit its type is null; its row stays.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_fields", F.from_json("value", "map<string,string>"))
+    rows = lines.where("_fields IS NOT NULL").select(F.from_json("value", schema).alias("r")).select("r.*")
+    return rows, lines.where("_fields IS NULL").select(F.col("value").alias("line"))
 
 
 def append_log(rows: DataFrame, path: str, day: str | None = None) -> None:

@@ -7,11 +7,12 @@ import re
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import alerts, backtest, cleaning, consensus, desk, features, learn, manifest, portfolio, retrieval, signals, splits
+from tidemark.operators import alerts, backtest, cleaning, consensus, desk, features, knowledge, learn, manifest, portfolio, retrieval, signals, splits, vector_index
 from tidemark.operators import text as docs
 from tidemark.plans.queries import _CROSS, _LISTS, _MACD, _SCORES, _VOTES, _WEIGHTS, BARS, W, _scratch, query, r6, scored_signals, table, votes_of
 from tidemark.sources import bars as B
 from tidemark.sources import files as files_
+from tidemark.sources import tolerant
 
 # scans and lists
 
@@ -149,6 +150,42 @@ def manifest_image_titles(spark, d):
     return named.withColumn("title", T.title_of_image(F.col("name")))
 
 
+@query(f"""WITH {BARS}, n AS (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 AS h FROM bars) SELECT 'record' AS kind, symbol, CAST(ts AS VARCHAR) AS ts, round(close, 6) AS close FROM n WHERE h % 10 <> 0
+    UNION ALL SELECT 'reject', symbol, NULL, NULL FROM n WHERE h % 10 = 0""")
+def bars_from_json(spark, d):
+    """Bars written as lines of JSON, every tenth cut off in its middle: what is read, and what is rejected, of each symbol's folder."""
+    root = _scratch(spark, "json")
+    bars = B.hourly_bars(spark, d)
+    line = F.to_json(F.struct(F.col("ts").cast("string").alias("Date"), F.col("close").alias("C"), F.col("volume").alias("Vol")))
+    cut = F.when(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600 % 10 == 0, F.expr("substring(line, 1, length(line) div 2)")).otherwise(F.col("line"))
+    bars.select("symbol", "ts", line.alias("line")).select("symbol", cut.alias("value")).write.partitionBy("symbol").text(root)
+    read = tolerant.read_json(spark, root).withColumn("symbol", F.regexp_extract("path", "symbol=([^/]+)", 1))
+    good = tolerant.as_columns(read, ["date", "c"]).withColumn("symbol", F.regexp_extract("path", "symbol=([^/]+)", 1))
+    good = good.select(F.lit("record").alias("kind"), "symbol", F.col("date").alias("ts"), F.round(F.col("c").cast("double"), 6).alias("close"))
+    return good.unionByName(read.where("record IS NULL").select(F.lit("reject").alias("kind"), "symbol"), allowMissingColumns=True)
+
+
+@query()
+def text_knowledge(spark, d):
+    """Chunks of each document in a store that got half of the documents, then all, then all again under the same name."""
+    store = knowledge.KnowledgeStore(spark, _scratch(spark, "knowledge"))
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    store.add(documents.where("doc_id % 2 = 0"), "half")
+    for _ in range(2):
+        store.add(documents, "all")
+    return store.chunks().groupBy("doc_id").agg(F.count("*").alias("chunks"), F.countDistinct("chunk_key").alias("keys"), F.sum("token_estimate").alias("tokens"))
+
+
+@query()
+def manifest_books(spark, d):
+    """Part names as images of books, the names of other parts, with a word less and another order, as the library: which book each is from."""
+    part = table(spark, d, "part")
+    images = part.select("p_partkey", F.concat(F.lit("charts/PDF_"), F.initcap(F.regexp_replace("p_name", " ", "-")), F.lit("_p"), F.col("p_size").cast("string"), F.lit("_img1.png")).alias("path"))
+    words = F.split("p_name", " ")
+    books = part.where("p_partkey % 3 = 0").select(F.concat(F.array_join(F.concat(F.slice(words, 2, 9), F.slice(words, 1, 1)), " "), F.lit(" (Z-Library).pdf")).alias("book"), F.col("p_partkey").alias("position"), F.col("p_type").alias("topic"))
+    return r6(manifest.books_of_images(images, books.groupBy("book").agg(F.min("position").alias("position"), F.min_by("topic", "position").alias("topic"))).select("p_partkey", "title", "book", "topic", "score"))
+
+
 @query(f"""WITH {BARS}, f AS (SELECT * REPLACE (CASE WHEN CAST(epoch(ts) AS BIGINT) // 3600 % 3 = 0 THEN high ELSE close END AS close), CASE WHEN symbol = 'click' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS f FROM bars WHERE low > 0)
     SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(open * f, 6) AS open, round(high * f, 6) AS high, round(low * f, 6) AS low, round(close * f, 6) AS close, volume / f AS volume FROM f""")
 def bars_loaded(spark, d):
@@ -406,3 +443,23 @@ def bars_head(spark, d):
 def backtest_metrics_by_trade(spark, d):
     """Trade statistics of the runs from the rows of their trades: they equal what `backtest_report` gathers."""
     return r6(backtest.trade_stats(backtest.trades_of(backtest.simulate(signals.signals(B.hourly_bars(spark, d), ["ma_cross", "macd"])))))
+
+
+@query()
+def vectors_index(spark, d):
+    """The ten nearest of every vector whose id is divisible by 20, from an index of all vectors calibrated to nine tenths and more."""
+    vectors = table(spark, d, "embeddings")
+    index = vector_index.VectorIndex.build(vectors, _scratch(spark, "index"))
+    return r6(index.search(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10))
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def vectors_index_whole(spark, d):
+    """An index built on half of the vectors, the rest added in two batches, one of them twice; all cells visited, so the result is exact."""
+    vectors = table(spark, d, "embeddings")
+    index = vector_index.VectorIndex.build(vectors.where("vec_id % 2 = 0"), _scratch(spark, "index"))
+    index.add(vectors.where("vec_id % 4 = 1"), "a")
+    for _ in range(2):
+        index.add(vectors.where("vec_id % 4 <> 1 OR vec_id IS NULL"), "b")
+    return r6(index.search(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, probes=len(index.centres)))

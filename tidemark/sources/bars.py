@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.cleaning import adjust, between, drop_empty, keep_last, normalize_ohlcv, validate
+from tidemark.operators.cleaning import SYNONYMS, adjust, between, drop_empty, keep_last, normalize_ohlcv, validate
+from tidemark.sources import tolerant
 from tidemark.sources.files import resolve
 
-#: Keys under which nested JSON keeps its bars (fixed values).
-NESTED = ("data", "candles", "result", "results", "ohlcv", "bars", "chart")
 #: timeframe -> (interval, period) of market-data requests (fixed values).
 TIMEFRAMES = {"1m": ("1m", "7d"), "2m": ("2m", "60d"), "5m": ("5m", "60d"), "15m": ("15m", "60d"), "30m": ("30m", "60d"), "1h": ("1h", "730d"), "4h": ("1h", "730d"), "1d": ("1d", "max"), "1wk": ("1wk", "max")}
 DEFAULT_REQUEST = ("1h", "730d")
@@ -52,22 +53,38 @@ def resample(bars: DataFrame, every: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, kind: str, symbol: str) -> DataFrame:
-    """Bars of one symbol from a CSV, JSON, JSONL or Parquet path, columns under any of their usual names."""
+    """Bars of one symbol from a CSV, JSON, JSONL or Parquet path, columns under any of their usual names.
+
+    JSON may be an array, nested, one flat object or lines; what is no record is left out here and listed by `json_rejects`.
+    """
     if kind == "csv":
         raw = spark.read.option("header", True).csv(path)
     elif kind == "parquet":
         raw = spark.read.parquet(path)
-    elif kind == "jsonl":
-        raw = spark.read.option("mode", "DROPMALFORMED").json(path)
-    elif kind == "json":
-        raw = spark.read.option("multiLine", True).json(path)
-        if nested := next((c for c in raw.columns if c.lower() in NESTED), None):
-            raw = raw.select(F.inline(nested))
+    elif kind in ("json", "jsonl"):
+        read = tolerant.read_json(spark, path)
+        # the first name that a record has, in the order of preference
+        picked = {n: F.coalesce(*(F.try_element_at("record", F.lit(x)) for x in names)) for n, names in SYNONYMS.items()}
+        raw = tolerant.records(read).select(*(c.alias(n) for n, c in picked.items()))
     else:
         raise ValueError(f"unknown format: {kind}")
     return normalize_ohlcv(raw.withColumn("symbol", F.lit(symbol)))
 
 
+def json_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """path, place, reject: what in JSON or JSONL files is no record."""
+    return tolerant.rejects(tolerant.read_json(spark, path))
+
+
+def read_or_none(spark: SparkSession, path: str, kind: str, symbol: str) -> DataFrame | None:
+    """`read_bars`, or None with a warning where the format is unknown or Spark finds nothing that it can read."""
+    try:
+        return read_bars(spark, path, kind, symbol)
+    except (ValueError, AnalysisException) as problem:
+        warnings.warn(f"{path} can't be read as bars: {str(problem).splitlines()[0]}", stacklevel=2)
+        return None
+
+
 def load(
     spark: SparkSession,
     index: DataFrame,
@@ -82,13 +99,14 @@ def load(
 
     Each file's bars are normalised and cut to the range of times; prices are adjusted for splits and dividends where the file has
     adjusted closes (unless `adjusted` is False); impossible rows go; of repeated times the last row that is left stays; rows
-    without any price or volume go. A symbol without a file has the rows that `fallback` (symbol, timeframe) gives, in any of the usual
+    without any price or volume go. A symbol without a file that can be read has the rows that `fallback` (symbol, timeframe) gives, in any of the usual
     columns, or none. The list of symbols is made by hand.
     """
     parts = []
     for symbol in symbols:
-        if found := resolve(index, symbol, timeframe).head():
-            bars = read_bars(spark, found.path, found.ext, symbol)
+        found = resolve(index, symbol, timeframe).head()
+        if found and (bars := read_or_none(spark, found.path, found.ext, symbol)) is not None:
+            pass
         elif fallback is not None and (raw := fallback(symbol, timeframe)) is not None:
             bars = normalize_ohlcv(raw.withColumn("symbol", F.lit(symbol)))
         else:

@@ -11,6 +11,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.commits import Commits
+
 #: Files above so many bytes are hashed from their paths, in blocks of so many.
 LARGE, BLOCK = 64 << 20, 1 << 20
 #: extension -> category (fixed values).
@@ -22,7 +24,11 @@ def scan(spark: SparkSession, path: str, contents: bool = False, large: int = LA
 
     Files of more than `large` bytes are not loaded: tasks read them from their paths in blocks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), contents, large)
+
+
+def described(files: DataFrame, contents: bool = False, large: int = LARGE) -> DataFrame:
+    """What `scan` says of files as Spark reads them (path, length, modificationTime, content)."""
     named = ["path", extension(F.col("path")).alias("ext"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
     if not contents:
         return files.select(*named).withColumn("category", category(F.col("ext")))
@@ -32,6 +38,28 @@ def scan(spark: SparkSession, path: str, contents: bool = False, large: int = LA
     return small.unionByName(streamed).withColumn("category", category(F.col("ext")))
 
 
+class Catalog:
+    """A catalog that grows: each update reads and hashes only the files that no update has seen.
+
+    A file stream remembers the files (by path: one that changes in place is not seen again) and every micro-batch is committed once,
+    so an update that stops in the middle is finished by the next one and no file is listed twice.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, large: int = LARGE) -> None:
+        self.spark, self.root, self.large = spark, root.rstrip("/"), large
+        self.commits = Commits(spark, f"{self.root}/files")
+
+    def update(self, path: str, files_a_batch: int = 10_000) -> None:
+        """Adds the new files below a path, `files_a_batch` to a commit."""
+        source = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+        stream = source.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_a_batch).load(path)
+        add = lambda batch, number: self.commits.write(number, {"files": described(batch, True, self.large)}) and None
+        stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def files(self) -> DataFrame:
+        return self.commits.read_all("files", "path string, ext string, size_bytes bigint, modified timestamp, sha256 string, category string").drop("step")
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches with sha256 of the files at `path`, read in blocks."""
     for batch in batches:
