@@ -276,13 +276,25 @@ def test_ema_starts_at_the_first_value(bars):
     assert all(r.e == r.close for r in first)
 
 
-def test_long_ema_is_the_same(bars):
-    from tidemark.functions.windows import ema_long
-
-    want = ema(bars, {"e": ("close", 20)}).select("symbol", "ts", "e")
-    got = ema_long(bars, "close", 20, "long", chunk=37).select("symbol", "ts", "long")
-    joined = want.join(got, ["symbol", "ts"])
-    assert joined.count() == 520 and joined.where("abs(e - long) > 1e-9").count() == 0
+def test_long_ema_is_the_same(spark, bars, monkeypatch):
+    """Symbols that span many ranges, one in the middle of a range, means of means; the choice is made by counting."""
+    from tidemark.functions import windows
+
+    spans = {"a": ("close", 20), "b": ("close", 5), "c": (("a", "b"), 9), "v": ("volume", 3)}
+    want = ema(bars, spans).select("symbol", "ts", *spans)
+    used = []
+    monkeypatch.setattr(windows, "ema_ranges", lambda *a, f=windows.ema_ranges: (used.append(1), f(*a))[1])
+    got = ema(bars, spans, longest=100)
+    assert used and got.columns == [*bars.columns, *spans]
+    joined = want.join(got.select("symbol", "ts", *(F.col(n).alias(f"_{n}") for n in spans)), ["symbol", "ts"])
+    assert joined.count() == 520 and joined.where(" OR ".join(f"abs({n} - _{n}) > 1e-9 OR _{n} IS NULL" for n in spans)).count() == 0
+    one = bars.where("symbol = 'AAA'").limit(3)
+    values = lambda df: [r.a for r in df.orderBy("ts").collect()]
+    assert values(windows.ema_ranges(one, {"a": ("close", 20)})) == pytest.approx(values(ema(one, {"a": ("close", 20)})))
+    assert windows.ema_ranges(bars.where("false"), {"a": ("close", 20)}).count() == 0
+    holes = bars.withColumn("close", F.when(F.col("close") < 100, F.col("close")))
+    used.clear()
+    assert ema(holes, {"a": ("close", 20)}, longest=100).count() == 520 and not used  # missing values weigh by their places: one task a symbol
 
 
 def test_consensus_of_a_flat_series_has_no_votes_of_missing_values(spark):

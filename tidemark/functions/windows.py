@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.session import ensure_checkpoint_dir
+
+#: Rows of a symbol that one task folds, at most, and the least bytes that a plan counts for a row.
+LONGEST, LEAST_ROW = 5_000_000, 24
+
+
 def by_symbol() -> WindowSpec:
     """Rows of a symbol in time order."""
     return Window.partitionBy("symbol").orderBy("ts")
@@ -46,12 +53,18 @@ def ffill(c: Column | str) -> Column:
 Of = str | tuple[str, str]
 
 
-def ema(bars: DataFrame, spans: Mapping[str, tuple[Of, int]]) -> DataFrame:
+def ema(bars: DataFrame, spans: Mapping[str, tuple[Of, int]], longest: int = LONGEST) -> DataFrame:
     """`bars` with recursive means: name -> (column, span), alpha = 2 / (span + 1), starting at the first value.
 
-    A column may be one made here before, or the difference of two (a pair of names). The recursion has no finite frame, so symbols are folded in Arrow batches, all spans in one
-    pass: one shuffle by symbol, the same that the windows use.
+    A column may be one made here before, or the difference of two (a pair of names). The recursion has no finite frame: symbols are
+    folded in Arrow batches, all spans in one pass after one shuffle by symbol, the same that the windows use. Where the plan's size
+    allows a symbol of more than `longest` rows and counting finds one, `ema_ranges` deals its rows to all tasks instead.
     """
+    if _may_be_long(bars, longest):
+        measured = bars.groupBy("symbol").agg(F.count("*").alias("n"), *(F.max((F.isnull(c) | F.isnan(F.col(c).cast("double"))).cast("int")).alias(f"_{c}") for c in _columns(spans)))
+        found = measured.agg(F.max("n"), F.max(F.greatest(*(F.col(f"_{c}") for c in _columns(spans)), F.lit(0)))).head()
+        if found[0] and found[0] > longest and not found[1]:
+            return ema_ranges(bars, spans)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields] + [f"`{name}` double" for name in spans])
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
@@ -64,30 +77,82 @@ def ema(bars: DataFrame, spans: Mapping[str, tuple[Of, int]]) -> DataFrame:
     return bars.groupBy("symbol").applyInPandas(fold, schema)
 
 
-def ema_long(bars: DataFrame, column: str, span: int, name: str, chunk: int = 100_000) -> DataFrame:
-    """`ema` of one column for series too long for one task: the recursion is linear, so it is a scan over chunks.
+def _columns(spans: Mapping[str, tuple[Of, int]]) -> list[str]:
+    """The columns of the table that the means read."""
+    return sorted({c for of, _ in spans.values() for c in ([of] if isinstance(of, str) else of)} - set(spans))
 
-    Each chunk of `chunk` rows is folded as if nothing came before it; what the chunks before it leave (one number each)
-    is folded over chunks and added with its decay. The result differs from `ema` by rounding only.
-    """
-    keep = 1 - 2 / (span + 1)
-    numbered = bars.withColumn("_n", F.row_number().over(by_symbol()) - 1).withColumn("_chunk", F.floor(F.col("_n") / chunk))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields] + ["`_own` double", "`_decay` double"])
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_n")
-        x = frame[column].astype(float).copy()
-        if frame["_n"].iloc[0] > 0:  # nothing before it: the first value weighs 1 - keep
-            start = pd.concat([pd.Series([0.0]), x])
-            own = start.ewm(alpha=1 - keep, adjust=False).mean().iloc[1:].to_numpy()
-        else:
-            own = x.ewm(alpha=1 - keep, adjust=False).mean().to_numpy()
-        return frame.assign(_own=own, _decay=keep ** (frame["_n"] - frame["_n"].iloc[0] + 1))
-
-    folded = numbered.groupBy("symbol", "_chunk").applyInPandas(fold, schema)
-    ends = folded.groupBy("symbol", "_chunk").agg(F.max_by(F.struct("_own", "_decay"), "_n").alias("e"))
-    listed = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_chunk", "e"))).alias("l"))
-    # carry into chunk i: the fold of the ends of chunks 0 to i - 1
-    carry = F.transform(F.col("l"), lambda c, i: F.struct(c["_chunk"].alias("_chunk"), F.aggregate(F.slice(F.col("l"), F.lit(1), i), F.lit(0.0), lambda y, d: d["e"]["_own"] + d["e"]["_decay"] * y).alias("_carry")))
-    carries = listed.select("symbol", F.inline(carry))
-    return folded.join(carries, ["symbol", "_chunk"]).withColumn(name, F.col("_own") + F.col("_decay") * F.col("_carry")).drop("_n", "_chunk", "_own", "_decay", "_carry")
+def _may_be_long(bars: DataFrame, longest: int) -> bool:
+    """Whether the plan's estimated bytes are enough for `longest` rows of any one symbol; no job is run."""
+    size = bars._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # a Scala BigInt, or what Py4J makes of it
+    return int(str(size)) >= longest * LEAST_ROW
+
+
+def _levels(spans: Mapping[str, tuple[Of, int]]) -> list[dict[str, tuple[Of, int]]]:
+    """The means in groups, each of which reads the table and earlier groups only."""
+    levels, left = [], dict(spans)
+    while left:
+        ready = {n: s for n, s in left.items() if not set([s[0]] if isinstance(s[0], str) else s[0]) & set(left)}
+        if not ready:
+            raise ValueError("means read each other in a circle")
+        levels.append(ready)
+        left = {n: s for n, s in left.items() if n not in ready}
+    return levels
+
+
+def ema_ranges(bars: DataFrame, spans: Mapping[str, tuple[Of, int]]) -> DataFrame:
+    """`ema` for symbols too long for a task: a prefix scan over ranges of (symbol, ts), whatever the lengths.
+
+    The recursion y = keep * y' + (1 - keep) * x is linear. Each task folds its range as if nothing came before it and notes, for the
+    symbol at its beginning, how much of the unknown start is left at each row. One row a range and mean goes to the driver, which folds
+    the ranges' ends in order; what a range inherits is then added to its rows. Values must not be null. The result differs
+    from `ema` by rounding only.
+    """
+    spark, out = bars.sparkSession, bars
+    ensure_checkpoint_dir(spark)
+    for level in _levels(spans):
+        names = list(level)
+        keeps = {n: 1 - 2 / (span + 1) for n, (_, span) in level.items()}
+        made = [f"_decay_{n}" for n in names]
+        source = out.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts").withColumn("_range", F.spark_partition_id())
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + [f"`{c}` double" for c in names + made] + ["`_place` bigint"])
+
+        def fold(frames: Iterator[pd.DataFrame], level=level, keeps=keeps) -> Iterator[pd.DataFrame]:
+            symbol, first, last, place = None, True, {}, 0
+            for frame in frames:
+                if frame.empty:
+                    continue
+                parts = []
+                for _, part in frame.groupby((frame["symbol"] != frame["symbol"].shift()).cumsum(), sort=False):
+                    part, begins = part.copy(), part["symbol"].iloc[0] != symbol
+                    if begins:
+                        first, symbol, last = symbol is None, part["symbol"].iloc[0], {}
+                    for n, (of, _) in level.items():
+                        x = (part[of] if isinstance(of, str) else part[of[0]] - part[of[1]]).to_numpy(dtype=float)
+                        keep = keeps[n]
+                        # a symbol that begins inside the range starts at its first value; at the range's beginning the start is unknown
+                        before, share = last.get(n, (0.0, 1.0) if first else (x[0], 0.0))
+                        part[n] = pd.Series(np.concatenate(([before], x))).ewm(alpha=1 - keep, adjust=False).mean().to_numpy()[1:]
+                        part[f"_decay_{n}"] = share * keep ** np.arange(1, len(x) + 1)
+                        last[n] = (part[n].iloc[-1], part[f"_decay_{n}"].iloc[-1])
+                    parts.append(part)
+                yield pd.concat(parts).assign(_place=np.arange(place, place + len(frame)))
+                place += len(frame)
+
+        folded = source.mapInPandas(fold, schema).checkpoint()
+        value = lambda n, level=level: F.col(level[n][0]) if isinstance(level[n][0], str) else F.col(level[n][0][0]) - F.col(level[n][0][1])
+        # the first and the last symbol of each range: two rows a range
+        edge = F.struct("symbol", *(f"{n}" for n in names), *made, *(value(n).cast("double").alias(f"_first_{n}") for n in names))
+        ends = folded.groupBy("_range").agg(F.min_by(edge, "_place").alias("head"), F.max_by(edge, "_place").alias("tail")).orderBy("_range")
+        carried, symbol, end = [], None, {}
+        for r in ends.collect():
+            starts = {n: end[n] if r["head"]["symbol"] == symbol else r["head"][f"_first_{n}"] for n in names}
+            carried.append((r["_range"], r["head"]["symbol"], *(float(starts[n]) for n in names)))
+            whole = r["tail"]["symbol"] == r["head"]["symbol"]
+            end = {n: r["tail"][n] + (r["tail"][f"_decay_{n}"] * starts[n] if whole else 0.0) for n in names}
+            symbol = r["tail"]["symbol"]
+        kinds = f"_range int, _low {dict(bars.dtypes)['symbol']}, " + ", ".join(f"`_carry_{n}` double" for n in names)
+        joined = folded.join(F.broadcast(spark.createDataFrame(carried, kinds)), "_range", "left")  # a row a range
+        full = {n: F.col(n) + F.when(F.col("symbol").eqNullSafe(F.col("_low")), F.col(f"_decay_{n}") * F.col(f"_carry_{n}")).otherwise(0.0) for n in names}
+        out = joined.withColumns(full).select(*out.columns, *names)
+    return out.select(*bars.columns, *spans)
