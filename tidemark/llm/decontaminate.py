@@ -37,6 +37,8 @@ SHARE = 5
 PICKS, REPEATS, PIECE = 2, 48, 64
 #: Longest run of words that is looked up; most bits of the filter; walks of windows embedded at once.
 RUN, FILTER, WALKS = 4, 1 << 28, 1 << 17
+#: Bytes of the filter that one task sets.
+PART = 1 << 16
 
 
 def _runs(hashes: np.ndarray, q: int) -> np.ndarray:
@@ -148,19 +150,28 @@ def _bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filter(runs: DataFrame) -> np.ndarray:
-    """The bits of all keys as bytes; 64 bits or more for each key while they are no more than FILTER."""
+    """The bits of all keys as bytes; 64 bits or more for each key while they are no more than FILTER.
+
+    Tasks set the bits of blocks of PART bytes; the driver gets a block a row, FILTER bits in all at most.
+    """
     count = runs.count()
     bits = min(FILTER, max(1 << 16, 1 << (64 * count).bit_length()))
 
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(places >> 3), pa.array((1 << (places & 7)).astype(np.int64))], names=["byte", "bit"])
-
-    table = runs.select("key").mapInArrow(set_bits, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits >> 3, dtype=np.uint8)
-    out[table["byte"].to_numpy()] = table["bits"].to_numpy()
-    return out
+            at = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // (8 * PART)).astype(np.int32)), pa.array((at % (8 * PART)).astype(np.int32))], names=["part", "at"])
+
+    def block(rows: pa.Table) -> pa.Table:
+        flags = np.zeros(8 * PART, dtype=bool)
+        flags[rows["at"].to_numpy()] = True
+        return pa.table([pa.array([rows["part"][0].as_py()], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    blocks = runs.select("key").mapInArrow(places, "part int, at int").groupBy("part").applyInArrow(block, "part int, bits binary").toArrow()
+    out = np.zeros(max(bits >> 3, PART), dtype=np.uint8)
+    for k, content in zip(blocks["part"].to_pylist(), blocks["bits"]):
+        out[k * PART : (k + 1) * PART] = np.frombuffer(content.as_buffer(), dtype=np.uint8)
+    return out[: bits >> 3]
 
 
 def _known(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
