@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import fixed
 from tidemark.operators import alerts, backtest, splits
 from tidemark.operators.consensus import WEIGHTS
-from tidemark.operators.signals import STRATEGIES
+from tidemark.operators.signals import signals
 
 #: Scores beyond which a symbol counts as a buy or a sell; share of cash in one trade; drawdown that stops new trades (fixed values).
 BIAS, MAX_TRADE, MAX_DRAWDOWN = 0.3, 0.10, 0.15
@@ -116,13 +116,8 @@ def paper_scan(accounts: DataFrame, positions: DataFrame, prices: DataFrame, dec
 
 def strategy_alerts(bars: DataFrame, names: list[str], rules: DataFrame, last_only: bool = False) -> DataFrame:
     """Alerts that strategies' signals raise: matched by rules, then cooled down. `last_only`: of each symbol's newest bar, as a watcher sees it."""
-    parts = []
-    for name in names:
-        s = STRATEGIES[name](bars).select("symbol", "ts", "strategy", "signal", "confidence")
-        parts.append(s.withColumn("score", F.when(F.col("signal") == "SELL", -F.col("confidence")).otherwise(F.col("confidence"))))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = signals(bars, names).select("symbol", "ts", "strategy", "signal", "confidence")
+    found = found.withColumn("score", F.when(F.col("signal") == "SELL", -F.col("confidence")).otherwise(F.col("confidence")))
     if last_only:
         newest_bar = Window.partitionBy("symbol", "strategy").orderBy(F.desc("ts"))
         found = found.withColumn("_k", F.row_number().over(newest_bar)).where("_k = 1").drop("_k")
@@ -134,18 +129,12 @@ def backtest_grid(bars: DataFrame, jobs: DataFrame, names: list[str], settings:
 
     Jobs are rows; a job that can't run costs its own row only.
     """
-    report = backtest.report(stacked(bars, names).join(jobs.select("symbol", "strategy").distinct(), ["symbol", "strategy"], "left_semi"), settings)
+    report = backtest.report(signals(bars, names).join(jobs.select("symbol", "strategy").distinct(), ["symbol", "strategy"], "left_semi"), settings)
     joined = jobs.select("symbol", "strategy").distinct().join(report, ["symbol", "strategy"], "left")
     error = F.when(~F.col("strategy").isin(names), F.concat(F.lit("unknown strategy: "), "strategy")).when(F.col("final_equity").isNull(), "no_data")
     return joined.select(*(F.col(ours).alias(name) for name, ours in GRID.items()), error.alias("error"))
 
 
-def stacked(bars: DataFrame, names: list[str]) -> DataFrame:
-    from tidemark.operators.signals import signals
-
-    return signals(bars, names)
-
-
 #: Analyses of windows trade on whatever the drawdown.
 NO_BREAKER = backtest.Settings(max_drawdown=1.0)
 
@@ -173,7 +162,7 @@ def walk_forward(bars: DataFrame, names: list[str], windows: int = 5, train: flo
     Parts are as `window_parts` makes them, runs of their own: a strategy sees nothing before its part, so its indicators begin
     anew there, and all parts are simulated side by side.
     """
-    report = backtest.report(stacked(window_parts(bars, windows, train, step, least), names), settings)
+    report = backtest.report(signals(window_parts(bars, windows, train, step, least), names), settings)
     part, window = F.substring_index("symbol", "|", -1), F.substring_index(F.substring_index("symbol", "|", -2), "|", 1)
     of = lambda c, p: F.max(F.when(part == p, F.col(c)))
     return report.groupBy(F.regexp_replace("symbol", r"\|[0-9]+\|[a-z]+$", "").alias("symbol"), "strategy", window.cast("int").alias("window")).agg(
