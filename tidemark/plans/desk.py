@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import alerts, backtest, cleaning, consensus, desk, features, knowledge, learn, manifest, portfolio, retrieval, signals, splits, vector_index
 from tidemark.operators import text as docs
-from tidemark.plans.queries import _CROSS, _LISTS, _MACD, _SCORES, _VOTES, _WEIGHTS, BARS, W, _scratch, query, r6, scored_signals, table, votes_of
+from tidemark.plans.queries import _CROSS, _LISTS, _MACD, _SCORES, _VOTES, _WEIGHTS, BARS, ORACLE_SQL, W, _scratch, query, r6, scored_signals, sql_roll, table, votes_of
 from tidemark.sources import bars as B
 from tidemark.sources import files as files_
 from tidemark.sources import tolerant
 
+#: The MACD in SQL after the crossing means, its tables named otherwise.
+_MACD_2 = re.sub(r"\b([fms])( AS \(SELECT \*|\)(?=[,\s]|$))", r"\g<1>2\g<2>", _MACD.removeprefix(_LISTS)) + f", u2 AS (SELECT symbol, unnest(t) AS ts, unnest(macd) - unnest(sig) AS h FROM s2), p2 AS (SELECT *, lag(h) OVER {W}) AS h1 FROM u2)"
+_MACD_SIGNAL = "CASE WHEN h1 <= 0 AND h > 0 THEN 'BUY' WHEN h1 >= 0 AND h < 0 THEN 'SELL' ELSE 'HOLD' END"
+
 # scans and lists
 
 
@@ -116,7 +120,12 @@ def alerts_summary(spark, d):
     return r6(portfolio.alert_summary(alerts.matches(scored_signals(spark, d), alerts.default_rules(spark))))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CROSS}{_MACD_2}, c AS (SELECT symbol, ts, signal, least(0.5 + 20 * abs((f - s) / nullif(s, 0)), 0.95) AS conf FROM g WHERE signal <> 'HOLD' UNION ALL SELECT symbol, ts, {_MACD_SIGNAL}, 0.6 FROM p2 WHERE {_MACD_SIGNAL} <> 'HOLD'),
+    r(rule, level, ms, mc, wait) AS (VALUES ('strong_signal', 'WARNING', 0.50, 0.40, 300), ('critical_signal', 'CRITICAL', 0.75, 0.60, 120), ('any_signal', 'INFO', 0.30, 0.0, 60)),
+    a AS MATERIALIZED (SELECT symbol, rule, level, ts, signal, wait, row_number() OVER (PARTITION BY symbol, rule ORDER BY ts, signal) AS k FROM c JOIN r ON conf >= ms AND conf >= mc),
+    z AS (SELECT symbol, rule, level, ts, signal, k, ts AS kept, true AS keep FROM a WHERE k = 1 UNION ALL
+        SELECT a.symbol, a.rule, a.level, a.ts, a.signal, a.k, CASE WHEN epoch(a.ts) - epoch(z.kept) >= a.wait THEN a.ts ELSE z.kept END, epoch(a.ts) - epoch(z.kept) >= a.wait FROM z JOIN a ON a.symbol = z.symbol AND a.rule = z.rule AND a.k = z.k + 1)
+    SELECT symbol, CAST(ts AS VARCHAR) AS ts, signal, rule, level FROM z WHERE keep""")
 def alerts_watched(spark, d):
     """What a watcher of two strategies sends for all bars."""
     return r6(desk.strategy_alerts(B.hourly_bars(spark, d), ["ma_cross", "macd"], alerts.default_rules(spark)).select("symbol", "ts", "signal", "rule", "level"))
@@ -215,22 +224,27 @@ def _close(when: str, cash: str, side: str, entry: str, q: str) -> str:
     return f"{cash} + CASE WHEN {when} THEN CASE WHEN {side} > 0 THEN {fill} * {q} ELSE {side} * ({fill} - {entry}) * {q} END - {fee} ELSE 0 END"
 
 
-def _pnl(when: str, side: str, entry: str, q: str) -> str:
-    """Profit of that close, null without one."""
+def _trade(when: str, side: str, entry: str, q: str, fee: str, since: str, at: str, reason: str) -> str:
+    """That close as a row, null without one."""
     fill = f"(close * (1 - {side} * least(greatest(0.0005 * (1 + coalesce({q} * close / nullif(adv * close, 0), 0)), 0.0001), 0.005)))"
-    return f"CASE WHEN {when} THEN {side} * ({fill} - {entry}) * {q} - greatest({fill} * {q} * 0.001, 1) END"
+    out = f"greatest({fill} * {q} * 0.001, 1)"
+    pnl = f"({side} * ({fill} - {entry}) * {q} - {out})"
+    return f"""CASE WHEN {when} THEN {{'side': CASE WHEN {side} > 0 THEN 'LONG' ELSE 'SHORT' END, 'entry_ts': {at}, 'entry_price': {entry}, 'exit_price': {fill}, 'quantity': {q}, 'pnl': {pnl},
+        'commission': {fee} + {out}, 'pnl_pct': {pnl} / ({entry} * {q}), 'reason': {reason}, 'hold_bars': k - {since}}} END"""
 
 
+_TRADE = "STRUCT(side VARCHAR, entry_ts TIMESTAMP, entry_price DOUBLE, exit_price DOUBLE, quantity DOUBLE, pnl DOUBLE, commission DOUBLE, pnl_pct DOUBLE, reason VARCHAR, hold_bars BIGINT)"
 #: The steps of a bar, each of which sees the columns of those before it.
 _STEPS = [
-    "side0 <> 0 AND (side0 * (close - entry0) / nullif(entry0, 0) <= -0.02 OR side0 * (close - entry0) / nullif(entry0, 0) >= 0.04) AS x1, CASE WHEN halted0 OR signal = 'HOLD' THEN 0 WHEN signal = 'BUY' THEN 1 ELSE -1 END AS s",
+    "side0 * (close - entry0) / nullif(entry0, 0) AS move, CASE WHEN halted0 OR signal = 'HOLD' THEN 0 WHEN signal = 'BUY' THEN 1 ELSE -1 END AS s",
+    "side0 <> 0 AND (move <= -st OR move >= tk) AS x1",
     f"{_close('x1', 'cash0', 'side0', 'entry0', 'q0')} AS cash1, CASE WHEN x1 THEN 0 ELSE side0 END AS side1",
     "s <> 0 AND side1 = -s AS x2",
     f"{_close('x2', 'cash1', 'side1', 'entry0', 'q0')} AS cash2, CASE WHEN x2 THEN 0 ELSE side1 END AS side2",
     "cash2 * 0.02 AS v, greatest(cash2 * 0.02 * 0.001, 1) AS fee",
     "s <> 0 AND side2 = 0 AND v > fee AS opens",
     "CASE WHEN opens THEN s ELSE side2 END AS side3, CASE WHEN opens THEN close * (1 + s * least(greatest(0.0005 * (1 + coalesce(v / nullif(adv * close, 0), 0)), 0.0001), 0.005)) ELSE entry0 END AS entry3, cash2 - CASE WHEN NOT opens THEN 0 WHEN s > 0 THEN v ELSE fee END AS cash3",
-    "CASE WHEN opens THEN (v - fee) / entry3 ELSE q0 END AS q3",
+    "CASE WHEN opens THEN (v - fee) / entry3 ELSE q0 END AS q3, CASE WHEN opens THEN fee ELSE fee0 END AS fee3, CASE WHEN opens THEN k ELSE since0 END AS since3, CASE WHEN opens THEN ts ELSE at0 END AS at3",
     "CASE side3 WHEN 0 THEN cash3 WHEN 1 THEN cash3 + close * q3 ELSE cash3 + (entry3 - close) * q3 END AS now3",
     "greatest(peak0, now3) AS peak3",
     "NOT halted0 AND (peak3 - now3) / peak3 > 0.15 AS x4",
@@ -238,14 +252,17 @@ _STEPS = [
     "k = n AND side4 <> 0 AS x5",
     f"{_close('x5', 'cash4', 'side4', 'entry3', 'q3')} AS cash5, CASE WHEN x5 THEN 0 ELSE side4 END AS side5",
     "CASE WHEN side5 = 0 THEN cash5 ELSE now3 END AS equity, CAST(x1 AS INTEGER) + CAST(x2 AS INTEGER) + CAST(x4 AND side3 <> 0 AS INTEGER) + CAST(x5 AS INTEGER) AS closed",
-    f"{_pnl('x1 OR x2', 'side0', 'entry0', 'q0')} AS pa, {_pnl('(x4 AND side3 <> 0) OR x5', 'side3', 'entry3', 'q3')} AS pb",
+    _trade("x1 OR x2", "side0", "entry0", "q0", "fee0", "since0", "at0", "CASE WHEN x2 THEN 'signal_reversal' WHEN move <= -st THEN 'stop_loss' ELSE 'take_profit' END") + " AS ta",
+    _trade("(x4 AND side3 <> 0) OR x5", "side3", "entry3", "q3", "fee3", "since3", "at3", "CASE WHEN x5 THEN 'end_of_data' ELSE 'circuit_breaker' END") + " AS tb",
 ]
-_BAR = "SELECT b.symbol, b.ts, b.k, n, close, signal, adv, cash0, side0, entry0, q0, peak0, halted0 FROM z JOIN b ON b.symbol = z.symbol AND b.k = z.k + 1"
+_BAR = "SELECT b.symbol, b.ts, b.k, n, close, signal, st, tk, adv, cash0, side0, entry0, q0, peak0, halted0, fee0, since0, at0 FROM z JOIN b ON b.symbol = z.symbol AND b.k = z.k + 1"
 for _step in _STEPS:
     _BAR = f"SELECT *, {_step} FROM ({_BAR})"
-_RUN = f"""{_CROSS}, b AS MATERIALIZED (SELECT symbol, ts, c.close, signal, avg(c.volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS adv, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM g JOIN bars c USING (symbol, ts)),
-    z AS (SELECT symbol, NULL::TIMESTAMP AS ts, 0::BIGINT AS k, 100000.0::DOUBLE AS cash0, 0 AS side0, 0.0::DOUBLE AS entry0, 0.0::DOUBLE AS q0, 100000.0::DOUBLE AS peak0, false AS halted0, 0.0::DOUBLE AS equity, 0 AS closed, NULL::DOUBLE AS pa, NULL::DOUBLE AS pb FROM (SELECT DISTINCT symbol FROM b)
-        UNION ALL SELECT symbol, ts, k, cash5, side5, entry3, q3, peak3, halted0 OR x4, equity, closed, pa, pb FROM ({_BAR}))"""
+#: Runs of the signals of a table g (symbol, ts, signal) on bars; the stop and profit are columns there, or those of most strategies.
+_ROWS = "SELECT symbol, ts, c.close, signal, 0.02::DOUBLE AS st, 0.04::DOUBLE AS tk, avg(c.volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS adv, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM g JOIN bars c USING (symbol, ts)"
+_RUN = f"""{_CROSS}, b AS MATERIALIZED ({_ROWS}),
+    z AS (SELECT symbol, NULL::TIMESTAMP AS ts, 0::BIGINT AS k, 100000.0::DOUBLE AS cash0, 0 AS side0, 0.0::DOUBLE AS entry0, 0.0::DOUBLE AS q0, 100000.0::DOUBLE AS peak0, false AS halted0, 0.0::DOUBLE AS fee0, 0::BIGINT AS since0, NULL::TIMESTAMP AS at0, 0.0::DOUBLE AS equity, 0 AS closed, NULL::{_TRADE} AS ta, NULL::{_TRADE} AS tb FROM (SELECT DISTINCT symbol FROM b)
+        UNION ALL SELECT symbol, ts, k, cash5, side5, entry3, q3, peak3, halted0 OR x4, fee3, since3, at3, equity, closed, ta, tb FROM ({_BAR}))"""
 
 
 @query(f"WITH RECURSIVE {_RUN} SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(equity, 4) AS equity, closed FROM z WHERE k > 0")
@@ -261,24 +278,57 @@ def backtest_grid(spark, d):
     bars = B.hourly_bars(spark, d)
     symbols = bars.select("symbol").distinct().unionByName(spark.createDataFrame([("none",)], "symbol string"))
     jobs = symbols.crossJoin(F.broadcast(spark.createDataFrame([("ma_cross",), ("bollinger",), ("macd",), ("other",)], "strategy string")))
-    return r6(desk.backtest_grid(bars, jobs, ["ma_cross", "bollinger", "macd"]))
+    # null where a job has no run, so a double on every side
+    return r6(desk.backtest_grid(bars, jobs, ["ma_cross", "bollinger", "macd"]).withColumn("total_trades", F.col("total_trades").cast("double")))
 
 
 #: Bars of the parts of five anchored windows, once for each strategy: symbol is strategy|symbol|window|part.
 _PARTS = f"""{BARS.replace("bars AS", "whole AS", 1)}, counted AS (SELECT *, row_number() OVER {W}) - 1 AS r, count(*) OVER (PARTITION BY symbol) AS total FROM whole),
     cut AS (SELECT c.*, w, CAST(floor(total * CAST(0.6 AS DOUBLE)) AS BIGINT) + w * greatest(1, CAST(floor(total * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS a, greatest(1, CAST(floor(total * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS width FROM counted c, range(5) t(w)),
     bars AS MATERIALIZED (SELECT s || '|' || symbol || '|' || w || CASE WHEN r < a THEN '|train' ELSE '|test' END AS symbol, ts, open, high, low, close, volume FROM cut, (VALUES ('ma_cross'), ('macd')) t(s) WHERE r < least(a + width, total) AND least(a + width, total) - a >= 10)"""
-_WALK = f"""{_CROSS.replace(BARS, _PARTS)}{re.sub(r"\b([fms])( AS \(SELECT \*|\)(?=[,\s]|$))", r"\g<1>2\g<2>", _MACD.removeprefix(_LISTS))},
-    u2 AS (SELECT symbol, unnest(t) AS ts, unnest(macd) - unnest(sig) AS h FROM s2), p2 AS (SELECT *, lag(h) OVER {W}) AS h1 FROM u2),
-    g2 AS (SELECT symbol, ts, signal FROM g WHERE starts_with(symbol, 'ma_cross|') UNION ALL
-        SELECT symbol, ts, CASE WHEN h1 <= 0 AND h > 0 THEN 'BUY' WHEN h1 >= 0 AND h < 0 THEN 'SELL' ELSE 'HOLD' END FROM p2 WHERE starts_with(symbol, 'macd|'))"""
+_WALK = f"""{_CROSS.replace(BARS, _PARTS)}{_MACD_2},
+    g2 AS (SELECT symbol, ts, signal FROM g WHERE starts_with(symbol, 'ma_cross|') UNION ALL SELECT symbol, ts, {_MACD_SIGNAL} FROM p2 WHERE starts_with(symbol, 'macd|'))"""
 _WALK = _RUN.replace(_CROSS, _WALK).replace("FROM g JOIN bars", "FROM g2 JOIN bars").replace("peak3 > 0.15 AS", "peak3 > 1.0 AS")
+#: Bars of each symbol once for each of four strategies, and the runs of their signals: symbol is strategy|symbol.
+_EACH = f"""{BARS.replace("bars AS", "whole AS", 1)}, bars AS MATERIALIZED (SELECT s || '|' || symbol AS symbol, ts, open, high, low, close, volume FROM whole, (VALUES ('ma_cross'), ('rsi_reversion'), ('bollinger'), ('macd')) t(s))"""
+_FOUR = f"""{_CROSS.replace(BARS, _EACH)}{_MACD_2},
+    rc AS (SELECT *, coalesce(close - lag(close) OVER {W}), 0) AS ch FROM bars), rg AS (SELECT *, greatest(ch, 0) AS gain, greatest(-ch, 0) AS loss FROM rc), rm AS (SELECT *, {sql_roll("avg", "gain", 14)} AS mg, {sql_roll("avg", "loss", 14)} AS ml FROM rg),
+    rr AS (SELECT *, CASE WHEN ml = 0 AND mg > 0 THEN 100 ELSE 100 - 100 / (1 + mg / nullif(ml, 0)) END AS r FROM rm), rp AS (SELECT *, lag(r) OVER {W}) AS r1, lag(r, 2) OVER {W}) AS r2 FROM rr),
+    bm AS (SELECT *, {sql_roll("avg", "close", 20)} AS mid, {sql_roll("stddev_samp", "close", 20)} AS sd FROM bars), bb AS (SELECT *, (close - (mid - 2 * sd)) / nullif(4 * sd, 0) AS p FROM bm), bq AS (SELECT *, lag(p) OVER {W}) AS p1 FROM bb),
+    g4 AS (SELECT symbol, ts, signal, 0.02::DOUBLE AS st, 0.04::DOUBLE AS tk FROM g WHERE starts_with(symbol, 'ma_cross|') UNION ALL SELECT symbol, ts, {_MACD_SIGNAL}, 0.02, 0.04 FROM p2 WHERE starts_with(symbol, 'macd|')
+        UNION ALL SELECT symbol, ts, CASE WHEN r2 < 30 AND r1 < 30 AND r > 30 THEN 'BUY' WHEN r2 > 70 AND r1 > 70 AND r < 70 THEN 'SELL' ELSE 'HOLD' END, 0.015, 0.03 FROM rp WHERE starts_with(symbol, 'rsi_reversion|')
+        UNION ALL SELECT symbol, ts, CASE WHEN p1 < 0.05 AND p > 0.05 THEN 'BUY' WHEN p1 > 0.95 AND p < 0.95 THEN 'SELL' ELSE 'HOLD' END, 0.02, 0.03 FROM bq WHERE starts_with(symbol, 'bollinger|'))"""
+_FOUR = _RUN.replace(_CROSS, _FOUR).replace("0.02::DOUBLE AS st, 0.04::DOUBLE AS tk, avg(c.volume)", "st, tk, avg(c.volume)").replace("FROM g JOIN bars", "FROM g4 JOIN bars")
 #: Hours between bars to bars a year, days for runs of ten bars or fewer.
 _YEAR = "CASE WHEN n <= 10 OR m IS NULL THEN 252.0 WHEN m < 0.1 THEN 98280.0 WHEN m < 0.2 THEN 19656.0 WHEN m < 0.5 THEN 6552.0 WHEN m < 2 THEN 1638.0 WHEN m < 8 THEN 409.5 WHEN m < 48 THEN 252.0 WHEN m < 240 THEN 52.0 ELSE 12.0 END"
 
 
+#: Names of the same classes of spacings.
+_FRAME = "CASE WHEN n <= 10 OR m IS NULL THEN '1d' WHEN m < 0.1 THEN '1m' WHEN m < 0.2 THEN '5m' WHEN m < 0.5 THEN '15m' WHEN m < 2 THEN '1h' WHEN m < 8 THEN '4h' WHEN m < 48 THEN '1d' WHEN m < 240 THEN '1wk' ELSE '1mo' END"
+#: Trades and reports of the four strategies' runs.
+_TRADES = f"""{_FOUR}, y0 AS MATERIALIZED (SELECT symbol, ts, k, equity, ta, tb FROM z WHERE k > 0),
+    tr AS MATERIALIZED (SELECT split_part(symbol, '|', 2) AS symbol, split_part(symbol, '|', 1) AS strategy, ts AS exit_ts, unnest(t) FROM (SELECT symbol, ts, unnest(list_filter([ta, tb], lambda x: x IS NOT NULL)) AS t FROM y0)),
+    ts AS (SELECT symbol, strategy, count(*) AS n_trades, CAST(count(*) FILTER (pnl > 0) AS BIGINT) AS n_wins, avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, least(999.0::DOUBLE, coalesce(sum(pnl) FILTER (pnl > 0), 0) / CASE WHEN coalesce(sum(pnl) FILTER (pnl <= 0), 0) = 0 THEN 1 ELSE abs(sum(pnl) FILTER (pnl <= 0)) END) AS profit_factor,
+        coalesce(avg(pnl_pct) FILTER (pnl > 0), 0) AS mean_win_pct, coalesce(avg(pnl_pct) FILTER (pnl <= 0), 0) AS mean_loss_pct, sum(commission) AS commission, avg(hold_bars) AS mean_hold FROM tr GROUP BY ALL)"""
+_REPORT = f"""{_TRADES}, y1 AS (SELECT *, max(equity) OVER {W} ROWS UNBOUNDED PRECEDING) AS peak, (equity - lag(equity) OVER {W})) / nullif(lag(equity) OVER {W}), 0) AS ret, (epoch(ts) - epoch(lag(ts) OVER {W}))) / 3600 AS h FROM y0),
+    y2 AS (SELECT *, (equity - peak) / nullif(peak, 0) AS dd FROM y1), y3 AS (SELECT *, sum(CAST(dd >= 0 AS BIGINT)) OVER {W} ROWS UNBOUNDED PRECEDING) AS island FROM y2), y4 AS (SELECT *, sum(CAST(dd < 0 AS BIGINT)) OVER (PARTITION BY symbol, island) AS under FROM y3),
+    y5 AS (SELECT symbol, arg_max(equity, ts) AS final_equity, max(-dd) AS max_drawdown, CAST(max(under) AS BIGINT) AS longest_drawdown, avg(ret) AS mean, stddev_pop(ret) AS sd, coalesce(stddev_pop(ret) FILTER (ret < 0), 1) AS neg, median(h) AS m, count(*) AS n FROM y4 GROUP BY symbol),
+    y6 AS (SELECT split_part(symbol, '|', 2) AS symbol, split_part(symbol, '|', 1) AS strategy, final_equity, final_equity / 100000 - 1 AS total_return, max_drawdown, longest_drawdown, coalesce(mean / nullif(sd, 0) * sqrt({_YEAR}), 0) AS sharpe, coalesce(mean / nullif(neg, 0) * sqrt({_YEAR}), 0) AS sortino,
+        coalesce((final_equity / 100000 - 1) / nullif(max_drawdown, 0), 0) AS calmar, {_FRAME} AS timeframe FROM y5),
+    rep AS (SELECT y6.*, coalesce(n_trades, 0) AS n_trades, coalesce(n_wins, 0) AS n_wins, coalesce(win_rate, 0) AS win_rate, coalesce(profit_factor, 0) AS profit_factor, coalesce(mean_win_pct, 0) AS mean_win_pct, coalesce(mean_loss_pct, 0) AS mean_loss_pct, coalesce(commission, 0) AS commission, coalesce(mean_hold, 0) AS mean_hold FROM y6 LEFT JOIN ts USING (symbol, strategy))"""
+_RATES = ", ".join(f"round({c}, 6) AS {c}" for c in ("win_rate", "profit_factor", "mean_win_pct", "mean_loss_pct", "commission", "mean_hold"))
+
+ORACLE_SQL["backtest_trades"] = f"""WITH RECURSIVE {_TRADES} SELECT symbol, strategy, CAST(exit_ts AS VARCHAR) AS exit_ts, side, CAST(entry_ts AS VARCHAR) AS entry_ts, {", ".join(f"round({c}, 6) AS {c}" for c in ("entry_price", "exit_price", "quantity", "pnl", "commission", "pnl_pct"))}, reason, hold_bars FROM tr"""
+ORACLE_SQL["backtest_report"] = f"""WITH RECURSIVE {_REPORT} SELECT symbol, strategy, longest_drawdown, timeframe, n_trades, n_wins, {", ".join(f"round({c}, 6) AS {c}" for c in ("final_equity", "total_return", "max_drawdown", "sharpe", "sortino", "calmar"))}, {_RATES} FROM rep"""
+ORACLE_SQL["backtest_best"] = f"""WITH RECURSIVE {_REPORT} SELECT symbol, strategy, round(sharpe, 6) AS sharpe, round(total_return, 6) AS total_return FROM rep QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, strategy DESC) = 1"""
+ORACLE_SQL["backtest_metrics_by_trade"] = f"""WITH RECURSIVE {_TRADES} SELECT symbol, strategy, n_trades, n_wins, {_RATES} FROM ts WHERE strategy IN ('ma_cross', 'macd')"""
+ORACLE_SQL["backtest_grid"] = f"""WITH RECURSIVE {_REPORT}, jobs AS (SELECT symbol, strategy FROM (SELECT DISTINCT event_type AS symbol FROM events UNION ALL SELECT 'none'), (VALUES ('ma_cross'), ('bollinger'), ('macd'), ('other')) t(strategy))
+    SELECT jobs.symbol, jobs.strategy AS strategy_name, {", ".join(f"round({ours}, 6) AS {name}" for name, ours in desk.GRID.items() if name not in ("symbol", "strategy_name", "total_trades"))}, CAST(n_trades AS DOUBLE) AS total_trades, CASE WHEN jobs.strategy = 'other' THEN 'unknown strategy: other' WHEN final_equity IS NULL THEN 'no_data' END AS error
+    FROM jobs LEFT JOIN rep USING (symbol, strategy)"""
+
+
 @query(f"""WITH RECURSIVE {_WALK}, y1 AS (SELECT *, (equity - lag(equity) OVER {W})) / nullif(lag(equity) OVER {W}), 0) AS ret, (epoch(ts) - epoch(lag(ts) OVER {W}))) / 3600 AS h FROM z WHERE k > 0),
-    y2 AS (SELECT symbol, arg_max(equity, ts) / 100000 - 1 AS total_return, avg(ret) AS mean, stddev_pop(ret) AS sd, median(h) AS m, count(*) AS n, count(pa) + count(pb) AS trades, count(*) FILTER (pa > 0) + count(*) FILTER (pb > 0) AS wins FROM y1 GROUP BY symbol),
+    y2 AS (SELECT symbol, arg_max(equity, ts) / 100000 - 1 AS total_return, avg(ret) AS mean, stddev_pop(ret) AS sd, median(h) AS m, count(*) AS n, count(ta.pnl) + count(tb.pnl) AS trades, count(*) FILTER (ta.pnl > 0) + count(*) FILTER (tb.pnl > 0) AS wins FROM y1 GROUP BY symbol),
     y3 AS (SELECT string_split(symbol, '|') AS k, total_return, coalesce(mean / nullif(sd, 0) * sqrt({_YEAR}), 0) AS sharpe, coalesce(wins / nullif(trades, 0), 0) AS win_rate FROM y2),
     y4 AS (SELECT k[2] AS symbol, k[1] AS strategy, k[3] AS w, max(sharpe) FILTER (k[4] = 'train') AS a, max(sharpe) FILTER (k[4] = 'test') AS b, max(total_return) FILTER (k[4] = 'test') AS tr, max(win_rate) FILTER (k[4] = 'test') AS wr FROM y3 GROUP BY ALL),
     y5 AS (SELECT symbol, strategy, avg(b) AS mean_sharpe, avg(tr) AS mean_return, avg(wr) AS mean_win_rate, coalesce(avg(CASE WHEN b <> 0 THEN least(a / b, 10.0) END), 0) AS overfit, count(*) AS n, stddev_pop(b) AS sd FROM y4 GROUP BY ALL),
