@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -347,16 +348,22 @@ def learn_cross_validated(spark, d):
     return r6(splits.fold_summary(learn.cross_validate(rows, ["rsi", "bb_position", "volume_ratio", "returns", "volatility_20"], "price_up", trees=3, depth=3), ["model"]))
 
 
-@query("""SELECT doc_id, quality + toxic AS total, CASE WHEN quality = 0 THEN 'Infinity'::DOUBLE ELSE CAST(toxic + 0.9 AS DOUBLE) / quality END AS overfit, CAST(quality AS DOUBLE) > 0.70 AS suspicious, CASE WHEN quality = 0 THEN true ELSE (toxic + 0.9) / quality > 1.5 END AS overfitted FROM labels""")
+@query(f"""WITH {BARS}, n AS (SELECT symbol, (close > lag(close) OVER {W})) = (lead(close) OVER {W}) > close) AS hit, row_number() OVER {W}) - 1 AS r, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+    a AS (SELECT symbol, avg(CAST(hit AS DOUBLE)) FILTER (r < floor(n * CAST(0.8 AS DOUBLE))) AS train, avg(CAST(hit AS DOUBLE)) FILTER (r >= floor(n * CAST(0.8 AS DOUBLE))) AS test FROM n GROUP BY symbol)
+    SELECT symbol, round(train, 6) AS train, round(test, 6) AS test, round(CASE WHEN test <= 0 THEN 'Infinity'::DOUBLE ELSE train / test END, 6) AS overfit, test > 0.70 AS suspicious, CASE WHEN test <= 0 THEN true ELSE train / test > 1.5 END AS overfitted FROM a""")
 def learn_flags(spark, d):
-    rows = table(spark, d, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("total"), (F.col("toxic") + 0.9).cast("double").alias("train"), F.col("quality").cast("double").alias("test"))
-    return learn.accuracy_flags(rows).select("doc_id", "total", "overfit", "suspicious", "overfitted")
+    """How often the last change tells the sign of the next, in the first four fifths of a symbol's bars and in the rest, with flags."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    hit = (F.col("close") > F.lag("close").over(w)) == (F.lead("close").over(w) > F.col("close"))
+    rows = B.hourly_bars(spark, d).select("symbol", hit.cast("double").alias("hit"), (F.row_number().over(w) - 1 < F.floor(F.count("*").over(Window.partitionBy("symbol")) * F.lit(0.8))).alias("early"))
+    scores = rows.groupBy("symbol").agg(F.avg(F.when(F.col("early"), F.col("hit"))).alias("train"), F.avg(F.when(~F.col("early"), F.col("hit"))).alias("test"))
+    return r6(learn.accuracy_flags(scores))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 2 WHEN 1 THEN 'BUY' ELSE 'SELL' END AS two, CASE o_orderkey % 3 WHEN 2 THEN 'BUY' WHEN 0 THEN 'SELL' ELSE 'HOLD' END AS three FROM orders""")
+@query("""SELECT doc_id, CASE quality WHEN 1 THEN 'BUY' ELSE 'SELL' END AS two, CASE quality + toxic WHEN 2 THEN 'BUY' WHEN 0 THEN 'SELL' ELSE 'HOLD' END AS three FROM labels""")
 def learn_actions(spark, d):
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", learn.prediction_action(k % 2, 2).alias("two"), learn.prediction_action(k % 3, 3).alias("three"))
+    """The classes of labels as predictions of a model of two and of one of three classes."""
+    return table(spark, d, "labels").select("doc_id", learn.prediction_action(F.col("quality"), 2).alias("two"), learn.prediction_action(F.col("quality") + F.col("toxic"), 3).alias("three"))
 
 
 # bars, cleaning and features that were constants
