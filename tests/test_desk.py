@@ -194,3 +194,17 @@ def test_sinks(spark, bars, tmp_path):
     assert "&lt;t&gt;" in page and page.count("<tr>") == 4 and table.count("\n") == 4
     reports.write_json(report, backtest.simulate(signals.macd_histogram(bars)).select("symbol", "strategy", "ts", "equity"), f"{tmp_path}/json", most=100)
     assert spark.read.json(f"{tmp_path}/json/metrics").count() == 3 and spark.read.json(f"{tmp_path}/json/curves").count() == 300
+
+
+def test_histogram_counts_every_row(spark):
+    rows = spark.createDataFrame([(v,) for v in (-1.0, -0.95, 0.0, 0.99, 1.0, 1.1, -7.0, None, float("nan"))], "v double")
+    got = {r.bin: r.n for r in desk.histogram(rows, "v", -1.0, 1.0).collect()}
+    assert got == {0: 2, 10: 1, 19: 2, 20: 1, -1: 1, None: 2}
+
+
+def test_overview_of_each_symbol(spark, bars):
+    got = {r.symbol: r for r in desk.overview(bars).collect()}
+    own = bars.where("symbol = 'BBB'").toPandas().sort_values("ts")
+    assert set(got) == {"AAA", "BBB", "CCC"} and got["BBB"].pct == pytest.approx((own.close.iloc[-1] / own.close.iloc[0] - 1) * 100)
+    zero = bars.where("symbol = 'AAA'").withColumn("close", F.lit(0.0))
+    assert desk.overview(zero).head().pct is None and desk.overview(bars.where("false")).count() == 0

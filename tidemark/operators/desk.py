@@ -135,6 +135,23 @@ def backtest_grid(bars: DataFrame, jobs: DataFrame, names: list[str], settings:
     return joined.select(*(F.col(ours).alias(name) for name, ours in GRID.items()), error.alias("error"))
 
 
+def overview(bars: DataFrame) -> DataFrame:
+    """symbol, first, last (closes by time), pct (change between them in per cent, null from 0), high, volume (mean): one row a symbol."""
+    ends = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first"), F.max_by("close", "ts").alias("last"), F.max("high").alias("high"), F.avg("volume").alias("volume"))
+    return ends.select("symbol", "first", "last", (F.try_divide(F.col("last") - F.col("first"), F.col("first")) * 100).alias("pct"), "high", "volume")
+
+
+def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int = 20) -> DataFrame:
+    """bin (from 0), n: rows in each of `bins` equal parts of low to high that has any; `high` belongs to the last part.
+
+    Values below or above are in bins -1 and `bins`, null and NaN in the bin null, so the counts sum to the rows.
+    """
+    value = F.col(column).cast("double")
+    inside = F.least(F.floor((value - low) / ((high - low) / bins)), F.lit(bins - 1))
+    place = F.when(value.isNull() | F.isnan(value), F.lit(None)).when(value < low, -1).when(value > high, bins).otherwise(inside)
+    return rows.groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
 #: Analyses of windows trade on whatever the drawdown.
 NO_BREAKER = backtest.Settings(max_drawdown=1.0)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.windows import ema
 from tidemark.operators import alerts, anomaly, backtest, cleaning, consensus, features, joins, learn, manifest, portfolio, retrieval, signals, splits
+from tidemark.operators import desk as desk_
 from tidemark.operators import text as docs
 from tidemark.sources import bars as B
 from tidemark.sources import files as files_
@@ -529,14 +530,12 @@ def metrics_downsampled(spark, d):
 
 @query(f"WITH {BARS} SELECT symbol, round(arg_min(close, ts), 6) AS first, round(arg_max(close, ts), 6) AS last, round((arg_max(close, ts) - arg_min(close, ts)) / arg_min(close, ts) * 100, 6) AS pct, round(max(high), 6) AS high, round(avg(volume), 6) AS volume FROM bars GROUP BY symbol")
 def metrics_overview(spark, d):
-    first, last = F.min_by("close", "ts"), F.max_by("close", "ts")
-    return r6(B.hourly_bars(spark, d).groupBy("symbol").agg(first.alias("first"), last.alias("last"), ((last - first) / first * 100).alias("pct"), F.max("high").alias("high"), F.avg("volume").alias("volume")))
+    return r6(desk_.overview(B.hourly_bars(spark, d)))
 
 
 @query(f"WITH {_SCORES} SELECT CAST(least(floor((c + 1) / 0.1), 19) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1")
 def metrics_histogram(spark, d):
-    scores = consensus.consensus(consensus.usable(votes_of(spark, d)))
-    return scores.groupBy(F.least(F.floor((F.col("consensus") + 1) / 0.1), F.lit(19)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return desk_.histogram(consensus.consensus(consensus.usable(votes_of(spark, d))), "consensus", -1.0, 1.0)
 
 
 # splits and learning
