@@ -579,7 +579,7 @@ def test_queries_agree_with_their_sql_at_the_smallest_size(spark):
     import duckdb
 
     connection = duckdb.connect()
-    for name in ("pages", "conversations", "documents"):
+    for name in ("pages", "conversations", "documents", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), connection.execute(sql).df()
