@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, stored
 
-#: Lists at most; rows of the sample that fits the centres, at most; rows of a block and anchors of a slice, about.
+#: Lists at most; rows of the sample that fits the centres (of larger tables, about: a share of the hashes); rows of a block and anchors of a slice, about.
 CELLS, SAMPLE, BLOCK, SLICE = 256, 32768, 16384, 16384
 #: Lists that an anchor has visited after each round.
 ROUNDS = (8, 64, CELLS)
@@ -65,7 +65,7 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 def inverted_lists(rows: DataFrame, dims: int, n: int) -> Lists:
     """Lists of all `n` rows (row, id, label, vec of `dims` integers): sqrt(n) / 2 of them, CELLS at most.
 
-    The centres are fitted on the SAMPLE rows, at most, with the least hashes.
+    The centres are fitted on all rows, or on about SAMPLE of them, chosen by hash.
     """
     cells = max(1, min(CELLS, round(math.sqrt(n) / 2)))
     part = rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("id", "row"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / n))
