@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.retrieval import nearest
 from tidemark.sources.commits import Commits
 
-#: Cells at most; vectors that fit the centres and trial queries that calibrate a search, at most; rows of a block, queries of a slice, about.
+#: Cells at most; vectors that fit the centres (of larger tables, about: a share of the hashes); trial queries that calibrate a search, at most; rows of a block, queries of a slice, about.
 CELLS, SAMPLE, TRIALS, BLOCK, SLICE = 1024, 65536, 256, 16384, 8192
 
 
