@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.functions import text as T
 from tidemark.functions.windows import ema
 from tidemark.operators import alerts, anomaly, backtest, cleaning, consensus, features, manifest, retrieval, signals, splits
 from tidemark.operators import text as docs
+from tidemark.plans.queries import ORACLE_SQL, QUERIES
 from tidemark.sources import bars as B
 from tidemark.sources import files
 from tidemark.streaming import streams
@@ -122,6 +124,20 @@ def test_cleaning(spark):
     assert cleaning.between(table, "2025-01-01 01:00:00", "2025-01-01 02:00:00").count() == 2
 
 
+@pytest.mark.parametrize("name", ["clean_bars"])
+def test_bars_with_prices_of_zero(spark, tmp_path, name):
+    """An hour that begins at 0 is kept by the queries, whose SQL looks at closes; `validate` by itself wants all prices positive."""
+    rows = [(i, START + dt.timedelta(minutes=20 * i), 1, "a", v) for i, v in enumerate([0.0, 2.0, 3.0, 4.0, 5.0, 0.0, 7.0, 0.0, 9.0])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as c:
+        c.execute("SET TimeZone = 'UTC'")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.execute(ORACLE_SQL[name]).fetchall()
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 2
+    bars = B.hourly_bars(spark, str(tmp_path))
+    assert cleaning.validate(bars).count() == 0 and cleaning.validate(bars, prices=["close"]).count() == 2
+
+
 def test_splits_of_prices(spark):
     closes = [100, 101, 50.4, 51, 17.1, 17, 34, 30]
     df = spark.createDataFrame([("X", START + dt.timedelta(days=i), float(c)) for i, c in enumerate(closes)], "symbol string, ts timestamp_ntz, close double")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +52,12 @@ def keep_last(bars: DataFrame, order: str = "seq") -> DataFrame:
     return bars.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def validate(bars: DataFrame, strict: bool = False) -> DataFrame:
-    """Without rows of prices <= 0, high < low or negative volume. Nulls pass, unless `strict`."""
-    ok = (F.least("open", "high", "low", "close") > 0) & (F.col("high") >= F.col("low")) & (F.col("volume") >= 0)
+def validate(bars: DataFrame, strict: bool = False, prices: Sequence[str] = ("open", "high", "low", "close")) -> DataFrame:
+    """Without rows in which one of `prices` is <= 0, high < low or negative volume. Nulls pass, unless `strict`, which asks for all four prices."""
+    tests = [*(F.col(c) > 0 for c in prices), F.col("high") >= F.col("low"), F.col("volume") >= 0]
     if strict:
-        for c in ("open", "high", "low", "close"):
-            ok = ok & F.col(c).isNotNull()
-    return bars.where(F.coalesce(ok, F.lit(False)) if strict else F.coalesce(ok, F.lit(True)) & F.coalesce(F.least("open", "high", "low", "close") > 0, F.lit(True)) & F.coalesce(F.col("high") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("volume") >= 0, F.lit(True)))
+        tests += [F.col(c).isNotNull() for c in ("open", "high", "low", "close")]
+    return bars.where(reduce(and_, (F.coalesce(t, F.lit(not strict)) for t in tests)))
 
 
 def between(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
