@@ -2,9 +2,11 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,26 @@ def test_titles_find_their_books(spark):
     assert QUERIES["manifest_titles"](spark, SF).count() >= 10
 
 
+def test_search_holds_few_similarities_at_once():
+    """A full batch meets a full block of queries in bounded memory (one product of both took 1.3 GB), whatever came in the batches before."""
+    gen = np.random.default_rng(8)
+    v, block = gen.integers(-2, 3, size=(10_000, 8)).astype(float), retrieval._units(gen.normal(size=(retrieval.BLOCK, 8)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, 10_000, 2)[::-1]), pa.array(v[i::2][::-1].tolist())], names=["vec_id", "v"]) for i in (0, 1)]
+    best, found = np.full((len(block), 3), -np.inf), {}
+    tracemalloc.start()
+    for batch in batches:
+        for out in retrieval._best(batch, pa.array(np.arange(len(block))), block, best):
+            for q, i, x in zip(*(c.to_pylist() for c in out.columns)):
+                found.setdefault(q, []).append((-x, i))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for q in range(0, len(block), 97):
+        s = np.round(retrieval._units(v) @ block[q], 12)
+        s[np.isnan(s)] = -np.inf
+        assert [i for _, i in sorted(found[q])[:3]] == np.argsort(-s, kind="stable")[:3].tolist()
+
+
 def test_topics_of_the_nearest_directory(spark):
     topics = spark.createDataFrame([("gann", "gann"), ("rsi", "rsi")], "name string, topic string")
     paths = {"Gann/ RSI /a.pdf": "rsi", "/gann/x/b.pdf": "gann", "other/c.pdf": None, "gann/1/2/3/d.pdf": None, "e.pdf": None}

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries of a search that are sent to tasks at once.
-BLOCK = 4096
+#: Queries of a search that are sent to tasks at once; similarities that a task holds at once, about.
+BLOCK, HELD = 4096, 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,8 +29,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact k nearest by cosine of a stated set of queries among all vectors; ties by vec_id.
 
     Queries go out BLOCK at a time, so what is sent to tasks is bounded; each block is a pass over the vectors. A batch of vectors
-    meets a block as one matrix product, of which each query keeps its k best before anything is shuffled. Vectors of zeros and
-    nulls have no similarity and are left out; a query that several rows ask is one if their vectors are the same.
+    meets a block in matrix products of about HELD similarities, of which each query keeps its k best before anything is shuffled; a
+    task remembers the k best similarities of its earlier batches, and what is below them isn't sent. Vectors of zeros and nulls have no similarity and are left out; a query that several rows ask is one if their vectors are the same.
     """
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double"
     rows = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -38,9 +38,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     for ids, block in _blocks(queries):
 
         def run(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, block: np.ndarray = block) -> Iterator[pa.RecordBatch]:
+            best = np.full((len(block), k), -np.inf)
             for batch in batches:
                 if batch.num_rows:
-                    yield _best(batch, ids, block, k)
+                    yield from _best(batch, ids, block, best)
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
@@ -71,19 +72,24 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
         yield pa.array(ids, kind), _units(np.array(held))
 
 
-def _best(batch: pa.RecordBatch, ids: pa.Array, block: np.ndarray, k: int) -> pa.RecordBatch:
-    """Of each query its k best rows of the batch; of equal ones those with the least vec_id."""
-    order = pc.sort_indices(batch.column(0))
-    lists = batch.column(1).take(order)
+def _best(batch: pa.RecordBatch, ids: pa.Array, block: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each query its k best rows of the batch, of equal ones those with the least vec_id, unless `best`, the k best similarities so far, are above them; `best` is kept up."""
+    order, k = pc.sort_indices(batch.column(0)), best.shape[1]
+    names, lists = batch.column(0).take(order), batch.column(1).take(order)
     v = _units(lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-    # rounded, so that equal vectors are equal whatever batch they are in
-    s = np.round(v @ block.T, 12).T
-    s[np.isnan(s)] = -np.inf
-    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    values = np.take_along_axis(s, best, axis=1)
-    keep = np.isfinite(values)
-    query = np.broadcast_to(np.arange(len(block))[:, None], best.shape)[keep]
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(order).take(pa.array(best[keep])), pa.array(values[keep])], names=["query_id", "vec_id", "similarity"])
+    step = max(1, HELD // batch.num_rows)
+    for at in range(0, len(block), step):
+        # rounded, so that equal vectors are equal whatever batch they are in
+        s = np.round(block[at : at + step] @ v.T, 12)
+        s[np.isnan(s)] = -np.inf
+        both = np.concatenate([best[at : at + step], s], axis=1)
+        best[at : at + step] = np.partition(both, -k, axis=1)[:, -k:]
+        query, row = np.nonzero((s >= best[at : at + step].min(axis=1, keepdims=True)) & np.isfinite(s))
+        values = s[query, row]
+        sort = np.lexsort((row, -values, query))
+        query, row, values = query[sort], row[sort], values[sort]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + query[keep])), names.take(pa.array(row[keep])), pa.array(values[keep])], names=["query_id", "vec_id", "similarity"])
 
 
 def mmr(candidates: DataFrame, k: int = 15, trade: float = 0.7) -> DataFrame:
