@@ -1,8 +1,10 @@
 """Titles looked up among books, and vectors in an index, against comparing all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,16 @@ def test_index_of_awkward_rows(spark, tmp_path, monkeypatch):
     assert index.search(queries.where("false"), 5).count() == 0
     with pytest.raises(ValueError):
         vector_index.VectorIndex.build(vectors.where("vec_id = 2001"), f"{tmp_path}/none")
+
+
+def test_cells_in_few_similarities_at_once(monkeypatch):
+    """Cells of a batch are those of one product, in bounded memory (the order of all cells took 250 MB for a batch of full size)."""
+    gen = np.random.default_rng(5)
+    centres, units = gen.normal(size=(vector_index.CELLS, 8)), pd.Series(list(gen.normal(size=(10_000, 8))))
+    want = np.argsort(-(np.stack(units.to_numpy()) @ centres.T), axis=1, kind="stable")
+    for first in (1, 5):
+        tracemalloc.start()
+        got = np.stack(next(vector_index._order(centres, first).func(iter([units]))).to_numpy())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (got == want[:, :first]).mean() > 0.999 and peak < 60e6

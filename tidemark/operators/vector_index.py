@@ -21,6 +21,8 @@ from tidemark.sources.commits import Commits
 
 #: Cells at most; vectors that fit the centres (of larger tables, about: a share of the hashes); trial queries that calibrate a search, at most; rows of a block, queries of a slice, about.
 CELLS, SAMPLE, TRIALS, BLOCK, SLICE = 1024, 65536, 256, 16384, 8192
+#: Similarities that a task holds at once, about.
+HELD = 1 << 19
 
 
 def _directions(vectors: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ class VectorIndex:
     def visits(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
         """query_id, unit, cell: the cells that a search looks into, those whose centres are nearest."""
         asked = _directions(queries.withColumnRenamed("query_id", "vec_id")).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
-        return asked.withColumn("cell", F.explode(F.slice(_order(self.centres)("unit"), 1, min(probes or self.probes, len(self.centres)))))
+        cells, probes = len(self.centres), min(probes or self.probes, len(self.centres))
+        return asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)) if probes == cells else _order(self.centres, probes)("unit")))
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """query_id, vec_id, similarity, rank: of the vectors in the visited cells the k nearest by cosine, ties by vec_id.
@@ -101,7 +104,7 @@ class VectorIndex:
             x, q = (t["unit"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (rows, guests))
             ids, asked = rows["vec_id"].to_numpy(), guests["query_id"].to_numpy()
             out = []
-            step = max(1, (1 << 22) // len(x))
+            step = max(1, HELD // len(x))
             for at in range(0, len(q), step):
                 s = np.round(q[at : at + step] @ x.T, 12)  # rounded, so that equal vectors are equal
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -113,21 +116,27 @@ class VectorIndex:
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _order(centres: np.ndarray):
-    """All cells by falling similarity of their centres."""
+def _order(centres: np.ndarray, first: int | None = None):
+    """The `first` cells (all, if None) by falling similarity of their centres; a task holds about HELD similarities at once."""
+    step = max(1, HELD // len(centres))
 
     @F.pandas_udf("array<int>")
     def order(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for units in batches:
-            s = np.array(units.tolist()) @ centres.T if len(units) else np.zeros((0, len(centres)))
-            yield pd.Series(list(np.argsort(-s, axis=1, kind="stable").astype(np.int32)))
+            out: list[np.ndarray] = []
+            for at in range(0, len(units), step):
+                s = np.stack(units.iloc[at : at + step].to_numpy()) @ centres.T
+                # copied, so that a row doesn't hold on to all of its order
+                cells = s.argmax(axis=1)[:, None] if first == 1 else np.argsort(-s, axis=1, kind="stable")[:, :first]
+                out.extend(cells.astype(np.int32))
+            yield pd.Series(out, dtype=object)
 
     return order
 
 
 def _listed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     """vec_id, unit, cell, block: cells with more than BLOCK rows have several blocks; rows of a cell lie together."""
-    celled = rows.withColumn("cell", _order(centres)("unit")[0])
+    celled = rows.withColumn("cell", _order(centres, 1)("unit")[0])
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))  # CELLS rows at most
     blocked = celled.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
     return blocked.select(F.col("vec_id").cast("long").alias("vec_id"), "unit", "cell", "block").repartition("cell", "block").sortWithinPartitions("cell", "block", "vec_id")
@@ -138,7 +147,7 @@ def _calibrated(trials: DataFrame, rows: DataFrame, centres: np.ndarray, k: int,
     exact = nearest(trials.select(F.col("vec_id").alias("query_id"), F.col("unit").alias("embedding")), rows.select("vec_id", F.col("unit").alias("embedding")), k)
     order = _order(centres)
     asked = trials.select(F.col("vec_id").alias("query_id"), order("unit").alias("order"))
-    homes = exact.join(rows, "vec_id").select("query_id", order("unit")[0].alias("cell")).join(asked, "query_id")
+    homes = exact.join(rows, "vec_id").select("query_id", _order(centres, 1)("unit")[0].alias("cell")).join(asked, "query_id")
     depths = homes.groupBy(F.array_position("order", F.col("cell")).alias("depth")).agg(F.count("*").alias("n")).orderBy("depth").collect()  # CELLS rows at most
     total, sofar = sum(r.n for r in depths), 0
     for r in depths:
