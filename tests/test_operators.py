@@ -6,11 +6,12 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.windows import ema
-from tidemark.operators import alerts, anomaly, backtest, cleaning, consensus, features, manifest, retrieval, signals, splits
+from tidemark.operators import alerts, anomaly, backtest, cleaning, consensus, features, joins, manifest, portfolio, retrieval, signals, splits
 from tidemark.operators import text as docs
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 from tidemark.sources import bars as B
@@ -325,3 +326,19 @@ def test_decimals_are_rounded_from_the_binary_value(spark):
     df = spark.createDataFrame([(1280.0, 0.125, -0.125)], "n double, a double, b double")
     got = df.select(T.human_size(F.col("n")), T.fixed(F.col("a"), 2, plus=True), T.fixed(F.col("b"), 2, plus=True), T.fixed(F.col("n"), 1)).head()
     assert tuple(got) == ("1.2 KB", "+0.12", "-0.12", "1280.0")
+
+
+def test_sums_of_the_last_seconds_by_one_running_sum(spark):
+    """Rows of one instant, at the edges of spans, before 1970, without key or time: as the window of a range gives, without a frame that each row walks."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), dt.datetime(1970, 1, 1) + dt.timedelta(seconds=rng.choice([-1, 0, 10, 20, 30, rng.randrange(-50, 200)])), rng.choice([True, False, None])) for i in range(400)] + [(400, "a", None, False), (401, "a", None, False)]
+    table = spark.createDataFrame(rows, "i long, user string, ts timestamp, ok boolean")
+    w = Window.partitionBy("user").orderBy(F.unix_micros("ts"))
+    want = table.select("i", F.count("*").over(w.rangeBetween(-10_000_000, 0)).alias("calls"))
+    got = joins.calls_within(table, "user", 10)
+    assert got.columns == [*table.columns, "calls"] and sorted(map(tuple, got.select("i", "calls").collect())) == sorted(map(tuple, want.collect()))
+    want = table.where("ts IS NOT NULL").select("i", (F.coalesce(F.sum((~F.col("ok")).cast("int")).over(w.rangeBetween(-60_000_000, -1)), F.lit(0)) >= 5).alias("locked"))
+    locked = portfolio.lockouts(table.where("ts IS NOT NULL"), "user", minutes=1)
+    assert sorted(map(tuple, locked.select("i", "locked").collect())) == sorted(map(tuple, want.collect())) and {r.locked for r in locked.collect()} == {True, False}
+    for frame in (got, locked):  # before: a frame of bounded offsets, which Spark walks anew for each row
+        assert "specifiedwindowframe(RangeFrame, -" not in frame._jdf.queryExecution().optimizedPlan().toString()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import sum_within
+
 # Order states by the words that brokers use.
 STATES_A = {"new": "PENDING", "accepted": "ACCEPTED", "pending_new": "PENDING", "accepted_for_processing": "ACCEPTED", "partially_filled": "PARTIAL", "filled": "FILLED", "done_for_day": "FILLED", "canceled": "CANCELLED", "expired": "EXPIRED", "replaced": "CANCELLED", "pending_cancel": "PENDING", "pending_replace": "PENDING", "stopped": "FILLED", "rejected": "REJECTED", "suspended": "REJECTED", "calculated": "PENDING"}
 STATES_B = {"PendingSubmit": "PENDING", "PendingCancel": "PENDING", "PreSubmitted": "ACCEPTED", "Submitted": "ACCEPTED", "ApiPending": "PENDING", "ApiCancelled": "CANCELLED", "Cancelled": "CANCELLED", "Filled": "FILLED", "Inactive": "REJECTED"}
@@ -77,9 +79,8 @@ def key_expiry(issued: Column, today: Column, days: int = 90, warn: int = 7) ->
 
 def lockouts(attempts: DataFrame, by: str, most: int = 5, minutes: int = 15) -> DataFrame:
     """Attempts (by, ts, ok) with `locked`: `most` failures in the last minutes before it."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy(by).orderBy(at).rangeBetween(-minutes * 60_000_000, -1)
-    return attempts.withColumn("locked", F.coalesce(F.sum((~F.col("ok")).cast("int")).over(w), F.lit(0)) >= most)
+    failed = sum_within(attempts, by, minutes * 60_000_000, (~F.col("ok")).cast("int"), itself=False)
+    return failed.withColumn("locked", F.col("_within") >= most).drop("_within")
 
 
 def alert_summary(history: DataFrame) -> DataFrame:
