@@ -124,3 +124,12 @@ def test_keywords_without_short_and_stop_words(spark):
     frame = spark.createDataFrame([(1, "The market  market moves with\nprices and prices; zone zone zone"), (2, None), (3, "a an the")], "doc_id long, text string")
     got = [(r.word, r["count"]) for r in docs.keywords(frame, 3).orderBy("rank").collect()]
     assert got == [("zone", 3), ("market", 2), ("moves", 1)]
+
+
+def test_keywords_shuffle_texts_once(spark):
+    """Texts are dealt out by their document, and nothing for each word after that; what counts documents shuffles their words' counts besides."""
+    frame = spark.createDataFrame([(i % 5, "alpha beta gamma " * (i + 1)) for i in range(20)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(docs.keywords(frame, 3)).count("Exchange hashpartitioning(doc_id") == plan(docs.keywords(frame, 3)).count("Exchange ") == 1
+    frequency = plan(docs.document_frequency(docs.keywords(frame, 3)))
+    assert frequency.count("Exchange hashpartitioning(doc_id") == 1 and [tuple(r) for r in docs.document_frequency(docs.keywords(frame, 3)).collect()] == [("alpha", 5, 1), ("beta", 5, 2), ("gamma", 5, 3)]

@@ -72,10 +72,13 @@ def chunk_stats(made: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keywords(documents: DataFrame, n: int = 10, by: str = "doc_id") -> DataFrame:
-    """(by, rank, word, count): most frequent words of more than three letters; ties by first appearance."""
+    """(by, rank, word, count): most frequent words of more than three letters; ties by first appearance.
+
+    Texts are dealt out by their key once; counts and ranks of a key are made where its texts are, so no row for each word is shuffled.
+    """
     split = F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " ")
     # short and stop words go before there is a row for each; the order of the rest is the same
-    words = documents.select(by, F.posexplode(F.filter(split, lambda w: (F.length(w) > 3) & ~w.isin(T.STOP_WORDS))).alias("at", "word"))
+    words = documents.select(by, "text").repartition(by).select(by, F.posexplode(F.filter(split, lambda w: (F.length(w) > 3) & ~w.isin(T.STOP_WORDS))).alias("at", "word"))
     counted = words.groupBy(by, "word").agg(F.count("*").alias("count"), F.min("at").alias("first"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("count"), "first")))
     return ranked.where(F.col("rank") <= n).select(by, "rank", "word", "count")
