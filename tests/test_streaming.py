@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,17 @@ def test_quiet_keys_have_no_state():
     assert ordered.Stops().follow(None, 0, [(0, "fill", 10.0, 0.0, None, None), (1, "tick", None, None, None, None), (2, "fill", 10.0, 1.0, None, None), (3, "tick", 1.0, None, None, None)]) == ((1.0, 10.0, None, None), [])
 
 
+def test_calls_walk_no_window_for_each_row():
+    """200,000 calls in one window (each walked all before it: more than 10^10 steps), and a state that keeps no more than about two windows."""
+    calls, state, began = ordered.Calls(60), None, time.process_time()
+    for i in range(200_000):
+        state, out = calls.follow(state, i * 100, [(i,)])
+    assert out == [(199_999, 200_000)] and time.process_time() - began < 20
+    for i in range(1000):
+        state, out = calls.follow(state, 100_000_000 + i * 10_000_000, [(i,)])
+        assert out == [(i, min(i + 1, 7))] and len(state[0]) <= 16
+
+
 def test_scans_survive_a_stop_before_and_after_their_commit(spark, tmp_path, monkeypatch):
     rows = []
     for k in (1, 2, 3):

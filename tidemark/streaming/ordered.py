@@ -11,6 +11,7 @@ State lives in RocksDB (`use_rocksdb`), since timers and several states per key
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -260,8 +261,13 @@ class Calls(Fold):
         self.span = seconds * 1_000_000
 
     def follow(self, state, at, rows):
-        times = [t for t in (state[0] if state else []) if t >= at - self.span] + [at] * len(rows)
-        return (times,), [(i, len(times)) for (i,) in rows]
+        held = state[0] if state else []
+        times = held if isinstance(held, list) else list(held)
+        low = bisect_left(times, at - self.span)  # times come in order
+        if low > len(times) // 2:  # what is too old goes once it is the larger part, so that a row is moved about once
+            times, low = times[low:], 0
+        times.extend([at] * len(rows))
+        return (times,), [(i, len(times) - low) for (i,) in rows]
 
     def forget_at(self, state):
         return state[0][-1] + self.span + 1
