@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, desk, joins
+from tidemark.plans import streaming as plans
 from tidemark.sources.commits import Commits
 from tidemark.streaming import ordered, paper, streams
 
@@ -161,6 +162,44 @@ def test_calls_walk_no_window_for_each_row():
         assert out == [(i, min(i + 1, 7))] and len(state[0]) <= 16
 
 
+def test_keys_share_state_entries(spark, tmp_path):
+    """3000 keys come in each of two batches; what the state store is asked for grows with the buckets, not with the keys."""
+    rng = random.Random(8)
+    rows = [(f"s{k}", START + dt.timedelta(seconds=rng.randrange(0, 5000)), 3 * k + i, rng.choice([-1.0, 1.0, 2.0]), float(rng.randrange(1, 9))) for k in range(3000) for i in range(3)]
+    schema = "symbol string, ts timestamp, seq long, quantity double, price double"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    ordered.use_rocksdb(spark)
+    try:
+        stream = streams.stream_positions(as_stream(spark, rows, schema, tmp_path, 2, 200, 4), "200 seconds")
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    assert len(held) == 3 and 0 < max(held) <= 2 * 1024 + 1024  # pieces of two batches, states
+    end = passed(rows, 200)
+    table = ordered.in_batch(spark.createDataFrame(rows, schema), ["symbol"], ordered.Positions())
+    want = sorted(tuple(r) for r in table.select("symbol", F.timestamp_micros("at").alias("ts"), "quantity", "cost", "realised").collect() if r.ts <= end)
+    assert sorted(map(tuple, spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect())) == want and len(want) > 8000
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_a_batch_of_a_shuffled_stream_is_a_part_of_many_files(spark, tmp_path, monkeypatch, even):
+    """Large parts are several files, yet a batch takes one part whole, so no row is too late; uneven parts are one file each."""
+    monkeypatch.setattr(plans, "FILE_ROWS", 200)
+    days = [i % 60 for i in range(3000)] if even else [0] * 2990 + [30] * 5 + [60] * 5
+    rows = [(i, START + dt.timedelta(days=d, seconds=i)) for i, d in enumerate(days)]
+    source = plans.shuffled_stream(spark.createDataFrame(rows, "id long, ts timestamp"), str(tmp_path))
+    batches = []
+    source.writeStream.foreachBatch(lambda b, _: batches.append([(r.id, r.ts) for r in b.collect()])).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    files = len(spark.read.parquet(f"{tmp_path}/in").inputFiles())
+    assert len(batches) == plans.PARTS and (files >= 4 * plans.PARTS if even else files == plans.PARTS)
+    assert sorted(r for b in batches for r in b) == rows
+    for k in range(1, len(batches)):
+        seen = [ts for b in batches[:k] for _, ts in b]
+        assert all(ts > max(seen) - dt.timedelta(hours=plans.DISORDER_H) for _, ts in batches[k])
+
+
 def test_scans_survive_a_stop_before_and_after_their_commit(spark, tmp_path, monkeypatch):
     rows = []
     for k in (1, 2, 3):

@@ -12,19 +12,23 @@ from tidemark.streaming import paper, streams
 
 #: How far rows are out of order, and so how late they may be.
 DISORDER_H, LATE = 24, "24 hours"
-#: Files of a stream.
-FILES = 3
+#: Parts of a stream, a batch each, and about how many rows a file of a part has.
+PARTS, FILE_ROWS = 3, 250_000
 
 
 def shuffled_stream(rows: DataFrame, root: str) -> DataFrame:
-    """A stream of FILES files that hold all rows, dealt by time and up to DISORDER_H hours too late; within a file in the order of a hash."""
+    """A stream of PARTS batches that hold all rows, dealt by time and up to DISORDER_H hours too late; within a file in the order of a hash.
+
+    A batch takes a fixed number of files, so all parts have as many as the smallest can fill."""
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.unix_micros("ts") + F.pmod(F.xxhash64(*rows.columns), F.lit(DISORDER_H * 3_600_000_000))
     low, high = rows.select(F.min(at), F.max(at)).head()
-    part = F.floor((at - F.lit(low or 0)) * FILES / F.lit((high or 0) - (low or 0) + 1))
-    for k in range(FILES):
-        rows.where(part == k).coalesce(1).sortWithinPartitions(F.xxhash64(*rows.columns, F.lit(1))).write.mode("append").parquet(f"{root}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    part = F.floor((at - F.lit(low or 0)) * PARTS / F.lit((high or 0) - (low or 0) + 1))
+    sizes = dict(rows.groupBy(part.alias("part")).count().collect())  # PARTS rows
+    files = max(1, min(sizes.get(k, 0) for k in range(PARTS)) // FILE_ROWS)
+    for k in range(PARTS):
+        rows.where(part == k).repartition(files).sortWithinPartitions(F.xxhash64(*rows.columns, F.lit(1))).write.mode("append").parquet(f"{root}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
 
 
 def drained(stream: DataFrame, root: str) -> DataFrame:

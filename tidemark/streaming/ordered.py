@@ -1,16 +1,20 @@
 """Folds over a key's rows in the order of time, on streams whose rows arrive out of order.
 
-Rows wait in list state until the watermark has passed them; a timer at the earliest of them wakes the key, which then takes all rows
-up to the watermark in order. So what comes out doesn't depend on how the input was split into batches, as long as no row is later
-than the watermark allows (later ones are dropped, as everywhere). State that nothing can depend on any more is cleared by a timer
+Rows wait in list state until the watermark has passed them; a timer at the earliest of them wakes their bucket, in which each key takes
+its rows up to the watermark in order. So what comes out doesn't depend on how the input was split into batches, as long as no row is
+later than the watermark allows (later ones are dropped, as everywhere). State that nothing can depend on any more is cleared by a timer
 too: a quiet key costs nothing. The folds are small classes, given to `in_order` for streams and to `in_batch` for tables, so
 both give the same rows.
 
+Keys share buckets, by hash, since each call of the state store costs as much as folding hundreds of rows: a batch makes a few calls for each
+bucket instead of a dozen for each key.
+
 State lives in RocksDB (`use_rocksdb`), since timers and several states per key need it.
 """
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
@@ -31,11 +35,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 class Fold:
     """What a key does with its rows. Schemas are DDL; times are microseconds.
 
-    rows: columns besides the time, the first of which orders rows of one instant. state: of a tuple. out: columns of what it tells.
+    rows: columns besides the time, the first of which orders rows of one instant. out: columns of what it tells.
     """
 
     rows: str
-    state: str
     out: str
 
     def follow(self, state: tuple | None, at: int, rows: list[tuple]) -> tuple[tuple | None, list[tuple]]:
@@ -55,22 +58,39 @@ def _instants(rows: list[tuple]) -> Iterator[tuple[int, list[tuple]]]:
         yield at, [r[1:] for r in same]
 
 
+def _columns(frame: pd.DataFrame, names: list[str]) -> list[list]:
+    """Columns as lists, nulls as None."""
+    return [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in names]
+
+
+def _fold(fold: Fold, state: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[tuple]]:
+    """A key's state after rows (time, the fold's columns), and what they make."""
+    out: list[tuple] = []
+    for at, same in _instants(rows):
+        if state is not None and (end := fold.forget_at(state)) is not None and end <= at:
+            state = None
+        state, made = fold.follow(state, at, same)
+        out += made
+    return state, out
+
+
 class InOrder(StatefulProcessor):
-    """Keeps rows until the watermark has passed them, then folds them in order."""
+    """Keeps the rows of a bucket of keys until the watermark has passed them, then folds each key's in order.
 
-    def __init__(self, fold: Fold, names: list[str]) -> None:
-        self.fold, self.names = fold, names
+    waiting: rows in pieces, each a pickled list of columns; states: a pickled dict of the states by key. Pickled, as converting them value by value
+    takes longer than folding them.
+    """
+
+    def __init__(self, fold: Fold, keys: list[str], names: list[str]) -> None:
+        self.fold, self.keys, self.names = fold, keys, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at bigint, {self.fold.rows}")
-        self.state = handle.getValueState("state", self.fold.state)
-
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.names)
+        self.waiting = handle.getListState("waiting", "piece binary")
+        self.states = handle.getValueState("states", "held binary")
 
     def _wake_at(self, ms: int, passed: int) -> None:
-        """One timer a key, at the earliest time asked for; the one that is just going off is still listed and doesn't count."""
+        """One timer a bucket, at the earliest time asked for; the one that is just going off is still listed and doesn't count."""
         timers = [t for t in self.handle.listTimers() if t > passed]
         if not timers or ms < min(timers):
             for t in timers:
@@ -79,40 +99,50 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        new: list[tuple] = []
+        first = None
         for frame in rows:
-            columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("at", *self.fold.columns())]
-            new += [r for r in zip(*columns) if r[0] // 1000 > passed]
-        if new:
-            self.waiting.appendList(new)
-            self._wake_at(min(r[0] for r in new) // 1000, passed)
-        yield self._frame(key, [])
+            new = frame[frame["at"] // 1000 > passed]
+            if len(new):
+                self.waiting.appendValue((pickle.dumps(_columns(new, [*self.keys, "at", *self.fold.columns()])),))
+                first = min(int(new["at"].min()), first or int(new["at"].max()))
+        if first is not None:
+            self._wake_at(first // 1000, passed)
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due, rest = [r for r in held if r[0] // 1000 <= passed], [r for r in held if r[0] // 1000 > passed]
-        state = tuple(self.state.get()) if self.state.exists() else None
+        passed, n = timerValues.getCurrentWatermarkInMs(), len(self.keys)
+        due: dict[tuple, list[tuple]] = {}
+        rest: list[tuple] = []
+        for (piece,) in self.waiting.get():
+            for r in zip(*pickle.loads(piece)):
+                if r[n] // 1000 > passed:
+                    rest.append(r)
+                else:
+                    due.setdefault(r[:n], []).append(r[n:])
+        held = self.states.get()
+        states: dict[tuple, tuple] = pickle.loads(held[0]) if held else {}
         out: list[tuple] = []
-        for at, same in _instants(due):
-            if state is not None and (end := self.fold.forget_at(state)) is not None and end <= at:
-                state = None
-            state, made = self.fold.follow(state, at, same)
-            out += made
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        end = None if state is None else self.fold.forget_at(state)
-        if end is not None and end // 1000 <= passed:
-            state, end = None, None
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update(state)
+        for k, mine in due.items():
+            state, made = _fold(self.fold, states.pop(k, None), mine)
+            if state is not None:
+                states[k] = state
+            out += ((*k, *m) for m in made)
+        ends = {k: end for k, state in states.items() if (end := self.fold.forget_at(state)) is not None}
+        for k, end in ends.items():
+            if end // 1000 <= passed:
+                del states[k]
         if rest:
-            self._wake_at(min(r[0] for r in rest) // 1000, passed)
-        elif end is not None:
-            self._wake_at(end // 1000, passed)
-        yield self._frame(key, out)
+            self.waiting.put([(pickle.dumps(list(zip(*rest))),)])
+        elif due:
+            self.waiting.clear()
+        if states:
+            self.states.update((pickle.dumps(states),))
+        elif held:
+            self.states.clear()
+        if wakes := [r[n] // 1000 for r in rest] + [end // 1000 for end in ends.values() if end // 1000 > passed]:
+            self._wake_at(min(wakes), passed)
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
@@ -127,16 +157,17 @@ def _schema(rows: DataFrame, keys: list[str], fold: Fold) -> str:
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), fold.out])
 
 
-def in_order(rows: DataFrame, keys: list[str], fold: Fold, late: str = "10 minutes") -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], fold: Fold, late: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """What `fold` makes of a stream of rows (keys, ts, the fold's columns), sent when the watermark, `late` behind, has passed them.
 
-    Rows with a null key, time or order column are dropped. `use_rocksdb` must have been called.
+    Rows with a null key, time or order column are dropped. `use_rocksdb` must have been called. A task holds the waiting rows and the states of
+    one of the `buckets` at a time; their number belongs to the checkpoint, as that of shuffle partitions does.
     """
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).dropna(subset=["ts", *keys, fold.columns()[0]])
     schema = _schema(rows, keys, fold)
     names = [*keys, *(p.split()[0] for p in fold.out.split(","))]
-    grouped = _prepared(rows.withWatermark("ts", late), keys, fold).groupBy(*keys)
-    return grouped.transformWithStateInPandas(InOrder(fold, names), schema, "Append", "EventTime")
+    dealt = _prepared(rows.withWatermark("ts", late), keys, fold).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(InOrder(fold, keys, names), schema, "Append", "EventTime")
 
 
 def in_batch(rows: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
@@ -145,13 +176,7 @@ def in_batch(rows: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
     names = [*keys, *(p.split()[0] for p in fold.out.split(","))]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("at", *fold.columns())]
-        state, out = None, []
-        for at, same in _instants(list(zip(*columns))):
-            if state is not None and (end := fold.forget_at(state)) is not None and end <= at:
-                state = None
-            state, made = fold.follow(state, at, same)
-            out += made
+        _, out = _fold(fold, None, list(zip(*_columns(frame, ["at", *fold.columns()]))))
         return pd.DataFrame([(*key, *r) for r in out], columns=names)
 
     return _prepared(rows, keys, fold).drop("ts").groupBy(*keys).applyInPandas(run, _schema(rows, keys, fold))
@@ -161,7 +186,6 @@ class Cooldown(Fold):
     """Alerts at least their cooldown after the last one kept; equal times by signal. No rule waits longer than `longest_s`."""
 
     rows = "signal string, cooldown_s bigint"
-    state = "last bigint"
     out = "at bigint, signal string"
 
     def __init__(self, longest_s: int) -> None:
@@ -183,7 +207,6 @@ class Positions(Fold):
     """Quantity, mean cost and realised profit after each fill (quantity signed)."""
 
     rows = "seq bigint, quantity double, price double"
-    state = "quantity double, cost double, realised double"
     out = "at bigint, quantity double, cost double, realised double"
 
     def follow(self, state, at, rows):
@@ -212,7 +235,6 @@ class Stops(Fold):
     """
 
     rows = "seq bigint, kind string, price double, quantity double, stop_loss double, take_profit double"
-    state = "quantity double, entry double, stop_loss double, take_profit double"
     out = "at bigint, event string, side string, entry_price double, price double, quantity double, pnl double"
 
     def follow(self, state, at, rows):
@@ -254,7 +276,6 @@ class Calls(Fold):
     """For each row the number of rows of its key in the last `seconds`, itself and others of its instant included."""
 
     rows = "call_id bigint"
-    state = "times array<bigint>"
     out = "call_id bigint, calls bigint"
 
     def __init__(self, seconds: int) -> None:
