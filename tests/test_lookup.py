@@ -1,5 +1,6 @@
 """Titles looked up among books, and vectors in an index, against comparing all pairs."""
 
+import itertools
 import random
 import tracemalloc
 
@@ -112,6 +113,45 @@ def test_index_of_awkward_rows(spark, tmp_path, monkeypatch):
         vector_index.VectorIndex.build(vectors.where("vec_id = 2001"), f"{tmp_path}/none")
 
 
+def test_search_sends_a_query_once_to_a_part(spark, tmp_path, monkeypatch):
+    """No table of a row for each query and cell is broadcast or shuffled (at 1 GB the driver had no room for it); results are those of the cells that are visited."""
+    monkeypatch.setattr(vector_index, "BLOCK", 300)
+    monkeypatch.setattr(vector_index, "SLICE", 500)
+    rows = clustered(2000, 40) + [(2000 + i, [1.0] * 24) for i in range(800)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).cache()
+    index = vector_index.VectorIndex.build(vectors.where("vec_id % 3 > 0"), f"{tmp_path}/index", cells=60)
+    assert index.add(vectors.where("vec_id % 3 = 0"), "rest")
+    queries = vectors.where("vec_id % 2 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding")
+    cells, asked = len(index.centres), queries.count()
+    cell_of = {r.vec_id: r.cell for r in index.lists().collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    ids, x = np.arange(2800), np.stack([unit[i] for i in range(2800)])
+    of = np.array([cell_of[i] for i in range(2800)])
+    for probes in (cells, 5):
+        found = index.search(queries, 4, probes)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        visited = {q: {v.cell for v in g} for q, g in itertools.groupby(index.visits(queries, probes).orderBy("query_id").collect(), lambda v: v.query_id)}
+        for q in range(0, 2800, 2):
+            near = np.round(x @ unit[q], 12)
+            near[~np.isin(of, list(visited[q]))] = -2
+            assert [i for _, i in sorted(got[q])] == [i for i in np.lexsort((ids, -near))[:4] if near[i] > -2]
+        plan = found._jdf.queryExecution().executedPlan()
+        assert "isFinalPlan=true" in plan.toString()
+        assert 0 < max(rows_of(plan, "Exchange")) <= 25 * asked < cells * asked
+        assert 0 < max(rows_of(plan, "BroadcastExchange")) <= 3 * cells  # a row for each cell and slice
+
+
+def rows_of(plan, kind):
+    """Rows that the exchanges of a plan made, by their metrics."""
+    name, below = plan.nodeName(), plan.children()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [below.apply(i) for i in range(below.size())]
+    metric = {"BroadcastExchange": "numOutputRows", "Exchange": "shuffleRecordsWritten"}[kind]
+    own = [plan.metrics().apply(metric).value()] if name == kind else []
+    return own + [n for p in inner for n in rows_of(p, kind)]
+
+
 def test_cells_in_few_similarities_at_once(monkeypatch):
     """Cells of a batch are those of one product, in bounded memory (the order of all cells took 250 MB for a batch of full size)."""
     gen = np.random.default_rng(5)

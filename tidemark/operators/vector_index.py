@@ -13,16 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.retrieval import nearest
+from tidemark.operators.retrieval import _best, nearest
 from tidemark.sources.commits import Commits
 
 #: Cells at most; vectors that fit the centres (of larger tables, about: a share of the hashes); trial queries that calibrate a search, at most; rows of a block, queries of a slice, about.
 CELLS, SAMPLE, TRIALS, BLOCK, SLICE = 1024, 65536, 256, 16384, 8192
 #: Similarities that a task holds at once, about.
 HELD = 1 << 19
+#: Parts that the lists are searched in, about, while a part has LEAST to BLOCK rows.
+PARTS, LEAST = 64, 1024
 
 
 def _directions(vectors: DataFrame) -> DataFrame:
@@ -78,44 +80,99 @@ class VectorIndex:
 
     def visits(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
         """query_id, unit, cell: the cells that a search looks into, those whose centres are nearest."""
-        asked = _directions(queries.withColumnRenamed("query_id", "vec_id")).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
+        return self._asked(queries).withColumn("cell", F.explode(self._cells(probes)))
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """query_id, unit: the queries that have a direction, each once, however often it is worked out: with its least vector."""
+        return _directions(queries.withColumnRenamed("query_id", "vec_id")).groupBy(F.col("vec_id").cast("long").alias("query_id")).agg(F.min("unit").alias("unit"))
+
+    def _cells(self, probes: int | None) -> Column:
+        """The cells that a query's unit visits."""
         cells, probes = len(self.centres), min(probes or self.probes, len(self.centres))
-        return asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)) if probes == cells else _order(self.centres, probes)("unit")))
+        return F.sequence(F.lit(0), F.lit(cells - 1)) if probes == cells else _order(self.centres, probes)("unit")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """query_id, vec_id, similarity, rank: of the vectors in the visited cells the k nearest by cosine, ties by vec_id.
 
-        A task holds a block of a list and a slice of the queries that visit it; lists that no query visits are not read beyond their
-        cell. With `probes` as many as there are cells the result is exact.
+        A task holds a part of the lists, small cells together, and a slice of the queries that visit it; a query is sent to a part once,
+        with the cells that it visits there. Lists that no query visits are not read beyond their cell. With `probes` as many as there are
+        cells the result is exact.
         """
-        visits = self.visits(queries, probes)
-        lists = self.lists()
-        blocks = self.lists().select("cell", "block").distinct()  # two small columns
-        asked = visits.join(blocks, "cell").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // SLICE)))).cast("int"))
-        unit = ["cell", "block", "slice"]
-        wanted = asked.select(*(F.col(c).alias(c) for c in unit)).distinct()
-        members = lists.join(wanted, ["cell", "block"]).select(*unit, "vec_id", "unit")
+        sizes = {r.cell: r.n for r in self.lists().groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
+        first, n = _parts(sizes, len(self.centres))
+        parts, slices = int((first + n).max()), max(1, -(-queries.count() // SLICE))
+        piece = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("slice")
+        # both are said to be broadcast: Spark takes the size of exploded rows from before they are exploded, and would broadcast those
+        places = self.spark.createDataFrame([(cell, int(first[cell]), int(n[cell])) for cell in sizes], "cell int, first int, n int")
+        wanted = self.visits(queries, probes).select("cell", piece).distinct().join(F.broadcast(places), "cell")  # CELLS rows a slice at most
+        part = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")
+        members = self.lists().join(F.broadcast(wanted), "cell").select(part.alias("part"), "slice", "cell", "vec_id", "unit")
+        # dealt out first, as each query becomes a row for each part
+        asked = self._asked(queries).repartition(parts, "query_id").withColumn("cells", self._cells(probes))
+        guests = asked.mapInArrow(_sent(first, n), "part int, query_id bigint, unit array<double>, cells array<int>").select("part", piece, "query_id", "unit", "cells")
 
         def best(rows: pa.Table, guests: pa.Table) -> pa.Table:
-            names, kinds = ["query_id", "vec_id", "similarity"], [pa.int64(), pa.int64(), pa.float64()]
+            kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
             if not rows.num_rows or not guests.num_rows:
-                return pa.table([pa.array([], t) for t in kinds], names=names)
-            rows = rows.sort_by("vec_id")
-            x, q = (t["unit"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (rows, guests))
-            ids, asked = rows["vec_id"].to_numpy(), guests["query_id"].to_numpy()
-            out = []
-            step = max(1, HELD // len(x))
-            for at in range(0, len(q), step):
-                s = np.round(q[at : at + step] @ x.T, 12)  # rounded, so that equal vectors are equal
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                out.append((np.repeat(asked[at : at + step], top.shape[1]), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()))
-            return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds)], names=names)
-
-        found = members.groupBy(*unit).cogroup(asked.select(*unit, "query_id", "unit").groupBy(*unit)).applyInArrow(best, "query_id bigint, vec_id bigint, similarity double")
+                return kind.empty_table()
+            rows = rows.sort_by("cell")
+            cells, starts = np.unique(rows["cell"].to_numpy(), return_index=True)
+            lists = rows.select(["vec_id", "unit"]).combine_chunks().to_batches()[0]
+            ids, units, visited = (guests[c].combine_chunks() for c in ("query_id", "unit", "cells"))
+            q = units.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            visits, guest = visited.flatten().to_numpy(), np.repeat(np.arange(len(ids)), visited.value_lengths().to_numpy())
+            sort = np.argsort(visits, kind="stable")
+            visits, guest = visits[sort], guest[sort]
+            found, top = [], np.full((len(ids), k), -np.inf)
+            for cell, start, end in zip(cells, starts, [*starts[1:], rows.num_rows]):
+                g = guest[slice(*np.searchsorted(visits, [cell, cell + 1]))]
+                held = top[g]
+                found.extend(_best(lists.slice(start, end - start), ids.take(pa.array(g)), q[g], held))
+                top[g] = held
+            return pa.Table.from_batches(found, kind)
+
+        unit = ["part", "slice"]
+        found = members.groupBy(*unit).cogroup(guests.groupBy(*unit)).applyInArrow(best, "query_id bigint, vec_id bigint, similarity double")
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _parts(sizes: dict[int, int], cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell its first part and how many it has (0 if it is empty): large cells have several, small ones share one."""
+    rows = min(BLOCK, max(LEAST, -(-sum(sizes.values()) // PARTS)))
+    first, n, last, room = np.zeros(cells, int), np.zeros(cells, int), -1, 0
+    for cell, size in sorted(sizes.items()):
+        if size <= room:
+            first[cell], n[cell], room = last, 1, room - size
+        else:
+            first[cell], n[cell] = last + 1, -(-size // rows)
+            last, room = last + n[cell], max(0, rows - size)
+    return first, n
+
+
+def _sent(first: np.ndarray, n: np.ndarray):
+    """Queries (query_id, unit, cells) to a row for each part that holds any of their cells, with those cells; about BLOCK rows at once."""
+    parts = int((first + n).max())
+    step = max(1, min(BLOCK // parts, HELD // len(n)))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                ids, units, visited = (batch.column(c).slice(at, step) for c in ("query_id", "unit", "cells"))
+                cell, row = visited.flatten().to_numpy(), np.repeat(np.arange(len(ids)), visited.value_lengths().to_numpy())
+                times = n[cell]
+                nth = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+                cell, row, part = np.repeat(cell, times), np.repeat(row, times), np.repeat(first[cell], times) + nth
+                sort = np.lexsort((part, row))
+                cell, row, part = cell[sort], row[sort], part[sort]
+                starts = np.flatnonzero(np.diff(row * parts + part, prepend=-1))
+                cells = pa.ListArray.from_arrays(pa.array(np.append(starts, len(cell)), pa.int32()), pa.array(cell, pa.int32()))
+                taken = pa.array(row[starts])
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), ids.take(taken), units.take(taken), cells], names=["part", "query_id", "unit", "cells"])
+
+    return sent
+
+
 def _order(centres: np.ndarray, first: int | None = None):
     """The `first` cells (all, if None) by falling similarity of their centres; a task holds about HELD similarities at once."""
     step = max(1, HELD // len(centres))
